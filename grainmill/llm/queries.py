@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, sharding, url_filters
+from . import fingerprints, language, mixing, packing, sharding, tokens, url_filters
 from .common import table
 
 #: The rules of the url query.
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
 
+def op3_sequence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), 2048)
+
+
 def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = fingerprints.with_next(docs, ["text"])
@@ -45,6 +49,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     # The digests go through the exchange in place of the text.
@@ -56,11 +64,21 @@ def op9_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.col("lang_ambiguous").alias("ambiguous"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_sequence_pack": op3_sequence_pack,
         "op4_merkle_fingerprint": op4_merkle_fingerprint,
         "op6_source_mix": op6_source_mix,
+        "op7_token_count": op7_token_count,
+        "op10_language": op10_language,
         "op9_histogram_shard": op9_histogram_shard,
     }
 
