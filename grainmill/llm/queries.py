@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, sharding, tokens, url_filters
+from . import fingerprints, language, mixing, near_dups, packing, sharding, suffix_dedup, tokens, url_filters
 from .common import table
 
 #: The rules of the url query.
@@ -43,6 +43,10 @@ def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
@@ -53,6 +57,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     # The digests go through the exchange in place of the text.
@@ -76,9 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op3_sequence_pack": op3_sequence_pack,
         "op4_merkle_fingerprint": op4_merkle_fingerprint,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_source_mix": op6_source_mix,
         "op7_token_count": op7_token_count,
         "op10_language": op10_language,
+        "op8_minmax_dedup": op8_minmax_dedup,
         "op9_histogram_shard": op9_histogram_shard,
     }
 
