@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, near_dups, packing, sharding, suffix_dedup, tokens, url_filters
+from . import fingerprints, inner_products, language, mixing, near_dups, packing, sharding, suffix_dedup, tokens, url_filters
 from .common import table
 
 #: The rules of the url query.
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
 
+def op2_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_sequence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 2048)
 
@@ -82,6 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_top_products": op2_top_products,
         "op3_sequence_pack": op3_sequence_pack,
         "op4_merkle_fingerprint": op4_merkle_fingerprint,
         "op5_suffix_dedup": op5_suffix_dedup,
