@@ -135,18 +135,25 @@ def _pieces(passes: int, block: int, seed: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(0, passes - 1)).cast("long")), of_pass))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The mix itself: a row of ``docs`` for every piece, its text cut to the piece's words where it is a part.
 
     A whole document keeps its text byte for byte; a part is its words joined by one space,
-    and ``n_chars`` follows the text where that column exists.
+    and ``n_chars`` follows the text where that column exists. The mix is worked out on
+    ids and sizes; texts move once, to the pieces. Rows with one id and one text count as
+    copies of one row, with the pieces of all of them.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    m = mix(docs, carry=tuple(rest), **how)
-    p = m.select("doc_id", "source", "size", *rest, F.explode("pieces").alias("_p"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), 1)
+    keyed = docs.withColumn("_h", F.xxhash64(F.col(text)))
+    m = mix(keyed, doc_id=doc_id, text=text, carry=("_h",), **how)
+    pieces = m.where(F.size("pieces") > 0).groupBy(F.col(doc_id).alias("_mid"), F.col("_h").alias("_mh")).agg(F.flatten(F.collect_list("pieces")).alias("_all"), F.max("size").alias("_size"))
+    first = keyed.withColumn("_k", F.row_number().over(W.partitionBy(doc_id, "_h").orderBy(F.lit(0)))).where("_k = 1")
+    p = first.join(pieces, F.col(doc_id).eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))).withColumn("_p", F.explode("_all"))
+    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1)
     part = F.array_join(F.slice(words, (F.col("_p.start") + 1).cast("int"), F.col("_p.words").cast("int")), " ")
-    p = p.withColumn("text", F.when(F.col("_p.words") < F.col("size"), part).otherwise(F.col("text")))
-    if "n_chars" in rest:
-        p = p.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return p.select(*docs.columns)
+    p = p.withColumn(text, F.when(F.col("_p.words") < F.col("_size"), part).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        p = p.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    # a shard's pieces lie in parts by their random order, and each part is shuffled by it
+    p = p.withColumns({"_shard": F.col("_p.shard"), "_order": F.col("_p.order")}).withColumn("_part", F.pmod("_order", F.lit(64)))
+    p = p.select(*docs.columns, *(["_shard", "_part", "_order"]))
+    return p.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order").select(*docs.columns)
