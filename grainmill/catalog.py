@@ -1,19 +1,339 @@
-"""Every query of the engine and its SQL."""
+"""Every query of the engine: an operator each over the small mixed prompt corpus or the tables, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainmill import oracles
+from grainmill.functions import codec, text as tx
+from grainmill.functions.base import f32, let, n_bytes, truncate_bytes
+from grainmill.functions.levels import CATEGORIES, SecurityLevel
+from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, preprocess, scoring, variants
+from grainmill.operators.patterns import Matcher
+from grainmill.operators.signals import signal
+from grainmill.plans.config import ConfigBuilder, Preset
+from grainmill.plans.detector import Detector, spread
+from grainmill.sources.prompts import mixed_prompts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def num(c: Column) -> Column:
+    return F.round(c.cast("double"), 4)
+
+
+def scalar(make: Callable[[Column], Column]) -> Query:
+    """(prompt_id, out) over the mixed prompts."""
+    return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", make(F.col("text")).alias("out"))
+
+
+def fixed_signals(spark: SparkSession, d: str) -> DataFrame:
+    """(prompt_id, text, signals): signals that follow from the id alone, so that any engine can make them."""
+    kinds = F.array(*[F.lit(k) for k in oracles.KINDS])
+    conf = lambda i: (F.pmod(F.col("prompt_id") * 7 + i * 13, F.lit(100)).cast("float") / f32(100.0)).cast("float")
+    one = lambda k, i: signal("pattern", k, conf(i), category=F.get(F.array(*[F.lit(c) for c in oracles.SIGNAL_CATEGORIES]), i))
+    chosen = F.filter(F.transform(kinds, lambda k, i: F.struct(one(k, i).alias("s"), F.floor(F.col("prompt_id") / F.pow(F.lit(2), i)).cast("long").alias("b"))), lambda x: x["b"] % 2 == 1)
+    return mixed_prompts(spark, d).select("prompt_id", "text", F.transform(chosen, lambda x: x["s"]).alias("signals"))
+
+
+def over_signals(make: Callable[[Column, Column], Column]) -> Query:
+    return lambda spark, d: fixed_signals(spark, d).select("prompt_id", make(F.col("signals"), F.col("text")).alias("out"))
+
+
+def pattern_hits(category: str) -> Query:
+    """Indexes of the category's rules that match, first match and its confidence, where any does."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = Matcher(SecurityLevel(5), (category,))
+        p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)).withColumn("codes", m.codes(F.col("text"))).where(F.size("codes") > 0)
+        s = p.withColumn("s", F.get(m.signals(F.col("text"), F.col("codes")), 0))
+        return s.select("prompt_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("hits"), F.col("s.span.content").alias("content"), num(F.col("s.confidence")).alias("confidence"))
+
+    return run
+
+
+def pat_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of level 5, exploded to one row a match."""
+    m = Matcher(SecurityLevel(5))
+    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+    s = p.select("prompt_id", F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s"))
+    return s.select("prompt_id", F.col("s.category").alias("category"), F.col("s.pattern_index").alias("pattern_index"), F.col("s.span.start").alias("start"), F.col("s.span.end").alias("stop"))
+
+
+def pat_scan_join(spark: SparkSession, d: str) -> DataFrame:
+    """The relational form: prompts joined to the table of rules by matching."""
+    m = Matcher(SecurityLevel(1))
+    rules = spark.createDataFrame([(c, i, rx) for c, i, rx in m.rules], "category string, i int, rx string")
+    p = mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)
+    return p.join(rules, F.rlike(p["text"], rules["rx"])).groupBy("category", "i").agg(F.count("*").alias("n"))
+
+
+def pat_custom(spark: SparkSession, d: str) -> DataFrame:
+    m = Matcher(SecurityLevel(0), custom=("secret\\s+handshake|weather", "abc"))
+    p = mixed_prompts(spark, d)
+    s = p.select("prompt_id", F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s"))
+    return s.select("prompt_id", F.col("s.pattern_index").alias("pattern_index"), F.col("s.span.content").alias("content"), F.col("s.custom_name").alias("custom_name"))
+
+
+def pat_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    m = Matcher(SecurityLevel(3))
+    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+    return p.select(F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def heuristic(name: str) -> Query:
+    return lambda spark, d: (
+        spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+        .select("prompt_id", heuristics.checks(F.col("text"), SecurityLevel(5))[name].alias("s"))
+        .select("prompt_id", F.col("s").isNotNull().alias("fired"), num(F.col("s.confidence")).alias("confidence"))
+    )
+
+
+def heuristic_flag(make: Callable[[Column], Column]) -> Query:
+    return lambda spark, d: spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)).select("prompt_id", make(F.col("text")).alias("fired"))
+
+
+def keyword(make: Callable[[Column], Column]) -> Query:
+    return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", let(truncate_bytes(F.col("text"), 512), make).alias("s")).select("prompt_id", num(F.col("s.confidence")).alias("confidence"))
+
+
+def combination(name: str) -> Query:
+    return over_signals(lambda s, t: num(combine.combinations(s, t)[name]["confidence"]))
+
+
+def level_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed signals assessed at every level."""
+    s = fixed_signals(spark, d)
+    grid = F.array(*[F.struct(F.lit(v).alias("level"), scoring.assess(F.col("signals"), SecurityLevel(v)).alias("a")) for v in range(11)])
+    return s.select("prompt_id", F.explode(grid).alias("g")).select("prompt_id", F.col("g.level").alias("level"), F.col("g.a.risk_level").cast("int").alias("risk"), num(F.col("g.a.score")).alias("score"))
+
+
+def part_of_score(make: Callable[[Column, SecurityLevel], Column], level: int = 5) -> Query:
+    return over_signals(lambda s, t: make(s, SecurityLevel(level)))
+
+
+def analyses(spark: SparkSession, d: str, level: int = 5) -> DataFrame:
+    return Detector(ConfigBuilder().with_security_level(level).with_response("sanitize").build()).analyze(spread(mixed_prompts(spark, d)))
+
+
+def analyze_full(level: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        a = analyses(spark, d, level)
+        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("signals", combine.type_name))), ",")
+        return a.select("prompt_id", "error", "risk_label", num(F.col("confidence")).alias("confidence"), "injection_detected", F.size("signals").alias("n_signals"), kinds.alias("kinds"), "mitigated_prompt")
+
+    return run
+
+
+def preset_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every preset over the phrases alone."""
+    p = mixed_prompts(spark, d).where("prompt_id % 3 = 0")
+    out = None
+    for preset in Preset:
+        a = Detector(preset.config()).analyze(p).groupBy("risk_label").agg(F.count("*").alias("n")).withColumn("preset", F.lit(preset.value))
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as analyses: value is the duration, the kind of event sets risk and detection."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    risk = (F.col("event_id") % 5).cast("int")
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("recorded_at"), F.floor("value").cast("long").alias("duration_ms"), scoring.risk_label(risk).alias("risk_label"), (risk >= 2).alias("injection_detected"),
+        ((F.col("event_id") % 100) / 100.0).alias("confidence"), F.get(F.array(*[F.lit(k) for k in oracles.KINDS]), (F.col("event_id") % 8).cast("int")).alias("kind"),
+    )
+
+
+def a_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = metrics.totals(events(spark, d))
+    return t.select("total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", F.round("avg_ms", 4).alias("avg_ms"), F.round("detection_rate", 6).alias("detection_rate"))
+
+
+def a_threat(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.by_threat(events(spark, d).withColumn("signals", F.array(signal("pattern", F.col("kind"), f32(0.5)))))
+
+
+def a_conf(spark: SparkSession, d: str) -> DataFrame:
+    s = metrics.confidence_stats(events(spark, d))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
+def a_label_eval(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("seq"), (F.col("toxic") == 0).alias("expected_safe"))
+    e = metrics.label_evaluation(events(spark, d), labels, "seq")
+    return e.select("n", "true_positives", "false_positives", "false_negatives", "true_negatives", *[F.round(c, 6).alias(c) for c in ("false_positive_rate", "false_negative_rate")])
+
+
+def helper_pair(make: Callable[[Column, Column], Column]) -> Query:
+    """Over the first ASCII characters of each prompt and of its document's source name."""
+    return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", make(F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40), F.concat(F.col("source"), F.lit(" instructions"))).alias("out"))
+
+
+def events_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return tx.group_and_count(spark.read.parquet(f"{d}/events.parquet"), "event_type")
+
+
+def conv_first_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn of each conversation that a rule of level 1 matches."""
+    m = Matcher(SecurityLevel(1))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return c.where(F.size(m.codes(F.col("text"))) > 0).groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+
+
+def source_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts and questions by source, with a total."""
+    p = mixed_prompts(spark, d).withColumn("q", preprocess.is_question(F.col("text")))
+    return p.rollup("source").agg(F.count("*").alias("n"), F.count_if("q").alias("questions"))
+
+
+def no_signal_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that no rule of level 1 matches."""
+    m = Matcher(SecurityLevel(1))
+    p = mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)
+    hit = p.where(F.size(m.codes(F.col("text"))) > 0).select("prompt_id").distinct()
+    return p.join(hit, "prompt_id", "left_anti").select("prompt_id")
+
+
+def strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Each way to transform a text."""
+    S = mitigate.Strategy
+    each = {"remove": S("remove"), "replace": S("replace", "[X]"), "encode": S("encode"), "prefix": S("prefix", "<<"), "suffix": S("suffix", ">>"), "wrap": S("wrap", "(", ")"), "custom": S("custom", "was: {original}")}
+    t = F.substring("text", 1, 60)
+    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), s.apply(t).alias("out"), F.lit(s.preserves_content).alias("preserves"), F.lit(s.removes_threat).alias("removes")) for k, s in each.items()])
+    return mixed_prompts(spark, d).select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
+
+
+def default_strategies(selected: bool) -> Query:
+    """What each kind's default, or the selector's choice, makes of a text."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sel = mitigate.Selector()
+        of = (lambda k: sel.of(k)) if selected else (lambda k: mitigate.DEFAULTS[k])
+        rows = F.array(*[F.struct(F.lit(k).alias("kind"), of(k).apply(F.substring("text", 1, 30)).alias("out")) for k in mitigate.DEFAULTS])
+        return mixed_prompts(spark, d).where("prompt_id % 3 = 0").select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
+
+    return run
+
+
+def respond(kind: str, message: str = "") -> Query:
+    r = mitigate.Response(kind, message)
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = fixed_signals(spark, d)
+        risk = (F.col("prompt_id") % 5).cast("byte")
+        return s.select("prompt_id", mitigate.respond(F.substring("text", 1, 80), F.col("signals"), risk, r, SecurityLevel(5), 10_000).alias("out"), r.would_mitigate(scoring.is_injection(risk)).alias("would"))
+
+    return run
+
+
+def sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """Local and global strategies folded over real signals."""
+    m = Matcher(SecurityLevel(5))
+    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 2000)).withColumn("s", m.signals(F.col("text"), m.codes(F.col("text"))))
+    return p.where(F.size("s") > 0).select("prompt_id", mitigate.sanitize(F.col("text"), F.col("s")).alias("out"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The full analysis at level 5 of the mixed prompts."""
+    return analyze_full(5)(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    low = lambda t: F.substring(t, 1, 300)
+    q: dict[str, Query] = {
+        "pred_empty": scalar(lambda t: t == ""),
+        "pred_maxlen": scalar(lambda t: preprocess.too_long(t, preprocess.Preprocessing())),
+        "pre_ctrl": scalar(preprocess.drop_controls),
+        "pre_url": scalar(codec.percent_decode),
+        "pre_b64": scalar(preprocess.base64_whole),
+        "pre_trunc": scalar(lambda t: truncate_bytes(t, 101)),
+        "pre_full": scalar(preprocess.preprocess),
+        "q_question": scalar(preprocess.is_question),
+        "q_educational": scalar(preprocess.is_educational),
+        "q_benign_flag": scalar(preprocess.looks_benign),
+        "pat_scan": pat_scan,
+        "pat_scan_join": pat_scan_join,
+        "pat_custom": pat_custom,
+        "pat_type_counts": pat_type_counts,
+        "h_b64": heuristic_flag(heuristics.has_base64),
+        "h_hex": heuristic_flag(heuristics.has_hex),
+        "h_multi": heuristic_flag(heuristics.multi_layer),
+        "h_benign": scalar(lambda t: num(heuristics.benign_score(t))),
+        "h_adjust": lambda spark, d: fixed_signals(spark, d).select("prompt_id", F.size(let(heuristics.benign_score(F.col("text")), lambda b: heuristics.damp(F.col("signals"), b))).alias("out")),
+        "s_confusion": keyword(lambda t: F.coalesce(*keywords.confusion(t, 0.1))),
+        "s_intent": keyword(lambda t: keywords.intent(t, 0.1)),
+        "s_switch": keyword(lambda t: keywords.switches(t, 0.1)),
+        "v_url": scalar(variants.url_variant),
+        "v_b64": scalar(variants.base64_variant),
+        "v_b64frag": scalar(lambda t: F.array_join(variants.base64_fragments(low(t)), "|")),
+        "v_hex": scalar(variants.hex_variant),
+        "v_rot13": scalar(variants.rot13_variant),
+        "v_ctrl": scalar(variants.control_variant),
+        "v_dedup": scalar(lambda t: F.array_join(variants.decoded_variants(low(t)), "|")),
+        "f_context": lambda spark, d: fixed_signals(spark, d).select(
+            "prompt_id", F.array_join(F.transform(combine.filter_by_context(F.col("signals"), preprocess.is_question(F.col("text")), preprocess.is_educational(F.col("text"))), lambda s: F.format_string("%.3f", s["confidence"].cast("double"))), ",").alias("out")
+        ),
+        "r_none": over_signals(lambda s, t: F.when(F.size(s) == 0, num(scoring.score(s, SecurityLevel(5))["confidence"]))),
+        "r_catadj": part_of_score(lambda s, v: F.array_join(F.transform(s, lambda x: F.format_string("%.3f", scoring.adjusted(x, v).cast("double"))), ",")),
+        "r_weighted": part_of_score(lambda s, v: num(scoring.score(s, v)["score"])),
+        "r_level_grid": level_grid,
+        "r_floor": part_of_score(lambda s, v: scoring.assess(s, v)["risk_level"].cast("int"), 2),
+        "r_conf": part_of_score(lambda s, v: num(scoring.score(s, v)["confidence"])),
+        "r_top": over_signals(lambda s, t: scoring.top_signal(s)["kind"]),
+        "r_diversity": over_signals(lambda s, t: F.size(F.array_distinct(F.transform(s, combine.type_name)))),
+        "m_allow": respond("allow"), "m_block": respond("block"), "m_warn": respond("warn"), "m_custom": respond("custom", "Please rephrase."), "m_sanitize": respond("sanitize"),
+        "ms_apply": strategies,
+        "ms_encode": scalar(lambda t: mitigate.encode_specials(low(t))),
+        "ms_default": default_strategies(False),
+        "ms_select": default_strategies(True),
+        "san_pipeline": sanitized,
+        "san_dec": scalar(lambda t: mitigate.sanitize_encodings(low(t))),
+        "san_se": scalar(lambda t: mitigate.soften_social(low(t))),
+        "san_general": scalar(lambda t: mitigate.sanitize_general(low(t), True)),
+        "san_cleanup": scalar(lambda t: mitigate.clean_up(t, 200)),
+        "a_totals": a_totals,
+        "a_rate_pct": lambda s, d: metrics.detection_rate_percent(metrics.totals(events(s, d))).select(F.round("detection_rate_percent", 4).alias("detection_rate_percent")),
+        "a_risk": lambda s, d: metrics.by_risk(events(s, d)),
+        "a_threat": a_threat,
+        "a_conf": a_conf,
+        "a_pct": lambda s, d: metrics.percentiles(events(s, d)),
+        "a_retain": lambda s, d: metrics.retained(events(s, d), samples=500, age="6 hours").select("seq"),
+        "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
+        "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
+        "a_label_eval": a_label_eval,
+        "u_norm": scalar(lambda t: tx.normalize(low(t))),
+        "u_lev": helper_pair(tx.distance),
+        "u_sim": helper_pair(lambda a, b: F.round(tx.similarity(a, b), 6)),
+        "u_words": scalar(lambda t: F.array_join(tx.extract_words(low(t), 4), " ")),
+        "u_entropy": scalar(lambda t: F.round(tx.entropy(low(t)), 6)),
+        "u_repeat": scalar(lambda t: tx.has_repeat(F.substring(t, 1, 80), 3)),
+        "u_isb64": scalar(tx.is_base64),
+        "u_ishex": scalar(tx.is_hex),
+        "u_urldec": scalar(lambda t: tx.url_decode_latin(low(t))),
+        "u_detect": scalar(lambda t: F.array_join(tx.detect_encodings(t), ",")),
+        "u_rx": scalar(lambda t: F.regexp_extract(t, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0)),
+        "u_valid": scalar(lambda t: F.concat_ws(",", tx.valid_length(t, 1, 1000).cast("string"), tx.safe_characters(t).cast("string"), tx.valid_email(t).cast("string"), tx.valid_url(t).cast("string"))),
+        "u_group": events_by_type,
+        "u_mode": lambda s, d: tx.most_common(s.read.parquet(f"{d}/events.parquet"), "event_type"),
+        "u_pctl": lambda s, d: tx.rank_percentiles(events(s, d), "duration_ms", (50, 90, 95, 99)),
+        "u_time": lambda s, d: events(s, d).select("seq", tx.format_duration(F.col("duration_ms") * 997).alias("out")),
+        "t_severity": over_signals(lambda s, t: F.array_join(F.transform(s, lambda x: tx.severity_bucket(x["confidence"])), ",")),
+        "conv_first_flagged": conv_first_flagged,
+        "source_rollup": source_rollup,
+        "no_signal_antijoin": no_signal_antijoin,
+        "preset_grid": preset_grid,
+        "src_prompt": analyze_full(5),
+        "analyze_full": analyze_full(10),
+    }
+    q |= {f"pat_{c}": pattern_hits(c) for c in CATEGORIES}
+    q |= {h: heuristic(h) for h in ("h_entropy", "h_special", "h_repeat", "h_punct", "h_format", "h_words", "h_caps", "h_rot13", "h_url", "h_unicode", "h_zw")}
+    q |= {c: combination(c) for c in ("c_triple", "c_multi", "c_socjail", "c_ctxrole", "c_socdata", "c_authurg", "c_escal", "c_multistage")}
+    return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in queries()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import java, let, n_bytes, occurrences, words
+from .base import f32, java, let, n_bytes, words
 
 # The named patterns.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -117,7 +117,7 @@ def format_duration(ms: Column) -> Column:
 
 
 def severity_bucket(confidence: Column) -> Column:
-    return F.when(confidence >= 0.9, "Critical").when(confidence >= 0.7, "High").when(confidence >= 0.5, "Medium").when(confidence >= 0.3, "Low").otherwise("None")
+    return F.when(confidence >= f32(0.9), "Critical").when(confidence >= f32(0.7), "High").when(confidence >= f32(0.5), "Medium").when(confidence >= f32(0.3), "Low").otherwise("Very Low")
 
 
 def group_and_count(df: DataFrame, key: str) -> DataFrame:
