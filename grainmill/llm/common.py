@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -26,12 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests) a temporary folder is used.
+    is unset (tests) a temporary folder is used. Shuffle files of what came before are
+    freed when the driver collects its garbage, so that is done here.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="grainmill-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def bucket_of(value: Column, splitters: list[int]) -> Column:

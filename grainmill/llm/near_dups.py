@@ -7,7 +7,7 @@ components of confirmed links are the groups.
 
 Documents with equal sets are one class first, so copies cost one row. In a bucket, each
 class is first held against the bucket's smallest class; what that leaves unjoined is held
-against each other on signatures, and what signatures do not rule out is confirmed too.
+against each other where it lies, and only links leave the bucket.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .common import cut
 from .components import connected_components
 
 _U = np.uint64
+#: Rows of a bucket that are compared with one another in one task, times two.
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -137,74 +140,118 @@ def band_keys(signature: str, how: Banding) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring(signature, 1 + k * step, step)) for k in range(how.bands)])
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    met = int(np.count_nonzero(merged[1:] == merged[:-1]))  # equal neighbours
+    return 100 * met >= percent * (len(merged) - met)
+
+
+def packed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, z): texts compressed, as they only travel from here on."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t.as_buffer().to_pybytes()) for t in b.column(1)], pa.binary())], ["id", "z"])
+
+    return docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, z binary")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets meet 100 * intersection >= percent * union. ``texts``: (id, text).
+    """The (a, b) of ``pairs`` whose full sets meet 100 * intersection >= percent * union. ``texts``: (id, z).
 
     The text of b goes to a's rows by joins that may be split, so a class with very many
     candidates spreads over tasks; each task keeps a's set while its rows pass.
     """
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, None
+        held, own, unpack = None, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
                 a = batch.column(0)[i].as_py()
                 if held is None or a != held:
-                    held, own = a, shingle_set(batch.column(2)[i].as_buffer().to_pybytes(), words)
-                other = shingle_set(batch.column(3)[i].as_buffer().to_pybytes(), words)
-                if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
-                    continue
-                # both are sorted and distinct: equal neighbours in the merged order are the intersection
-                merged = np.concatenate((own, other))
-                merged.sort(kind="stable")
-                met = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                if 100 * met >= percent * (len(merged) - met):
+                    held, own = a, shingle_set(unpack(batch.column(2)[i].as_buffer()), words)
+                other = shingle_set(unpack(batch.column(3)[i].as_buffer()), words)
+                if alike(own, other, percent):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _alike(residue: DataFrame, least: int) -> DataFrame:
-    """Pairs of different groups in one bucket whose signatures have at least ``least`` equal values.
+def _linked(residue: DataFrame, percent: int, how: Banding) -> DataFrame:
+    """(a, b): confirmed links between groups that share a bucket; per bucket at most enough to join its groups.
 
-    ``residue``: (bucket, id, component, signature), only of buckets in which more than one
-    group is left. A bucket passes through one task in blocks; only pairs that look alike leave it.
+    ``residue``: (bucket, band, n, id, component, signature, z), of buckets in which more
+    than one group is left, n their rows. A bucket of more than BLOCK rows is dealt in
+    pairs of blocks. Signatures with too few equal values rule a pair out; a pair that an
+    earlier band has in one bucket too is left to that; the others' full sets are compared
+    where they are, so that only links leave a task.
     """
     kind = residue.schema["id"].dataType.simpleString()
-    ordered = residue.repartition("bucket").sortWithinPartitions("bucket", "id")
+    n, j = how.bands * how.rows, percent / 100
+    least = int(np.floor(n * j - how.slack * np.sqrt(n * j * (1 - j))))
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = (
+        residue.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "id", "component", "signature", "z")
+        .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, ids, groups, marks = None, [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
+        place, rows = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(ids) < 2:
+            if len(rows) < 2:
                 return
-            sig = np.stack([np.frombuffer(m, np.uint32) for m in marks])
-            comp = np.unique(np.array(groups), return_inverse=True)[1]
-            for i in range(1, len(ids)):
-                others = np.flatnonzero(comp[:i] != comp[i])
-                if len(others):
-                    same = (sig[others] == sig[i]).sum(1)
-                    hit = others[same >= least]
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in hit]), pa.array([ids[i]] * len(hit))], ["a", "b"])
+            whole, band = place[1] == place[2], rows[0][1]
+            own = np.array([r[0] for r in rows])
+            sig = np.stack([np.frombuffer(r[4], np.uint32) for r in rows])
+            group = np.unique(np.array([r[3] for r in rows]), return_inverse=True)[1]
+            sets: dict[int, np.ndarray] = {}
+            found = []
+
+            def full(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingle_set(unpack(rows[k][5]), how.words)
+                return sets[k]
+
+            for i in range(1, len(rows)):
+                others = np.flatnonzero((group[:i] != group[i]) & (whole | (own[:i] != own[i])))
+                if not len(others):
+                    continue
+                same = sig[others] == sig[i]
+                others, same = others[same.sum(1) >= least], same[same.sum(1) >= least]
+                if band and len(others):
+                    others = others[~same[:, : band * how.rows].reshape(len(others), band, how.rows).all(2).any(1)]
+                for k in others.tolist():
+                    if group[k] != group[i] and alike(full(i), full(k), percent):
+                        found.append((rows[k][2], rows[i][2]))
+                        group[group == group[k]] = group[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
 
         for b in batches:
-            for k, i, c, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if k != bucket:
+            for bucket, low, high, own, band, i, c, m, z in zip(*(x.to_pylist() for x in b.columns)):
+                if (bucket, low, high) != place:
                     yield from flush()
-                    bucket, ids, groups, marks = k, [], [], []
-                ids.append(i)
-                groups.append(c)
-                marks.append(m)
+                    place, rows = (bucket, low, high), []
+                rows.append((own, band, i, c, m, z))
         yield from flush()
 
-    return ordered.select("bucket", "id", "component", "signature").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,23 +268,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding()
     # rows without words keep apart by their own id, so that no key gathers them
     key = [F.coalesce(c, F.xxhash64("id")).alias(c) for c in sets]
     member = rows.select("id", "n_shingles", *key).join(classes, sets, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    marked = rows.where("set1 is not null").groupBy(*sets).agg(F.min_by("signature", "id").alias("signature"), F.min("id").alias("id")).select("id", "signature")
-    spread = marked.select("id", F.explode(band_keys("signature", how)).alias("bucket"))
+    reps = classes.select(F.col("rep").alias("id"))
+    bands = rows.where("set1 is not null").select("id", band_keys("signature", how).alias("bands")).join(reps, "id", "left_semi").dropDuplicates(["id"])
+    spread = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low")
-    in_shared = spread.join(shared, "bucket")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    stars = in_shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    in_shared = cut(spread.join(shared, "bucket"))
+    stars = cut(in_shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    texts = cut(packed_texts(docs, doc_id, text).join(in_shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     links = cut(confirm(stars, texts, percent, how.words))
     found = connected_components(links)
-    placed = in_shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    residue = placed.join(open_, "bucket").join(marked.select("id", "signature"), "id")
-    n = how.bands * how.rows
-    j = percent / 100
-    least = int(np.floor(n * j - how.slack * np.sqrt(n * j * (1 - j))))
-    more = _alike(residue, least)
-    again = cut(confirm(more.join(stars, ["a", "b"], "left_anti"), texts, percent, how.words))
-    found = connected_components(links.unionByName(again))
-    out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    comp = F.coalesce("component", "rep")
+    placed = in_shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("bucket", "n")
+    payload = texts.join(rows.select("id", "signature").dropDuplicates(["id"]), "id")
+    again = cut(_linked(placed.join(open_, "bucket").join(payload, "id"), percent, how))
+    # the groups so far are the nodes now: few of them meet
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    met = again.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(met).select(F.col("node").alias("group"), F.col("component").alias("final"))
+    grouped = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    out = grouped.join(joined, "group", "left")
+    comp = F.coalesce("final", "group")
     return out.select(F.col("id").alias(doc_id), "n_shingles", comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
