@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -45,19 +46,25 @@ def n_bytes(text: Column) -> Column:
     return F.octet_length(text)
 
 
+def constant(values: list, kind: str) -> Column:
+    """A constant array from one literal: the plan stays small, and building it quick, whatever the number of values."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | text.contains(w)
-    return out
+    return F.exists(constant(list(words), "array<string>"), lambda w: text.contains(w))
 
 
 def count_contained(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur."""
-    out = F.lit(0)
-    for w in words:
-        out = out + text.contains(w).cast("int")
-    return out
+    return F.size(F.filter(constant(list(words), "array<string>"), lambda w: text.contains(w)))
+
+
+def weighted(text: Column, weights: tuple[tuple[str, float], ...]) -> Column:
+    """Sum of the weights of the phrases that occur, in single precision and in order."""
+    phrases, w = constant([p for p, _ in weights], "array<string>"), constant([repr(x) for _, x in weights], "array<string>").cast("array<float>")
+    step = lambda a, i: (a + F.when(text.contains(F.get(phrases, i)), F.get(w, i)).otherwise(f32(0.0))).cast("float")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(weights) - 1)), f32(0.0), step)
 
 
 def occurrences(text: Column, part: str) -> Column:

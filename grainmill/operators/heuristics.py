@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from grainmill.functions import codec
-from grainmill.functions.base import cap, contains_any, count_contained, f32, let, n_bytes, occurrences, words
+from grainmill.functions.base import cap, contains_any, count_contained, f32, let, n_bytes, occurrences, weighted, words
 from grainmill.functions.levels import SecurityLevel
 from grainmill.functions.text import entropy
 
@@ -168,10 +168,7 @@ def rot13_confidence(text: Column, level: SecurityLevel) -> Column:
 
 
 def benign_score(text: Column) -> Column:
-    low = F.lower(text)
-    score = f32(0.0)
-    for phrase, weight in BENIGN:
-        score = score + F.when(low.contains(phrase), f32(weight)).otherwise(f32(0.0))
+    score = let(F.lower(text), lambda low: weighted(low, BENIGN))
     score = score + F.when(text.endswith("?"), f32(0.5)).otherwise(f32(0.0))
     score = score + F.when(F.size(words(text)) > 5, f32(0.2)).otherwise(f32(0.0))
     return cap(score + F.when(text.rlike("[.!?]"), f32(0.3)).otherwise(f32(0.0)), 2.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import cap, count_contained, f32, let, truncate_bytes
+from grainmill.functions.base import cap, count_contained, f32, let, truncate_bytes, weighted
 
 from .signals import present, signal
 
@@ -31,11 +31,8 @@ def confusion(text: Column, threshold: float) -> list[Column]:
 
 
 def intent_score(text: Column) -> Column:
-    low, score = F.lower(text), f32(0.0)
-    for words, weight in ((EMOTIONAL, 0.2), (AUTHORITY, 0.15)):
-        for w in words:
-            score = score + F.when(low.contains(w), f32(weight)).otherwise(f32(0.0))
-    return score
+    weights = tuple((w, 0.2) for w in EMOTIONAL) + tuple((w, 0.15) for w in AUTHORITY)
+    return let(F.lower(text), lambda low: weighted(low, weights))
 
 
 def intent(text: Column, threshold: float) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import cap, contains_any, count_contained, f32, java, let, n_bytes, occurrences
+from grainmill.functions.base import cap, constant, contains_any, count_contained, f32, java, let, n_bytes, occurrences
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
 from grainmill.functions.phrases import RULES, expand, needed
 
@@ -56,31 +56,29 @@ class Matcher:
                 raise ValueError(f"pattern does not compile: {p}") from e
 
     def codes(self, text: Column) -> Column:
-        """Places in ``rules`` of those that match.
+        """Places in ``rules`` of those that match, ascending.
 
         A rule's pattern is tried only where the text has one of the strings without which
         it cannot match; those strings are looked for once a text, letters folded as
-        widely as the patterns fold them.
+        widely as the patterns fold them. The tables are constants that the optimizer
+        folds, so the plan stays small, whatever the number of rules.
         """
+        if not self.rules:
+            return F.array().cast("array<int>")
         needs = [needed(raw) for raw in self.raw()]
+        always = [k for k, n in enumerate(needs) if n is None]
         strings = sorted({s for n in needs if n for s in n})
+        rules_of = [[k for k, n in enumerate(needs) if n and s in n] for s in strings]
+        table, of = constant(strings, "array<string>"), constant(rules_of, "array<array<int>>")
 
-        def tried(present: Column) -> Column:
-            out = []
-            for c in self.names():
-                own = [k for k, r in enumerate(self.rules) if r[0] == c]
-                one = lambda k: text.rlike(self.rules[k][2]) if needs[k] is None else F.arrays_overlap(present, F.lit(list(needs[k]))) & text.rlike(self.rules[k][2])
-                hits = F.array_compact(F.array(*[F.when(one(k), F.lit(k)) for k in own]))
-                if len(own) > 1 and all(needs[k] for k in own):
-                    every = sorted({s for k in own for s in needs[k]})
-                    hits = F.when(F.arrays_overlap(present, F.lit(every)), hits).otherwise(F.array().cast("array<int>"))
-                out.append(hits)
-            return F.concat(*out)
+        def found(low: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.lit(len(strings) - 1)), lambda i: low.contains(F.get(table, i)))
 
-        if not self.rules:
-            return F.array().cast("array<int>")
-        present = let(F.lower(F.upper(text)), lambda low: F.filter(F.lit(strings), lambda s: low.contains(s))) if strings else F.array().cast("array<string>")
-        return let(present, tried)
+        tried = constant(always, "array<int>")
+        if strings:
+            tried = F.array_distinct(F.concat(tried, F.flatten(F.transform(let(F.lower(F.upper(text)), found), lambda i: F.get(of, i)))))
+        rx = constant([r[2] for r in self.rules], "array<string>")
+        return F.array_sort(F.filter(tried, lambda k: F.rlike(text, F.get(rx, k))))
 
     def raw(self) -> list[str]:
         """The rules' patterns as they were before they were put in Java's dialect."""
@@ -90,7 +88,10 @@ class Matcher:
         """A signal for the first match of each rule in ``codes``."""
         if not self.rules:
             return F.array().cast(f"array<{SIGNAL}>")
-        table = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("i"), F.lit(rx).alias("rx"), F.lit(self.kind(c)).alias("kind"), f32(self.base(c)).alias("base")) for c, i, rx in self.rules])
+        tables = {
+            "category": constant([c for c, _, _ in self.rules], "array<string>"), "i": constant([i for _, i, _ in self.rules], "array<int>"), "rx": constant([rx for _, _, rx in self.rules], "array<string>"),
+            "kind": constant([self.kind(c) for c, _, _ in self.rules], "array<string>"), "base": constant([repr(self.base(c)) for c, _, _ in self.rules], "array<string>").cast("array<float>"),
+        }
 
         def one(code: Column) -> Column:
             def located(r: Column) -> Column:
@@ -103,7 +104,7 @@ class Matcher:
                 custom = F.when(r["category"] == "custom", F.lit("Custom Pattern"))
                 return signal("pattern", r["kind"], confidence(r["category"], r["base"], content), custom_name=custom, span=span, category=r["category"], pattern_index=r["i"])
 
-            return let(F.get(table, code), located)
+            return let(F.struct(*[F.get(t, code).alias(name) for name, t in tables.items()]), located)
 
         return F.transform(codes, one)
 
@@ -124,9 +125,7 @@ def confidence(category: Column, base: Column, content: Column) -> Column:
     by_length = lambda c: F.when(size > 50, cap(c * f32(1.15))).when(size > 20, cap(c * f32(1.1))).when(size < 5, F.greatest(c * f32(0.8), f32(0.1))).otherwise(c)
 
     def paired(c: Column) -> Column:
-        pair = F.lit(False)
-        for a, b in RISKY_PAIRS:
-            pair = pair | (low.contains(a) & low.contains(b))
+        pair = F.exists(constant([list(p) for p in RISKY_PAIRS], "array<array<string>>"), lambda p: low.contains(F.get(p, 0)) & low.contains(F.get(p, 1)))
         return F.when(pair, cap(c * f32(1.25))).otherwise(c)
 
     def urgent(c: Column) -> Column:
