@@ -100,6 +100,10 @@ def keyword(make: Callable[[Column], Column]) -> Query:
     return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", let(truncate_bytes(F.col("text"), 512), make).alias("s")).select("prompt_id", num(F.col("s.confidence")).alias("confidence"))
 
 
+def listed(signals: Column) -> Column:
+    return F.array_join(F.transform(signals, lambda s: F.format_string("%.3f", s["confidence"].cast("double"))), ",")
+
+
 def combination(name: str) -> Query:
     return over_signals(lambda s, t: num(combine.combinations(s, t)[name]["confidence"]))
 
@@ -129,10 +133,10 @@ def analyze_full(level: int) -> Query:
 
 
 def preset_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Every preset over the phrases alone."""
+    """Three presets over the phrases alone."""
     p = mixed_prompts(spark, d).where("prompt_id % 3 = 0")
     out = None
-    for preset in Preset:
+    for preset in (Preset.CHAT_BOT, Preset.EDUCATIONAL, Preset.FINANCIAL):
         a = Detector(preset.config()).analyze(p).groupBy("risk_label").agg(F.count("*").alias("n")).withColumn("preset", F.lit(preset.value))
         out = a if out is None else out.unionByName(a)
     return out
@@ -277,6 +281,10 @@ def queries() -> dict[str, Query]:
         "f_context": lambda spark, d: fixed_signals(spark, d).select(
             "prompt_id", F.array_join(F.transform(combine.filter_by_context(F.col("signals"), preprocess.is_question(F.col("text")), preprocess.is_educational(F.col("text"))), lambda s: F.format_string("%.3f", s["confidence"].cast("double"))), ",").alias("out")
         ),
+        "f_question": over_signals(lambda s, t: listed(combine.halve_in_questions(s, preprocess.is_question(t)))),
+        "f_edu": over_signals(lambda s, t: listed(combine.lower_in_lessons(s, preprocess.is_educational(t)))),
+        "f_drop": over_signals(lambda s, t: F.size(combine.drop_faint(s, preprocess.is_question(t) | preprocess.is_educational(t)))),
+        "r_level": part_of_score(lambda s, v: F.when(F.size(s) > 0, scoring.risk_label(scoring.risk_of(scoring.score(s, v)["score"], v))), 7),
         "r_none": over_signals(lambda s, t: F.when(F.size(s) == 0, num(scoring.score(s, SecurityLevel(5))["confidence"]))),
         "r_catadj": part_of_score(lambda s, v: F.array_join(F.transform(s, lambda x: F.format_string("%.3f", scoring.adjusted(x, v).cast("double"))), ",")),
         "r_weighted": part_of_score(lambda s, v: num(scoring.score(s, v)["score"])),

@@ -52,12 +52,21 @@ def combination_signals(signals: Column, text: Column) -> Column:
     return present(*combinations(signals, text).values())
 
 
-def filter_by_context(signals: Column, question: Column, educational: Column) -> Column:
-    """Weaker social signals in questions and weaker authority or urgency ones in educational texts; what falls under 0.15 there goes."""
+def halve_in_questions(signals: Column, question: Column) -> Column:
+    """Social signals count half in questions."""
+    return F.transform(signals, lambda s: with_fields(s, confidence=F.when(question & (s["kind"] == "SocialEngineering"), s["confidence"] * f32(0.5)).otherwise(s["confidence"])))
+
+
+def lower_in_lessons(signals: Column, educational: Column) -> Column:
+    """Signals of authority or urgency count less in educational texts."""
+    pressed = lambda s: F.coalesce(s["category"].contains("authority") | s["category"].contains("urgency"), F.lit(False))
+    return F.transform(signals, lambda s: with_fields(s, confidence=F.when(educational & pressed(s), s["confidence"] * f32(0.4)).otherwise(s["confidence"])))
 
-    def one(s: Column) -> Column:
-        asked = F.when(question & (s["kind"] == "SocialEngineering"), s["confidence"] * f32(0.5)).otherwise(s["confidence"])
-        pressed = F.coalesce(s["category"].contains("authority") | s["category"].contains("urgency"), F.lit(False))
-        return with_fields(s, confidence=F.when(educational & pressed, asked * f32(0.4)).otherwise(asked))
 
-    return F.filter(F.transform(signals, one), lambda s: ~((s["confidence"] < f32(0.15)) & (question | educational)))
+def drop_faint(signals: Column, either: Column) -> Column:
+    """Signals under 0.15 go from questions and educational texts."""
+    return F.filter(signals, lambda s: ~((s["confidence"] < f32(0.15)) & either))
+
+
+def filter_by_context(signals: Column, question: Column, educational: Column) -> Column:
+    return drop_faint(lower_in_lessons(halve_in_questions(signals, question), educational), question | educational)

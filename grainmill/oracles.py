@@ -310,6 +310,10 @@ def sql() -> dict[str, str]:
         "v_rot13": over("prompts", kept(rot)),
         "v_ctrl": over("prompts", kept(pre)),
         "f_context": with_signals(context),
+        "f_question": with_signals(f"SELECT prompt_id, array_to_string(list_transform(signals, lambda s: printf('%.3f', (CASE WHEN qn AND s.kind = 'SocialEngineering' THEN (s.confidence * {f(0.5)})::FLOAT ELSE s.confidence END)::DOUBLE)), ',') AS out FROM (SELECT *, {question} AS qn FROM signals)"),
+        "f_edu": with_signals(f"SELECT prompt_id, array_to_string(list_transform(signals, lambda s: printf('%.3f', (CASE WHEN e AND (contains(s.category, 'authority') OR contains(s.category, 'urgency')) THEN (s.confidence * {f(0.4)})::FLOAT ELSE s.confidence END)::DOUBLE)), ',') AS out FROM (SELECT *, {educational} AS e FROM signals)"),
+        "f_drop": with_signals(f"SELECT prompt_id, len(list_filter(signals, lambda s: NOT (s.confidence < {f(0.15)} AND e))) AS out FROM (SELECT *, ({question} OR {educational}) AS e FROM signals)"),
+        "r_level": with_signals(f"SELECT prompt_id, CASE WHEN n > 0 THEN [{', '.join(q(r) for r in RISKS)}][({risk_sql(7)}) + 1] END AS out FROM ({scored(7)})"),
         "r_none": with_signals("SELECT prompt_id, CASE WHEN len(signals) = 0 THEN 1.0::DOUBLE END AS out FROM signals"),
         "r_catadj": with_signals(f"SELECT prompt_id, array_to_string(list_transform(rated, lambda r: printf('%.3f', r.c::DOUBLE)), ',') AS out FROM ({scored(5)})"),
         "r_weighted": with_signals(f"SELECT prompt_id, round(score::DOUBLE, 4) AS out FROM ({scored(5)})"),
