@@ -37,25 +37,16 @@ def extract_words(text: Column, least: int) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits a character, 0 for empty text. One sort of the characters; runs are counted at their last place."""
+    """Shannon bits a character, 0 for empty text. A character's count is what the text loses without it."""
 
-    def bits(cs: Column) -> Column:
-        n = F.size(cs)
+    def bits(n: Column) -> Column:
+        def more(h: Column, c: Column) -> Column:
+            share = (n - F.length(F.replace(text, c, F.lit("")))) / n
+            return h - share * F.log2(share)
 
-        def step(acc: Column, c: Column) -> Column:
-            same = acc["last"].eqNullSafe(c)
-            share = acc["run"] / n
-            closed = F.when(acc["run"] > 0, acc["h"] - share * F.log2(F.greatest(share, F.lit(1e-300)))).otherwise(acc["h"])
-            return F.struct(F.when(same, acc["h"]).otherwise(closed).alias("h"), c.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"))
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)), F.lit(0.0), more)
 
-        def finish(acc: Column) -> Column:
-            share = acc["run"] / n
-            return acc["h"] - share * F.log2(F.greatest(share, F.lit(1e-300)))
-
-        start = F.struct(F.lit(0.0).alias("h"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"))
-        return F.aggregate(cs, start, step, finish)
-
-    return F.when(text == "", 0.0).otherwise(let(F.array_sort(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)), bits))
+    return F.when(text == "", 0.0).otherwise(let(F.length(text), bits))
 
 
 def has_repeat(text: Column, least: int) -> Column:
