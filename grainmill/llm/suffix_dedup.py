@@ -32,9 +32,9 @@ ANCHOR = 64
 #: Starts looked at together, below 2^24 for the packed positions.
 STRIDE = 1 << 22
 #: Text of blocks that one suffix array holds.
-SORTED_BYTES = 1 << 22
+SORTED_BYTES = 1 << 20
 #: Differing blocks of one hash that one task gets.
-SALTED = 2048
+SALTED = 8192
 
 _U = np.uint64
 _BYTE = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -91,12 +91,12 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(x)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     step = np.append(np.sign(x[1:].astype(np.int16) - x[:-1].astype(np.int16)), -1).astype(np.int8)
     turn = np.where(step != 0, np.arange(n), n)
     turn = np.minimum.accumulate(turn[::-1])[::-1]
     smaller = step[turn] > 0
-    direct = np.flatnonzero(smaller)
+    direct = np.flatnonzero(smaller).astype(np.int32)
     direct = _sorted_to(direct, words8(x), depth)
     heads = np.searchsorted(x[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -116,7 +116,7 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
                 waiting[c].append(part)
         return before[same]
 
-    waiting[int(x[n - 1])].append(np.array([n - 1]))
+    waiting[int(x[n - 1])].append(np.array([n - 1], np.int32))
     for c in range(256):
         while waiting[c]:
             now = np.concatenate(waiting[c])
@@ -224,9 +224,11 @@ def _block_text(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         seen = set()
         for b in batches:
             for u, t, blocks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                if u in seen:
-                    continue
                 raw = t.as_buffer().to_pybytes()
+                own = (u, xxhash.xxh3_64_intdigest(raw))
+                if own in seen:  # a copy
+                    continue
+                seen.add(own)
                 rows = []
                 for w in blocks:
                     first, more = w["at"] >> 16, w["at"] & 0xFFFF
@@ -234,7 +236,6 @@ def _block_text(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     if np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64) == w["g"]:  # else another text of the same u
                         rows.append((w["h"], w["salt"], w["salts"], w["g"], w["n"], part))
                 if rows:
-                    seen.add(u)
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]], pa.array([r[5] for r in rows], pa.binary())], ["h", "salt", "salts", "g", "n", "block"])
 
     return texts.join(wanted, "u").select("u", "text", "blocks").mapInArrow(run, "h long, salt long, salts long, g long, n long, block binary")
@@ -306,10 +307,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", with_
     long_enough = rows.where(F.octet_length("text") >= length).select("u", "text")
     counts = _occurrences(long_enough, length, True).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     found = cut(_occurrences(long_enough, length, False).join(counts, "h"))
-    mixed = found.groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("h")
-    apart = cut(found.join(mixed, "h").groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("u", "at")).alias("one")))
-    spread = apart.groupBy("h").agg(F.ceil(F.count("*") / F.lit(SALTED)).cast("long").alias("salts"))
-    chosen = apart.join(spread, "h").select(
+    # distinct blocks first: a hash met everywhere is few rows from here on
+    per_block = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("u", "at")).alias("one"))
+    per_hash = per_block.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    apart = cut(per_block.join(per_hash, "h"))
+    mixed = apart.select("h").distinct()
+    chosen = apart.withColumn("salts", F.ceil(F.col("k") / F.lit(SALTED)).cast("long")).select(
         F.col("one.u").alias("u"), F.struct("h", F.pmod("g", "salts").alias("salt"), "salts", "g", "n", F.col("one.at").alias("at")).alias("b")
     )
     wanted = chosen.groupBy("u").agg(F.collect_list("b").alias("blocks"))
