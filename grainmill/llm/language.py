@@ -110,13 +110,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     got = sorted((r["h"], r["lang"], bytes(r["x"])) for r in rows.where(place < share).mapInArrow(run, "lang string, h long, x binary").collect())
     if not got:
         return Model((), np.ones((0, 1)), np.zeros((WIDTH + 1, 1)))
-    x = np.stack([np.frombuffer(r[2], np.float16) for r in got]).astype(np.float64)
-    x = np.hstack([x, np.ones((len(x), 1))])
     codes = codewords(len(langs))
     at = np.array([langs.index(r[1]) for r in got])
     w = 1.0 / np.bincount(at, minlength=len(langs))[at]  # languages weigh the same
-    gram = (x * w[:, None]).T @ x
-    return Model(langs, codes, np.linalg.solve(gram + ridge * np.eye(len(gram)) * np.trace(gram) / len(gram), (x * w[:, None]).T @ codes[at]))
+    gram, aim = np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros((WIDTH + 1, codes.shape[1]))
+    for low in range(0, len(got), 256):  # the driver holds the sums, not the matrix
+        x = np.stack([np.frombuffer(r[2], np.float16) for r in got[low : low + 256]]).astype(np.float64)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        part = slice(low, low + 256)
+        gram += (x * w[part, None]).T @ x
+        aim += (x * w[part, None]).T @ codes[at[part]]
+    gram[np.diag_indices_from(gram)] += ridge * np.trace(gram) / len(gram)
+    return Model(langs, codes, np.linalg.solve(gram, aim))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.6) -> DataFrame:
