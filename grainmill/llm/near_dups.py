@@ -75,7 +75,9 @@ def word_hashes(text: bytes) -> np.ndarray:
     if place is None:
         lead = first[0]
         place = np.concatenate((np.zeros(lead, np.int64), np.arange(lead, len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))))
-    power = _POWERS[place & 4095] * _mix((place >> 12).astype(np.uint64) + _U(1)) if len(x) and place.max() >= 4096 else _POWERS[place]
+    power = _POWERS[place & 4095]
+    far = np.flatnonzero(place >= 4096)  # by the place alone, so a word's hash does not depend on the words beside it
+    power[far] *= _mix((place[far] >> 12).astype(np.uint64) + _U(1))
     value = np.where(space, _U(0), _BYTE[x] * power)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     return _mix(total[stop] - total[first] + (stop - first).astype(np.uint64) * _U(0xD6E8FEB86659FD93))

@@ -126,3 +126,16 @@ def test_signatures_are_unbiased():
 
 def test_no_documents(spark, no_docs):
     assert near_dups.near_duplicates(no_docs).count() == 0
+
+
+def test_long_words_and_gaps_change_no_other_word(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, other = [word() for _ in range(1000)], [word() for _ in range(60)]
+    token = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:500], token, *base[500:]])), (3, " ".join(other)), (4, " ".join(other[:30]) + "\n" * 5000 + " ".join(other[30:]))]
+    rows += [(5, token[:4096] + "a" + token), (6, token[:4096] + "b" + token)]
+    assert near_dups.word_hashes(b"one " + token.encode() + b" two")[[0, 2]].tolist() == near_dups.word_hashes(b"one two").tolist()
+    want = groups(rows, 85)
+    assert [want[i][1] for i in range(1, 7)] == [1, 1, 3, 3, 5, 6]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 85) == want
