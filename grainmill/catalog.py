@@ -133,10 +133,10 @@ def analyze_full(level: int) -> Query:
 
 
 def preset_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Three presets over the phrases alone."""
-    p = mixed_prompts(spark, d).where("prompt_id % 3 = 0")
+    """Risk labels by preset, of every preset over every prompt; prompts that get an error have no label."""
+    p = spread(mixed_prompts(spark, d))
     out = None
-    for preset in (Preset.CHAT_BOT, Preset.EDUCATIONAL, Preset.FINANCIAL):
+    for preset in Preset:
         a = Detector(preset.config()).analyze(p).groupBy("risk_label").agg(F.count("*").alias("n")).withColumn("preset", F.lit(preset.value))
         out = a if out is None else out.unionByName(a)
     return out
@@ -217,8 +217,8 @@ def default_strategies(selected: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         sel = mitigate.Selector()
         of = (lambda k: sel.of(k)) if selected else (lambda k: mitigate.DEFAULTS[k])
-        rows = F.array(*[F.struct(F.lit(k).alias("kind"), of(k).apply(F.substring("text", 1, 30)).alias("out")) for k in mitigate.DEFAULTS])
-        return mixed_prompts(spark, d).where("prompt_id % 3 = 0").select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
+        rows = F.array(*[F.struct(F.lit(k).alias("kind"), of(k).apply(F.col("text")).alias("out")) for k in mitigate.DEFAULTS])
+        return mixed_prompts(spark, d).select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
 
     return run
 
