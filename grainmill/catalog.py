@@ -173,8 +173,8 @@ def a_label_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def helper_pair(make: Callable[[Column, Column], Column]) -> Query:
-    """Over the first ASCII characters of each prompt and of its document's source name."""
-    return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", make(F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40), F.concat(F.col("source"), F.lit(" instructions"))).alias("out"))
+    """Over each prompt and its document's source name."""
+    return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", make(F.col("text"), F.concat(F.col("source"), F.lit(" instructions"))).alias("out"))
 
 
 def events_by_type(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +206,7 @@ def strategies(spark: SparkSession, d: str) -> DataFrame:
     """Each way to transform a text."""
     S = mitigate.Strategy
     each = {"remove": S("remove"), "replace": S("replace", "[X]"), "encode": S("encode"), "prefix": S("prefix", "<<"), "suffix": S("suffix", ">>"), "wrap": S("wrap", "(", ")"), "custom": S("custom", "was: {original}")}
-    t = F.substring("text", 1, 60)
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), s.apply(t).alias("out"), F.lit(s.preserves_content).alias("preserves"), F.lit(s.removes_threat).alias("removes")) for k, s in each.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), s.apply(F.col("text")).alias("out"), F.lit(s.preserves_content).alias("preserves"), F.lit(s.removes_threat).alias("removes")) for k, s in each.items()])
     return mixed_prompts(spark, d).select("prompt_id", F.explode(rows).alias("r")).select("prompt_id", "r.*")
 
 
@@ -229,7 +228,7 @@ def respond(kind: str, message: str = "") -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = fixed_signals(spark, d)
         risk = (F.col("prompt_id") % 5).cast("byte")
-        return s.select("prompt_id", mitigate.respond(F.substring("text", 1, 80), F.col("signals"), risk, r, SecurityLevel(5), 10_000).alias("out"), r.would_mitigate(scoring.is_injection(risk)).alias("would"))
+        return s.select("prompt_id", mitigate.respond(F.col("text"), F.col("signals"), risk, r, SecurityLevel(5), 10_000).alias("out"), r.would_mitigate(scoring.is_injection(risk)).alias("would"))
 
     return run
 
@@ -247,7 +246,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    low = lambda t: F.substring(t, 1, 300)
     q: dict[str, Query] = {
         "pred_empty": scalar(lambda t: t == ""),
         "pred_maxlen": scalar(lambda t: preprocess.too_long(t, preprocess.Preprocessing())),
@@ -273,11 +271,11 @@ def queries() -> dict[str, Query]:
         "s_switch": keyword(lambda t: keywords.switches(t, 0.1)),
         "v_url": scalar(variants.url_variant),
         "v_b64": scalar(variants.base64_variant),
-        "v_b64frag": scalar(lambda t: F.array_join(variants.base64_fragments(low(t)), "|")),
+        "v_b64frag": scalar(lambda t: F.array_join(variants.base64_fragments(t), "|")),
         "v_hex": scalar(variants.hex_variant),
         "v_rot13": scalar(variants.rot13_variant),
         "v_ctrl": scalar(variants.control_variant),
-        "v_dedup": scalar(lambda t: F.array_join(variants.decoded_variants(low(t)), "|")),
+        "v_dedup": scalar(lambda t: F.array_join(variants.decoded_variants(t), "|")),
         "f_context": lambda spark, d: fixed_signals(spark, d).select(
             "prompt_id", F.array_join(F.transform(combine.filter_by_context(F.col("signals"), preprocess.is_question(F.col("text")), preprocess.is_educational(F.col("text"))), lambda s: F.format_string("%.3f", s["confidence"].cast("double"))), ",").alias("out")
         ),
@@ -295,13 +293,13 @@ def queries() -> dict[str, Query]:
         "r_diversity": over_signals(lambda s, t: F.size(F.array_distinct(F.transform(s, combine.type_name)))),
         "m_allow": respond("allow"), "m_block": respond("block"), "m_warn": respond("warn"), "m_custom": respond("custom", "Please rephrase."), "m_sanitize": respond("sanitize"),
         "ms_apply": strategies,
-        "ms_encode": scalar(lambda t: mitigate.encode_specials(low(t))),
+        "ms_encode": scalar(mitigate.encode_specials),
         "ms_default": default_strategies(False),
         "ms_select": default_strategies(True),
         "san_pipeline": sanitized,
-        "san_dec": scalar(lambda t: mitigate.sanitize_encodings(low(t))),
-        "san_se": scalar(lambda t: mitigate.soften_social(low(t))),
-        "san_general": scalar(lambda t: mitigate.sanitize_general(low(t), True)),
+        "san_dec": scalar(mitigate.sanitize_encodings),
+        "san_se": scalar(mitigate.soften_social),
+        "san_general": scalar(lambda t: mitigate.sanitize_general(t, True)),
         "san_cleanup": scalar(lambda t: mitigate.clean_up(t, 200)),
         "a_totals": a_totals,
         "a_rate_pct": lambda s, d: metrics.detection_rate_percent(metrics.totals(events(s, d))).select(F.round("detection_rate_percent", 4).alias("detection_rate_percent")),
@@ -313,15 +311,15 @@ def queries() -> dict[str, Query]:
         "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
         "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
         "a_label_eval": a_label_eval,
-        "u_norm": scalar(lambda t: tx.normalize(low(t))),
+        "u_norm": scalar(tx.normalize),
         "u_lev": helper_pair(tx.distance),
         "u_sim": helper_pair(lambda a, b: F.round(tx.similarity(a, b), 6)),
-        "u_words": scalar(lambda t: F.array_join(tx.extract_words(low(t), 4), " ")),
-        "u_entropy": scalar(lambda t: F.round(tx.entropy(low(t)), 6)),
-        "u_repeat": scalar(lambda t: tx.has_repeat(F.substring(t, 1, 80), 3)),
+        "u_words": scalar(lambda t: F.array_join(tx.extract_words(t, 4), " ")),
+        "u_entropy": scalar(lambda t: F.round(tx.entropy(t), 6)),
+        "u_repeat": scalar(lambda t: tx.has_repeat(t, 3)),
         "u_isb64": scalar(tx.is_base64),
         "u_ishex": scalar(tx.is_hex),
-        "u_urldec": scalar(lambda t: tx.url_decode_latin(low(t))),
+        "u_urldec": scalar(tx.url_decode_latin),
         "u_detect": scalar(lambda t: F.array_join(tx.detect_encodings(t), ",")),
         "u_rx": scalar(lambda t: F.regexp_extract(t, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0)),
         "u_valid": scalar(lambda t: F.concat_ws(",", tx.valid_length(t, 1, 1000).cast("string"), tx.safe_characters(t).cast("string"), tx.valid_email(t).cast("string"), tx.valid_url(t).cast("string"))),
