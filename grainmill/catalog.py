@@ -236,7 +236,7 @@ def respond(kind: str, message: str = "") -> Query:
 def sanitized(spark: SparkSession, d: str) -> DataFrame:
     """Local and global strategies folded over real signals."""
     m = Matcher(SecurityLevel(5))
-    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 2000)).withColumn("s", m.signals(F.col("text"), m.codes(F.col("text"))))
+    p = spread(mixed_prompts(spark, d)).withColumn("s", m.signals(F.col("text"), m.codes(F.col("text"))))
     return p.where(F.size("s") > 0).select("prompt_id", mitigate.sanitize(F.col("text"), F.col("s")).alias("out"))
 
 
