@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainmill import oracles
 from grainmill.functions import codec, text as tx
-from grainmill.functions.base import f32, let, n_bytes, truncate_bytes
+from grainmill.functions.base import f32, let, truncate_bytes
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
 from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, preprocess, scoring, variants
 from grainmill.operators.patterns import Matcher
@@ -48,7 +48,7 @@ def pattern_hits(category: str) -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         m = Matcher(SecurityLevel(5), (category,))
-        p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)).withColumn("codes", m.codes(F.col("text"))).where(F.size("codes") > 0)
+        p = spread(mixed_prompts(spark, d)).withColumn("codes", m.codes(F.col("text"))).where(F.size("codes") > 0)
         s = p.withColumn("s", F.get(m.signals(F.col("text"), F.col("codes")), 0))
         return s.select("prompt_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("hits"), F.col("s.span.content").alias("content"), num(F.col("s.confidence")).alias("confidence"))
 
@@ -58,7 +58,7 @@ def pattern_hits(category: str) -> Query:
 def pat_scan(spark: SparkSession, d: str) -> DataFrame:
     """All rules of level 5, exploded to one row a match."""
     m = Matcher(SecurityLevel(5))
-    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+    p = spread(mixed_prompts(spark, d))
     s = p.select("prompt_id", F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s"))
     return s.select("prompt_id", F.col("s.category").alias("category"), F.col("s.pattern_index").alias("pattern_index"), F.col("s.span.start").alias("start"), F.col("s.span.end").alias("stop"))
 
@@ -67,7 +67,7 @@ def pat_scan_join(spark: SparkSession, d: str) -> DataFrame:
     """The relational form: prompts joined to the table of rules by matching."""
     m = Matcher(SecurityLevel(1))
     rules = spark.createDataFrame([(c, i, rx) for c, i, rx in m.rules], "category string, i int, rx string")
-    p = mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)
+    p = mixed_prompts(spark, d)
     return p.join(rules, F.rlike(p["text"], rules["rx"])).groupBy("category", "i").agg(F.count("*").alias("n"))
 
 
@@ -80,20 +80,20 @@ def pat_custom(spark: SparkSession, d: str) -> DataFrame:
 
 def pat_type_counts(spark: SparkSession, d: str) -> DataFrame:
     m = Matcher(SecurityLevel(3))
-    p = spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+    p = spread(mixed_prompts(spark, d))
     return p.select(F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 def heuristic(name: str) -> Query:
     return lambda spark, d: (
-        spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000))
+        spread(mixed_prompts(spark, d))
         .select("prompt_id", heuristics.checks(F.col("text"), SecurityLevel(5))[name].alias("s"))
         .select("prompt_id", F.col("s").isNotNull().alias("fired"), num(F.col("s.confidence")).alias("confidence"))
     )
 
 
 def heuristic_flag(make: Callable[[Column], Column]) -> Query:
-    return lambda spark, d: spread(mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)).select("prompt_id", make(F.col("text")).alias("fired"))
+    return lambda spark, d: spread(mixed_prompts(spark, d)).select("prompt_id", make(F.col("text")).alias("fired"))
 
 
 def keyword(make: Callable[[Column], Column]) -> Query:
@@ -197,7 +197,7 @@ def source_rollup(spark: SparkSession, d: str) -> DataFrame:
 def no_signal_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """Prompts that no rule of level 1 matches."""
     m = Matcher(SecurityLevel(1))
-    p = mixed_prompts(spark, d).where(n_bytes(F.col("text")) <= 10_000)
+    p = mixed_prompts(spark, d)
     hit = p.where(F.size(m.codes(F.col("text"))) > 0).select("prompt_id").distinct()
     return p.join(hit, "prompt_id", "left_anti").select("prompt_id")
 

@@ -138,3 +138,12 @@ def test_long_prompts_are_sanitized(spark, long):
     got = {r["prompt_id"]: r["out"] for r in catalog.sanitized(spark, long).collect()}
     assert got[2].endswith(" [INSTRUCTION_FILTERED]") and len(got[2]) > 3_000
     assert got[5].endswith("[TRUNCATED]") and len(got[5]) > 9_000
+
+
+def test_long_prompts_are_scanned(spark, long):
+    q = catalog.queries()
+    ids = lambda name: sorted(r["prompt_id"] for r in q[name](spark, long).collect())
+    assert ids("pat_instruction_override") == [2, 5] and set(ids("pat_scan")) == {2, 5}
+    assert ids("no_signal_antijoin") == [8]
+    assert ids("h_caps") == ids("h_b64") == [2, 5, 8]
+    assert sum(r["n"] for r in q["pat_type_counts"](spark, long).collect()) == 2 == sum(r["n"] for r in q["pat_scan_join"](spark, long).collect())
