@@ -94,3 +94,19 @@ def test_cuts_are_optimal_by_brute_force():
         cuts = packing.choose_cuts(ends, sentences, n, length, True)
         got = sum(price(b - a) + places[b] for a, b in zip([0, *cuts], cuts))
         assert got == best[n]
+
+
+def test_texts_without_sentence_ends_are_cut_inside():
+    ends = np.arange(1, 201) * 410
+    cuts = packing.choose_cuts(ends, np.zeros(0, np.int64), int(ends[-1]), 2048, True)
+    size = np.diff([0, *cuts])
+    assert size.max() <= 2048 and cuts[-1] == ends[-1]
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in size.tolist()[:-1]) < 0.03 * ends[-1]
+
+
+def test_other_scripts_sentences_are_cut_at_their_ends(spark):
+    for mark in "。！؟।":
+        df = spark.createDataFrame([(1, f"abc def ghi jkl{mark} " * 60)], "doc_id long, text string")
+        own = len(library(mark))
+        rows = sorted(packing.pack(df, 64, with_ids=True).collect(), key=lambda r: r["start"])
+        assert len(rows) > 4 and all(list(r["ids"][-own:]) == library(mark) for r in rows[:-1]), mark
