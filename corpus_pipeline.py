@@ -21,8 +21,13 @@ BANDING = near_dups.Banding(bands=30, rows=4)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; ``lang`` stays as it was. Null texts, texts without letters and undecided ones go."""
+    """Documents whose language is known; ``lang`` stays as it was. Null texts, texts without letters and undecided ones go.
+
+    Where no row has a text and a label, no language can be learned: all texts with letters stay.
+    """
     model = language.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -63,3 +63,12 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = cp.run(spark, str(tmp_path))
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+def test_documents_without_any_label_stay(spark, docs):
+    cp = pytest.importorskip("corpus_pipeline")
+
+    rows = labelled(20, 3)
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t, _ in rows] + [(900, None, None, None, 0), (901, "123 ²", None, "s", 5), (902, "", None, "s", 0)], docs.schema)
+    out = cp.identify_language(spark, df, "")
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {r[0] for r in rows}
