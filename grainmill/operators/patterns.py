@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.base import cap, constant, contains_any, count_contained, f32, java, let, n_bytes, occurrences
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
-from grainmill.functions.phrases import RULES, expand, needed
+from grainmill.functions.phrases import RULES, needed
 
 from .signals import SIGNAL, signal
 
@@ -36,7 +36,7 @@ class Matcher:
 
     def __post_init__(self) -> None:
         names = self.level.categories if self.categories is None else self.categories
-        found = [(c, i, java(expand(r), not self.case_sensitive)) for c in sorted(set(names)) for i, r in enumerate(RULES.get(c, ()))]
+        found = [(c, i, java(r, not self.case_sensitive)) for c in sorted(set(names)) for i, r in enumerate(RULES.get(c, ()))]
         found += [("custom", i, java(p, not self.case_sensitive)) for i, p in enumerate(self.custom)]
         if not self.max_patterns:
             raise ValueError("max_patterns must be above 0")
@@ -82,7 +82,7 @@ class Matcher:
 
     def raw(self) -> list[str]:
         """The rules' patterns as they were before they were put in Java's dialect."""
-        return [self.custom[i] if c == "custom" else expand(RULES[c][i]) for c, i, _ in self.rules]
+        return [self.custom[i] if c == "custom" else RULES[c][i] for c, i, _ in self.rules]
 
     def signals(self, text: Column, codes: Column) -> Column:
         """A signal for the first match of each rule in ``codes``."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from grainmill.functions.levels import CATEGORIES, RISKS, SEVERITY, SecurityLevel
-from grainmill.functions.phrases import RULES, expand
+from grainmill.functions.phrases import RULES
 from grainmill.operators import combine, heuristics, keywords, mitigate, patterns, preprocess
 from grainmill.sources.prompts import PHRASES
 
@@ -51,7 +51,7 @@ def over(table: str, expr: str, *ctes: str) -> str:
 
 
 def rule(category: str, i: int) -> str:
-    return q("(?i)" + expand(RULES[category][i]))
+    return q("(?i)" + RULES[category][i])
 
 
 def confidence_sql(category: str, source: str) -> str:
