@@ -1,4 +1,4 @@
-"""Every query of the engine: an operator each over the small mixed prompt corpus or the tables, with SQL where SQL can say it."""
+"""Every query of the engine: an operator each over all documents and the fixed phrases, or over the tables, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill import oracles
+from grainmill import oracle_analysis, oracles
 from grainmill.functions import codec, text as tx
-from grainmill.functions.base import f32, let, truncate_bytes
+from grainmill.functions.base import f32, java, let, truncate_bytes
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
 from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, preprocess, scoring, variants
 from grainmill.operators.patterns import Matcher
@@ -32,10 +32,11 @@ def scalar(make: Callable[[Column], Column]) -> Query:
 
 def fixed_signals(spark: SparkSession, d: str) -> DataFrame:
     """(prompt_id, text, signals): signals that follow from the id alone, so that any engine can make them."""
+    key = F.abs("prompt_id")
     kinds = F.array(*[F.lit(k) for k in oracles.KINDS])
-    conf = lambda i: (F.pmod(F.col("prompt_id") * 7 + i * 13, F.lit(100)).cast("float") / f32(100.0)).cast("float")
+    conf = lambda i: (F.pmod(key * 7 + i * 13, F.lit(100)).cast("float") / f32(100.0)).cast("float")
     one = lambda k, i: signal("pattern", k, conf(i), category=F.get(F.array(*[F.lit(c) for c in oracles.SIGNAL_CATEGORIES]), i))
-    chosen = F.filter(F.transform(kinds, lambda k, i: F.struct(one(k, i).alias("s"), F.floor(F.col("prompt_id") / F.pow(F.lit(2), i)).cast("long").alias("b"))), lambda x: x["b"] % 2 == 1)
+    chosen = F.filter(F.transform(kinds, lambda k, i: F.struct(one(k, i).alias("s"), F.floor(key / F.pow(F.lit(2), i)).cast("long").alias("b"))), lambda x: x["b"] % 2 == 1)
     return mixed_prompts(spark, d).select("prompt_id", "text", F.transform(chosen, lambda x: x["s"]).alias("signals"))
 
 
@@ -44,13 +45,12 @@ def over_signals(make: Callable[[Column, Column], Column]) -> Query:
 
 
 def pattern_hits(category: str) -> Query:
-    """Indexes of the category's rules that match, first match and its confidence, where any does."""
+    """The category's rules that match, a row each, with the first match and its confidence."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         m = Matcher(SecurityLevel(5), (category,))
-        p = spread(mixed_prompts(spark, d)).withColumn("codes", m.codes(F.col("text"))).where(F.size("codes") > 0)
-        s = p.withColumn("s", F.get(m.signals(F.col("text"), F.col("codes")), 0))
-        return s.select("prompt_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("hits"), F.col("s.span.content").alias("content"), num(F.col("s.confidence")).alias("confidence"))
+        s = spread(mixed_prompts(spark, d)).select("prompt_id", F.explode(m.signals(F.col("text"), m.codes(F.col("text")))).alias("s"))
+        return s.select("prompt_id", F.col("s.pattern_index").alias("pattern_index"), F.col("s.span.content").alias("content"), num(F.col("s.confidence")).alias("confidence"))
 
     return run
 
@@ -92,10 +92,6 @@ def heuristic(name: str) -> Query:
     )
 
 
-def heuristic_flag(make: Callable[[Column], Column]) -> Query:
-    return lambda spark, d: spread(mixed_prompts(spark, d)).select("prompt_id", make(F.col("text")).alias("fired"))
-
-
 def keyword(make: Callable[[Column], Column]) -> Query:
     return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", let(truncate_bytes(F.col("text"), 512), make).alias("s")).select("prompt_id", num(F.col("s.confidence")).alias("confidence"))
 
@@ -177,6 +173,12 @@ def helper_pair(make: Callable[[Column, Column], Column]) -> Query:
     return lambda spark, d: mixed_prompts(spark, d).select("prompt_id", make(F.col("text"), F.concat(F.col("source"), F.lit(" instructions"))).alias("out"))
 
 
+def named_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The first match of each named pattern; empty without one."""
+    p = mixed_prompts(spark, d)
+    return p.select("prompt_id", *[F.regexp_extract("text", java(rx, False), 0).alias(k) for k, rx in tx.NAMED.items()])
+
+
 def events_by_type(spark: SparkSession, d: str) -> DataFrame:
     return tx.group_and_count(spark.read.parquet(f"{d}/events.parquet"), "event_type")
 
@@ -227,7 +229,7 @@ def respond(kind: str, message: str = "") -> Query:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = fixed_signals(spark, d)
-        risk = (F.col("prompt_id") % 5).cast("byte")
+        risk = (F.abs("prompt_id") % 5).cast("byte")
         return s.select("prompt_id", mitigate.respond(F.col("text"), F.col("signals"), risk, r, SecurityLevel(5), 10_000).alias("out"), r.would_mitigate(scoring.is_injection(risk)).alias("would"))
 
     return run
@@ -261,11 +263,8 @@ def queries() -> dict[str, Query]:
         "pat_scan_join": pat_scan_join,
         "pat_custom": pat_custom,
         "pat_type_counts": pat_type_counts,
-        "h_b64": heuristic_flag(heuristics.has_base64),
-        "h_hex": heuristic_flag(heuristics.has_hex),
-        "h_multi": heuristic_flag(heuristics.multi_layer),
         "h_benign": scalar(lambda t: num(heuristics.benign_score(t))),
-        "h_adjust": lambda spark, d: fixed_signals(spark, d).select("prompt_id", F.size(let(heuristics.benign_score(F.col("text")), lambda b: heuristics.damp(F.col("signals"), b))).alias("out")),
+        "h_adjust": lambda spark, d: fixed_signals(spark, d).select("prompt_id", listed(let(heuristics.benign_score(F.col("text")), lambda b: heuristics.damp(F.col("signals"), b))).alias("out")),
         "s_confusion": keyword(lambda t: F.coalesce(*keywords.confusion(t, 0.1))),
         "s_intent": keyword(lambda t: keywords.intent(t, 0.1)),
         "s_switch": keyword(lambda t: keywords.switches(t, 0.1)),
@@ -281,7 +280,7 @@ def queries() -> dict[str, Query]:
         ),
         "f_question": over_signals(lambda s, t: listed(combine.halve_in_questions(s, preprocess.is_question(t)))),
         "f_edu": over_signals(lambda s, t: listed(combine.lower_in_lessons(s, preprocess.is_educational(t)))),
-        "f_drop": over_signals(lambda s, t: F.size(combine.drop_faint(s, preprocess.is_question(t) | preprocess.is_educational(t)))),
+        "f_drop": over_signals(lambda s, t: listed(combine.drop_faint(s, preprocess.is_question(t) | preprocess.is_educational(t)))),
         "r_level": part_of_score(lambda s, v: F.when(F.size(s) > 0, scoring.risk_label(scoring.risk_of(scoring.score(s, v)["score"], v))), 7),
         "r_none": over_signals(lambda s, t: F.when(F.size(s) == 0, num(scoring.score(s, SecurityLevel(5))["confidence"]))),
         "r_catadj": part_of_score(lambda s, v: F.array_join(F.transform(s, lambda x: F.format_string("%.3f", scoring.adjusted(x, v).cast("double"))), ",")),
@@ -307,7 +306,7 @@ def queries() -> dict[str, Query]:
         "a_threat": a_threat,
         "a_conf": a_conf,
         "a_pct": lambda s, d: metrics.percentiles(events(s, d)),
-        "a_retain": lambda s, d: metrics.retained(events(s, d), samples=500, age="6 hours").select("seq"),
+        "a_retain": lambda s, d: metrics.retained(events(s, d)).select("seq"),
         "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
         "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
         "a_label_eval": a_label_eval,
@@ -321,7 +320,7 @@ def queries() -> dict[str, Query]:
         "u_ishex": scalar(tx.is_hex),
         "u_urldec": scalar(tx.url_decode_latin),
         "u_detect": scalar(lambda t: F.array_join(tx.detect_encodings(t), ",")),
-        "u_rx": scalar(lambda t: F.regexp_extract(t, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0)),
+        "u_rx": named_patterns,
         "u_valid": scalar(lambda t: F.concat_ws(",", tx.valid_length(t, 1, 1000).cast("string"), tx.safe_characters(t).cast("string"), tx.valid_email(t).cast("string"), tx.valid_url(t).cast("string"))),
         "u_group": events_by_type,
         "u_mode": lambda s, d: tx.most_common(s.read.parquet(f"{d}/events.parquet"), "event_type"),
@@ -336,10 +335,10 @@ def queries() -> dict[str, Query]:
         "analyze_full": analyze_full(10),
     }
     q |= {f"pat_{c}": pattern_hits(c) for c in CATEGORIES}
-    q |= {h: heuristic(h) for h in ("h_entropy", "h_special", "h_repeat", "h_punct", "h_format", "h_words", "h_caps", "h_rot13", "h_url", "h_unicode", "h_zw")}
+    q |= {h: heuristic(h) for h in ("h_b64", "h_hex", "h_multi", "h_entropy", "h_special", "h_repeat", "h_punct", "h_format", "h_words", "h_caps", "h_rot13", "h_url", "h_unicode", "h_zw")}
     q |= {c: combination(c) for c in ("c_triple", "c_multi", "c_socjail", "c_ctxrole", "c_socdata", "c_authurg", "c_escal", "c_multistage")}
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracles.sql().items() if k in queries()}
+    return {k: v for k, v in (oracles.sql() | oracle_analysis.sql()).items() if k in queries()}

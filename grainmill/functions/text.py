@@ -13,6 +13,7 @@ URL = r"https?://(?:[-\w.])+(?:\:[0-9]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:
 IP_ADDRESS = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 BASE64 = r"^[A-Za-z0-9+/]*={0,2}$"
 HEX = r"^[0-9a-fA-F]+$"
+NAMED = {"email": EMAIL, "url": URL, "ip_address": IP_ADDRESS, "base64": BASE64, "hex": HEX}
 
 
 def normalize(text: Column) -> Column:

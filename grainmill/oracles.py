@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from grainmill.functions.levels import CATEGORIES, RISKS, SEVERITY, SecurityLevel
 from grainmill.functions.phrases import RULES
+from grainmill.functions.text import NAMED
 from grainmill.operators import combine, heuristics, keywords, mitigate, patterns, preprocess
 from grainmill.sources.prompts import PHRASES
 
@@ -34,13 +35,13 @@ def f(x: float) -> str:
 
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 PROMPTS = (
-    "phrases(i, phrase) AS (VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(PHRASES)) + "), prompts AS (SELECT doc_id AS prompt_id, source, "
-    "CASE doc_id % 3 WHEN 0 THEN phrase WHEN 1 THEN phrase || ' ' || substr(text, 1, 200) ELSE text END AS text "
-    f"FROM documents JOIN phrases ON phrases.i = (doc_id // 3) % {len(PHRASES)}), small AS (SELECT * FROM prompts WHERE strlen(text) <= 10000)"
+    "phrases(i, phrase) AS (VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(PHRASES)) + "), prompts AS (SELECT doc_id AS prompt_id, text, source FROM documents "
+    "UNION ALL SELECT -1 - i, phrase, 'phrases' FROM phrases "
+    f"UNION ALL SELECT -1001 - a.i, a.phrase || ' ' || b.phrase, 'phrases' FROM phrases a JOIN phrases b ON b.i = (a.i * 7 + 3) % {len(PHRASES)})"
 )
 SIGNALS = (
     "signals AS (SELECT prompt_id, text, list_filter([" + ", ".join(
-        f"{{'kind': {q(k)}, 'category': {q(c)}, 'confidence': (CAST((prompt_id * 7 + {i * 13}) % 100 AS FLOAT) / {f(100.0)})::FLOAT, 'b': (prompt_id // {2**i}) % 2}}"
+        f"{{'kind': {q(k)}, 'category': {q(c)}, 'confidence': (CAST((abs(prompt_id) * 7 + {i * 13}) % 100 AS FLOAT) / {f(100.0)})::FLOAT, 'b': (abs(prompt_id) // {2**i}) % 2}}"
         for i, (k, c) in enumerate(zip(KINDS, SIGNAL_CATEGORIES))
     ) + "], lambda s: s.b = 1) AS signals FROM prompts)"
 )
@@ -54,59 +55,236 @@ def rule(category: str, i: int) -> str:
     return q("(?i)" + RULES[category][i])
 
 
-def confidence_sql(category: str, source: str) -> str:
-    """``source``: a query with prompt_id, hits, content. Adds confidence, a step a level."""
-    known = CATEGORIES[category][1]
-    base = SecurityLevel(5).encoding_base if known is None else known
+def confidence_sql(source: str, level: int = 5) -> str:
+    """``source``: a query with category and content, the first match of a rule. Adds ``confidence``, a step a level."""
+    v = SecurityLevel(level)
+    base = "CASE category " + " ".join(f"WHEN {q(c)} THEN {f(v.encoding_base if known is None else known)}" for c, (_, known, _) in CATEGORIES.items()) + f" WHEN 'custom' THEN {f(0.7)} ELSE {f(0.5)} END"
     up = lambda c, by: f"least(({c} * {f(by)})::FLOAT, {f(1.0)})"
     pair = " OR ".join(f"(contains(low, {q(a)}) AND contains(low, {q(b)}))" for a, b in patterns.RISKY_PAIRS)
-    urgent = any_of("low", patterns.URGENT)
+    pressed = f"(contains(category, 'social_engineering') AND {any_of('low', patterns.URGENT)})"
     asks = "(contains(low, '?') OR prefix(low, 'how ') OR prefix(low, 'what ') OR contains(low, 'can you help') OR contains(low, 'please help'))"
-    social = "TRUE" if "social_engineering" in category else "FALSE"
-    encoding = "TRUE" if "encoding" in category else "FALSE"
     marks = f"({times('content', '=')} > 1 OR {times('content', '%')} > 5 OR {times('content', chr(92) + 'u')} > 3)"
     steps = (
         f"CASE WHEN strlen(content) > 50 THEN {up('c0', 1.15)} WHEN strlen(content) > 20 THEN {up('c0', 1.1)} WHEN strlen(content) < 5 THEN greatest((c0 * {f(0.8)})::FLOAT, {f(0.1)}) ELSE c0 END",
         f"CASE WHEN {pair} THEN {up('c1', 1.25)} ELSE c1 END",
-        f"CASE WHEN {social} AND {urgent} AND {asks} THEN {up('c2', 0.8)} WHEN {social} AND {urgent} THEN {up('c2', 1.15)} ELSE c2 END",
+        f"CASE WHEN {pressed} AND {asks} THEN {up('c2', 0.8)} WHEN {pressed} THEN {up('c2', 1.15)} ELSE c2 END",
         f"CASE WHEN contains(low, 'i am your') OR contains(low, 'this is your') THEN {up('c3', 1.3)} ELSE c3 END",
-        f"CASE WHEN {encoding} AND {marks} THEN {up('c4', 1.2)} ELSE c4 END",
+        f"CASE WHEN contains(category, 'encoding') AND {marks} THEN {up('c4', 1.2)} ELSE c4 END",
         f"CASE WHEN {count_of('low', patterns.SUSPICIOUS)} >= 3 THEN {up('c5', 1.15)} ELSE c5 END",
     )
-    sql = f"SELECT *, lower(content) AS low, {f(base)} AS c0 FROM ({source})"
+    sql = f"SELECT *, lower(content) AS low, {base} AS c0 FROM ({source})"
     for k, s in enumerate(steps, 1):
         sql = f"SELECT *, {s} AS c{k} FROM ({sql})"
-    return f"SELECT prompt_id, hits, content, round(greatest(c6, {f(0.1)})::DOUBLE, 4) AS confidence FROM ({sql})"
+    return f"SELECT * EXCLUDE (low, c0, c1, c2, c3, c4, c5, c6), greatest(c6, {f(0.1)}) AS confidence FROM ({sql})"
 
 
 def pattern_sql(category: str) -> str:
-    rules = range(len(RULES[category]))
-    hits = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {rule(category, i)}) THEN '{i}' END" for i in rules) + ")"
-    content = "COALESCE(" + ", ".join(f"CASE WHEN regexp_matches(text, {rule(category, i)}) THEN regexp_extract(text, {rule(category, i)}) END" for i in rules) + ")"
-    source = f"SELECT * FROM (SELECT prompt_id, {hits} AS hits, {content} AS content FROM small) WHERE hits <> ''"
-    return f"WITH {PROMPTS} {confidence_sql(category, source)}"
-
-
-def matches(level: int) -> str:
-    """A CTE ``found``: one row a match of the level's rules."""
-    each = ", ".join(
-        f"CASE WHEN regexp_matches(text, {rule(c, i)}) THEN {{'category': {q(c)}, 'i': {i}, 'kind': {q(CATEGORIES[c][0])}, 'm': regexp_extract(text, {rule(c, i)})}} END"
-        for c in SecurityLevel(level).categories for i in range(len(RULES[c]))
-    )
-    return f"found AS (SELECT prompt_id, text, unnest(list_filter([{each}], lambda x: x IS NOT NULL)) AS h FROM small)"
+    found = matches(5, (category,))
+    return f"WITH {PROMPTS}, {found} SELECT prompt_id, pattern_index, content, round(confidence::DOUBLE, 4) AS confidence FROM ({confidence_sql('SELECT prompt_id, h.category AS category, h.i AS pattern_index, h.m AS content FROM found')})"
 
 
-def heuristic_sql(value: str, test: str, confidence: str) -> str:
-    v = f"SELECT prompt_id, text, strlen(text) AS size, {value} AS v FROM small"
-    return f"WITH {PROMPTS} SELECT prompt_id, {test} AS fired, CASE WHEN {test} THEN round(({confidence})::DOUBLE, 4) END AS confidence FROM ({v})"
+def matches(level: int, categories: tuple[str, ...] | None = None, table: str = "prompts", keep: str = "prompt_id, text", custom: tuple[str, ...] = ()) -> str:
+    """A CTE ``found``: one row a match of the level's rules, or of the categories'; ``h`` says which, and what."""
+    rules = [(c, i, rule(c, i), CATEGORIES[c][0]) for c in sorted(SecurityLevel(level).categories if categories is None else categories) for i in range(len(RULES[c]))]
+    rules += [("custom", i, q("(?i)" + p), "Custom") for i, p in enumerate(custom)]
+    each = ", ".join(f"CASE WHEN regexp_matches(text, {rx}) THEN {{'n': {n}, 'category': {q(c)}, 'i': {i}, 'kind': {q(kind)}, 'm': regexp_extract(text, {rx})}} END" for n, (c, i, rx, kind) in enumerate(rules))
+    return f"found AS (SELECT {keep}, unnest(list_filter([{each}], lambda x: x IS NOT NULL)) AS h FROM {table})"
+
+
+def percent_share(text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN 0.0::DOUBLE ELSE {times(text, '%')} / strlen({text})::DOUBLE END"
+
+
+def shape64(p: str) -> str:
+    pad = f"(strlen({p}) - strlen(rtrim({p}, '=')))"
+    signs = f"((regexp_matches({p}, '[a-z]') AND regexp_matches({p}, '[A-Z]'))::INT + regexp_matches({p}, '[0-9]')::INT + (contains({p}, '+') OR contains({p}, '/'))::INT + contains({p}, '=')::INT + (strlen({p}) > 20)::INT)"
+    return f"(strlen({p}) >= 8 AND regexp_full_match({p}, '[A-Za-z0-9+/=_-]+') AND {pad} <= 2 AND (strlen({p}) % 4 = 0 OR ({pad} > 0 AND (strlen({p}) + {pad}) % 4 = 0)) AND {signs} >= 2)"
+
+
+def shapehex(p: str) -> str:
+    bare = f"regexp_replace({p}, '^0[xX]', '')"
+    return f"(strlen({bare}) > 20 AND strlen({bare}) % 2 = 0 AND regexp_full_match({bare}, '[0-9a-fA-F]+') AND len(list_distinct(string_split({bare}, ''))) > 3)"
+
+
+def decoded64(t: str) -> str:
+    """The bytes of canonical base64, else null."""
+    return f"(CASE WHEN regexp_full_match({t}, '[A-Za-z0-9+/]*={{0,2}}') AND strlen({t}) % 4 = 0 AND to_base64(TRY(from_base64({t}))) = {t} THEN TRY(from_base64({t})) END)"
+
+
+def percent_decoded(t: str) -> str:
+    return f"COALESCE(TRY(url_decode({t})), {t})"
+
+
+def bare_controls(t: str) -> str:
+    return f"regexp_replace({t}, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g')"
+
+
+def rotated(t: str) -> str:
+    return f"translate({t}, {q('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')}, {q('nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')})"
+
+
+def whole64(t: str) -> str:
+    return f"CASE WHEN strlen({t}) > 20 AND regexp_full_match({t}, '[A-Za-z0-9+/=]+') AND suffix({t}, '=') THEN COALESCE(TRY(decode({decoded64(t)})), {t}) ELSE {t} END"
+
+
+def first_bytes(t: str, n: int) -> str:
+    """At most n bytes, back to the edge of a character, which has at most four."""
+    tries = ", ".join(f"TRY(decode(encode({t})[1:{n - k}]))" for k in range(4))
+    return f"(CASE WHEN strlen({t}) <= {n} THEN {t} ELSE COALESCE({tries}) END)"
+
+
+def kept(v: str) -> str:
+    return f"CASE WHEN {v} <> text AND strlen({v}) > 5 THEN {v} END"
 
 
+URL_READING = f"CASE WHEN {percent_decoded('text')} <> text THEN {percent_decoded('text')} END"
+BASE64_READING = f"CASE WHEN strlen(text) >= 16 AND regexp_full_match(text, '[A-Za-z0-9+/]+={{0,2}}') AND strlen(text) % 4 = 0 THEN {kept('TRY(decode(from_base64(text)))')} END"
+_HEX = "TRY(decode(unhex(regexp_replace(text, '^0x', ''))))"
+HEX_READING = f"CASE WHEN regexp_full_match(text, '(0x)?([0-9A-Fa-f]{{2}}){{10,}}') THEN {kept(_HEX)} END"
+ROT13_READING = kept(rotated("text"))
+CONTROL_READING = kept(bare_controls("text"))
+FRAGMENTS = f"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9+/]{{16,}}={{0,2}}'), lambda c: TRY(decode({decoded64('c')}))), lambda d: d IS NOT NULL AND d <> text AND strlen(d) > 5)"
+READINGS = (
+    f"list_sort(list_distinct(list_filter(list_concat([{URL_READING}, {BASE64_READING}, {HEX_READING}, {ROT13_READING}, {CONTROL_READING}], {FRAGMENTS}), lambda r: r IS NOT NULL AND r <> text AND strlen(r) > 5)))"
+)
+LETTERS = "len(regexp_extract_all(text, '\\p{L}'))"
+PARTS = "string_split_regex(text, '[\\s:;,\"''()\\[\\]{}]')"
 ONE = "(size >= 3 AND text = repeat(substr(text, 1, 1), length(text)))"
 
 
-def ratio_sql(value: str, least: float) -> str:
-    c = "least(v * 2.0::DOUBLE, 1.0::DOUBLE)::FLOAT"
-    return heuristic_sql(value, f"(v > {least}::DOUBLE AND size > 5)", f"CASE WHEN {ONE} THEN least(({c} * {f(0.6)})::FLOAT, {f(0.8)}) ELSE {c} END")
+def tamed(c: str) -> str:
+    return f"CASE WHEN {ONE} THEN least(({c} * {f(0.6)})::FLOAT, {f(0.8)}) ELSE {c} END"
+
+
+def decoder_sql(data: str, level: int) -> str:
+    """Confidence of an encoding, by whether the whole text decodes, to text, and to a suspicious word."""
+    v = SecurityLevel(level)
+    base, bonus = f(v.decoder_base()), f(v.decoder_bonus)
+    one = f"({base} + ({f(0.1)} * {bonus})::FLOAT)::FLOAT"
+    two = f"({one} + ({f(0.05)} * {bonus})::FLOAT)::FLOAT"
+    word = any_of(f"lower(TRY(decode({data})))", heuristics.DECODED_WORDS)
+    return f"least(CASE WHEN {data} IS NULL THEN {base} WHEN TRY(decode({data})) IS NULL THEN {one} WHEN {word} THEN ({two} + ({f(0.2)} * {bonus})::FLOAT)::FLOAT ELSE {two} END, {f(1.0)})"
+
+
+def check_sql(level: int) -> dict[str, tuple[str, str, str, str]]:
+    """Each heuristic check: a value v of the text, the test, the confidence and the kind, in order."""
+    v = SecurityLevel(level)
+    low = f"list_transform({WORDS}, lambda w: lower(w))"
+    share = f"list_max(map_values(list_histogram({low}))) / len({WORDS})::DOUBLE"
+    lined = "CASE WHEN contains(text, '!!') OR contains(text, '??') OR contains(text, '...') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END"
+    more = lambda c: f"CASE WHEN {times('text', c)} > 3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END"
+    odd = f"(list_sum(list_transform({WORDS}, lambda w: strlen(w))) / len({WORDS})::DOUBLE) NOT BETWEEN 2.0 AND 10.0"
+    caps = lambda w: f"regexp_matches({w}, '\\p{{Lu}}')"
+    flips = f"len(list_filter(list_zip({WORDS}, {WORDS}[2:]), lambda p: {caps('p[2]')} <> {caps('p[1]')} AND strlen(p[2]) > 1)) > 0"
+    twice = "least(v * 2.0::DOUBLE, 1.0::DOUBLE)::FLOAT"
+    n_rot = count_of(f"lower({rotated('text')})", heuristics.ROTATED_WORDS)
+    base, bonus = f(v.decoder_base(rot13=True)), f(v.decoder_bonus)
+    rot = f"least(CASE WHEN {n_rot} > 0 THEN ({base} + (({f(0.2)} + ({n_rot}::FLOAT * {f(0.05)})::FLOAT)::FLOAT * {bonus})::FLOAT)::FLOAT ELSE {base} END, {f(1.0)})"
+    inner = f"TRY(decode({decoded64('text')}))"
+    marks = f"({times('text', '%')} > 5)::INT + ({times('text', chr(92) + 'u')} > 3)::INT + ({times('text', '&#')} > 3)::INT + {shape64('text')}::INT + {shapehex('text')}::INT"
+    multi = f"(size > 20 AND {shape64('text')} AND COALESCE({percent_share(inner)} > 0.1::DOUBLE, FALSE)) OR ({percent_share('text')} > 0.1::DOUBLE AND {shape64(percent_decoded('text'))}) OR {marks} >= 2"
+    bare = "regexp_replace(text, '^0[xX]', '')"
+    unhexed = f"(CASE WHEN regexp_full_match({bare}, '([0-9A-Fa-f]{{2}})*') THEN TRY(unhex({bare})) END)"
+    letters = "len(regexp_extract_all(text, '[A-Za-z]')) >= length(text) * 3 // 4"
+    return {
+        "h_entropy": ("CASE WHEN text = '' THEN 0 ELSE list_aggregate(string_split(text, ''), 'entropy') END", "(v > 4.5 AND size > 20)", "least((v - 4.5) / 2.0, 1.0)::FLOAT", "EncodingBypass"),
+        "h_special": ("CASE WHEN text = '' THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s]')) / length(text)::DOUBLE END", "(v > 0.3::DOUBLE AND size > 5)", tamed(twice), "EncodingBypass"),
+        "h_repeat": (f"CASE WHEN size < 10 OR len({WORDS}) < 3 THEN 0.0::DOUBLE ELSE {share} END", "(v > 0.7::DOUBLE)", "least(v::FLOAT, 1.0::FLOAT)", "ContextConfusion"),
+        "h_punct": (
+            f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]')) / greatest(length(text), 1)::DOUBLE + {more('!')} + {more('?')} + {lined} END",
+            "(v > 0.6::DOUBLE AND size > 5)", tamed(f"least(v::FLOAT, {f(1.0)})"), "ContextConfusion",
+        ),
+        "h_format": (count_of("text", heuristics.FORMAT_MARKS), "(v >= 2)", f(0.7), "ContextConfusion"),
+        "h_words": (f"len({WORDS}) >= 5 AND {odd} AND {flips}", "v", f"({f(0.3)} + {f(0.4)})::FLOAT", "ContextConfusion"),
+        "h_caps": (f"CASE WHEN {LETTERS} = 0 THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '\\p{{Lu}}')) / {LETTERS}::DOUBLE END", "(v > 0.5::DOUBLE AND size > 20)", "(v - 0.3::DOUBLE)::FLOAT", "SocialEngineering"),
+        "h_b64": (f"len(list_filter({PARTS}, lambda p: {shape64('p')})) > 0", "v", decoder_sql(decoded64("text"), level), "EncodingBypass"),
+        "h_hex": (f"len(list_filter({PARTS}, lambda p: {shapehex('p')})) > 0", "v", decoder_sql(unhexed, level), "EncodingBypass"),
+        "h_rot13": (f"(size >= 30 AND {letters} AND NOT {any_of('lower(text)', heuristics.PLAIN_WORDS)} AND len(regexp_extract_all(lower(text), '[noret]')) > size // 6)", "v", rot, "EncodingBypass"),
+        "h_url": (percent_share("text"), "(v > 0.15::DOUBLE AND size > 5)", tamed(twice), "EncodingBypass"),
+        "h_unicode": (f"{times('text', chr(92) + 'u')} + {times('text', '&#')}", "(v > 2)", f"least((v::FLOAT / {f(10.0)})::FLOAT, {f(1.0)})", "EncodingBypass"),
+        "h_zw": ("len(regexp_extract_all(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{2060}]'))", "(v > 0)", f"least(greatest((v::FLOAT / {f(10.0)})::FLOAT, {f(0.6)}), {f(0.9)})", "EncodingBypass"),
+        "h_multi": (multi, "v", f(0.85), "EncodingBypass"),
+    }
+
+
+def heuristic_sql(name: str) -> str:
+    value, test, confidence, _ = check_sql(5)[name]
+    v = f"SELECT *, {value} AS v FROM (SELECT prompt_id, text, strlen(text) AS size FROM prompts)"
+    return f"WITH {PROMPTS} SELECT prompt_id, {test} AS fired, CASE WHEN {test} THEN round(({confidence})::DOUBLE, 4) END AS confidence FROM ({v})"
+
+
+def benign_sql() -> str:
+    terms = [f"CASE WHEN contains(lower(text), {q(p)}) THEN {f(w)} ELSE {f(0.0)} END" for p, w in heuristics.BENIGN]
+    terms += [f"CASE WHEN suffix(text, '?') THEN {f(0.5)} ELSE {f(0.0)} END", f"CASE WHEN len({WORDS}) > 5 THEN {f(0.2)} ELSE {f(0.0)} END", f"CASE WHEN regexp_matches(text, '[.!?]') THEN {f(0.3)} ELSE {f(0.0)} END"]
+    total = f(0.0)
+    for t in terms:
+        total = f"({total} + {t})::FLOAT"
+    return f"least({total}, {f(2.0)})"
+
+
+def damped_sql(signals: str, b: str, made) -> str:
+    """``made``: a signal's SQL from that of its confidence."""
+    keep = f"CASE s.kind WHEN 'SocialEngineering' THEN {f(0.3)} WHEN 'ContextConfusion' THEN {f(0.5)} WHEN 'EncodingBypass' THEN {f(0.7)} ELSE {f(0.8)} END"
+    weaker = f"(s.confidence * ({f(1.0)} - (least({b} / {f(2.0)}, {f(1.0)})::FLOAT * ({f(1.0)} - {keep})::FLOAT)::FLOAT)::FLOAT)::FLOAT"
+    return f"CASE WHEN {b} < {f(0.5)} THEN {signals} ELSE list_filter(list_transform({signals}, lambda s: {made(weaker)}), lambda s: s.confidence > {f(0.15)}) END"
+
+
+QUESTION = "(suffix(regexp_replace(text, '\\s+$', ''), '?') OR " + " OR ".join(f"prefix(lower(text), {q(o)})" for o in preprocess.OPENERS) + ")"
+EDUCATIONAL = any_of("lower(text)", preprocess.EDUCATIONAL)
+
+
+def keyword_sql(threshold: float) -> tuple[str, list[str], str]:
+    """Over the first bytes, t: the score of intent, the confidences of the three kinds of confusion (null: none), and the number of switches."""
+    intent = f(0.0)
+    for ws, weight in ((keywords.EMOTIONAL, 0.2), (keywords.AUTHORITY, 0.15)):
+        for w in ws:
+            intent = f"({intent} + CASE WHEN contains(lower(t), {q(w)}) THEN {f(weight)} ELSE {f(0.0)} END)::FLOAT"
+    confusion = []
+    for _, (a, b), factor in keywords.CONFUSION:
+        c = f"least((({f(0.6)} * least((length(t)::FLOAT / {f(100.0)})::FLOAT, {f(1.5)}))::FLOAT * {f(factor)})::FLOAT, {f(1.0)})"
+        confusion.append(f"CASE WHEN (contains(t, {q(a)}) OR contains(t, {q(b)})) AND {c} >= {f(threshold)} THEN {c} END")
+    return intent, confusion, count_of("lower(t)", keywords.SWITCHES)
+
+
+def encoded_sql(t: str) -> str:
+    for a, b in mitigate.ENCODED:
+        t = f"replace({t}, {q(a)}, {q(b)})"
+    return t
+
+
+def bare_percents_sql(t: str) -> str:
+    for a, b in mitigate.DECODED:
+        t = f"replace({t}, {q(a)}, {q(b)})"
+    return f"regexp_replace({t}, '\\\\u[0-9a-fA-F]{{4}}', '[UNICODE_FILTERED]', 'g')"
+
+
+def filtered64_sql(t: str) -> str:
+    return f"CASE WHEN regexp_matches({t}, '[A-Za-z0-9+/]{{50,}}={{0,2}}') AND strlen({t}) > 100 THEN regexp_replace({t}, '[A-Za-z0-9+/]{{20,}}={{0,2}}', '[BASE64_FILTERED]', 'g') ELSE {t} END"
+
+
+def calmed_sql(t: str) -> str:
+    for rx, tag in mitigate.URGENCY:
+        t = f"regexp_replace({t}, {q('(?i)' + rx)}, {q(tag)}, 'g')"
+    return t
+
+
+def warned_sql(t: str) -> str:
+    return f"CASE WHEN {any_of(f'lower({t})', mitigate.SOCIAL_MARKERS)} THEN {q(mitigate.SOCIAL_PREFIX)} || {t} ELSE {t} END"
+
+
+def general_sql(t: str, aggressive: bool) -> str:
+    t = f"regexp_replace(regexp_replace({t}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s{{3,}}', ' ', 'g')"
+    if aggressive:
+        t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    return f"regexp_replace({t}, '(?i)<script[^>]*>.*?</script>', '[SCRIPT_REMOVED]', 'g')"
+
+
+def trimmed_sql(t: str) -> str:
+    return f"regexp_replace(regexp_replace({t}, '^\\s+', ''), '\\s+$', '')"
+
+
+def cut_sql(t: str, most: int) -> str:
+    return f"replace(replace(replace(CASE WHEN strlen({t}) > {most} THEN {first_bytes(t, most)} || '[TRUNCATED]' ELSE {t} END, '[]', ''), '()', ''), '{{}}', '')"
 
 
 def mean_sql() -> str:
@@ -125,7 +303,7 @@ def combination_sql(name: str) -> str:
     return f"WITH {PROMPTS}, {SIGNALS} SELECT prompt_id, CASE WHEN {met} THEN {made(base, share)} END AS out FROM ({inner})"
 
 
-def scored(level: int, signals: str = "signals") -> str:
+def scored(level: int, signals: str = "signals", k: str = "s.kind") -> str:
     """A query with prompt_id, score (FLOAT), top (FLOAT), n over the fixed signals, as the level scores them."""
     v = SecurityLevel(level)
     import numpy as np
@@ -138,7 +316,7 @@ def scored(level: int, signals: str = "signals") -> str:
     weight = "(CASE s.kind " + " ".join(f"WHEN {q(k)} THEN {f(w)}" for k, w in SEVERITY.items()) + f" END * CAST({v.pattern_weight!r} AS FLOAT))::FLOAT"
     high, low = float(np.float32(v.base_threshold) + np.float32(0.2)), float(np.float32(v.base_threshold) - np.float32(0.2))
     total = lambda what: f"list_reduce(list_prepend({f(0.0)}, list_transform(rated, lambda r: {what})), lambda a, b: (a + b)::FLOAT)"
-    a = f"SELECT prompt_id, text, signals, list_transform(signals, lambda s: {{'c': {adj}, 'w': {weight}, 'k': s.kind}}) AS rated FROM {signals}"
+    a = f"SELECT prompt_id, text, signals, list_transform(signals, lambda s: {{'c': {adj}, 'w': {weight}, 'k': {k}}}) AS rated FROM {signals}"
     b = (
         f"SELECT *, len(rated) AS n, {total('(r.c * r.w)::FLOAT')} AS t, {total('r.w')} AS w, list_max(list_transform(rated, lambda r: r.c)) AS top, len(list_filter(rated, lambda r: r.c > CAST({high!r} AS FLOAT))) AS bad, "
         f"len(list_filter(rated, lambda r: r.c < CAST({low!r} AS FLOAT))) AS good, len(list_distinct(list_transform(rated, lambda r: r.k))) AS kinds FROM ({a})"
@@ -169,150 +347,74 @@ EVENTS = (
 
 
 def strategy_sql(s: mitigate.Strategy, t: str) -> str:
-    enc = t
-    for a, b in mitigate.ENCODED:
-        enc = f"replace({enc}, {q(a)}, {q(b)})"
     return {
-        "remove": "''", "replace": q(s.a), "encode": enc, "prefix": f"{q(s.a)} || {t}", "suffix": f"{t} || {q(s.a)}", "wrap": f"{q(s.a)} || {t} || {q(s.b)}", "custom": f"replace({q(s.a)}, '{{original}}', {t})",
+        "remove": "''", "replace": q(s.a), "encode": encoded_sql(t), "prefix": f"{q(s.a)} || {t}", "suffix": f"{t} || {q(s.a)}", "wrap": f"{q(s.a)} || {t} || {q(s.b)}", "custom": f"replace({q(s.a)}, '{{original}}', {t})",
     }[s.kind]
 
 
-def strategies_sql(pairs: dict[str, mitigate.Strategy], key: str, width: int, flags: bool, where: str = "") -> str:
+def strategies_sql(pairs: dict[str, mitigate.Strategy], key: str, flags: bool) -> str:
     rows = " UNION ALL ".join(
-        f"SELECT prompt_id, {q(k)} AS {key}, {strategy_sql(s, f'substr(text, 1, {width})')} AS out" + (f", {s.preserves_content} AS preserves, {s.removes_threat} AS removes" if flags else "") + f" FROM prompts {where}"
+        f"SELECT prompt_id, {q(k)} AS {key}, {strategy_sql(s, 'text')} AS out" + (f", {s.preserves_content} AS preserves, {s.removes_threat} AS removes" if flags else "") + " FROM prompts"
         for k, s in pairs.items()
     )
     return f"WITH {PROMPTS} {rows}"
 
 
 def response_sql(expr: str, would: bool) -> str:
-    risk = "[" + ", ".join(q(r) for r in RISKS) + "][(prompt_id % 5) + 1]"
-    return with_signals(f"SELECT prompt_id, {expr.replace('RISK', risk)} AS out, {'prompt_id % 5 >= 2' if would else 'FALSE'} AS would FROM signals")
+    risk = "[" + ", ".join(q(r) for r in RISKS) + "][(abs(prompt_id) % 5) + 1]"
+    return with_signals(f"SELECT prompt_id, {expr.replace('RISK', risk)} AS out, {'abs(prompt_id) % 5 >= 2' if would else 'FALSE'} AS would FROM signals")
 
 
 def sql() -> dict[str, str]:
-    low300 = "substr(text, 1, 300)"
-    benign = " + ".join(f"CASE WHEN contains(lower(text), {q(p)}) THEN {f(w)} ELSE {f(0.0)} END" for p, w in heuristics.BENIGN)
-    score_terms = [f"CASE WHEN contains(lower(text), {q(p)}) THEN {f(w)} ELSE {f(0.0)} END" for p, w in heuristics.BENIGN]
-    score_terms += [f"CASE WHEN suffix(text, '?') THEN {f(0.5)} ELSE {f(0.0)} END", f"CASE WHEN len({WORDS}) > 5 THEN {f(0.2)} ELSE {f(0.0)} END", f"CASE WHEN regexp_matches(text, '[.!?]') THEN {f(0.3)} ELSE {f(0.0)} END"]
-    total = f(0.0)
-    for t in score_terms:
-        total = f"({total} + {t})::FLOAT"
-    del benign
-    decoded = low300
-    for a, b in mitigate.DECODED:
-        decoded = f"replace({decoded}, {q(a)}, {q(b)})"
-    softened = low300
-    for rx, tag in mitigate.URGENCY:
-        softened = f"regexp_replace({softened}, {q('(?i)' + rx)}, {q(tag)}, 'g')"
-    encoded = low300
-    for a, b in mitigate.ENCODED:
-        encoded = f"replace({encoded}, {q(a)}, {q(b)})"
-    seq = lambda lst, keep: f"list_reduce(list_prepend({f(0.0)}, {lst}), lambda a, b: (a + b)::FLOAT)"
-    pre = "regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{9f}]', '', 'g')"
-    question = "(suffix(regexp_replace(text, '\\s+$', ''), '?') OR " + " OR ".join(f"prefix(lower(text), {q(o)})" for o in preprocess.OPENERS) + ")"
-    educational = any_of("lower(text)", preprocess.EDUCATIONAL)
+    total, question, educational = benign_sql(), QUESTION, EDUCATIONAL
     benign_flag = " + ".join(f"CASE WHEN regexp_matches(lower(text), {q(rx)}) THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for rx, w in preprocess.BENIGN)
-    first512 = "list_max(list_filter(range(0, 513), lambda k: strlen(substr(text, 1, k)) <= 512))"
-    intent = f(0.0)
-    for ws, weight in ((keywords.EMOTIONAL, 0.2), (keywords.AUTHORITY, 0.15)):
-        for w in ws:
-            intent = f"({intent} + CASE WHEN contains(lower(t), {q(w)}) THEN {f(weight)} ELSE {f(0.0)} END)::FLOAT"
-    confusion = []
-    for _, (a, b), factor in keywords.CONFUSION:
-        c = f"least((({f(0.6)} * least((length(t)::FLOAT / {f(100.0)})::FLOAT, {f(1.5)}))::FLOAT * {f(factor)})::FLOAT, {f(1.0)})"
-        confusion.append(f"CASE WHEN (contains(t, {q(a)}) OR contains(t, {q(b)})) AND {c} >= {f(0.1)} THEN {c} END")
-    switch = count_of("lower(t)", keywords.SWITCHES)
-    kw = lambda expr: f"WITH {PROMPTS} SELECT prompt_id, round(({expr})::DOUBLE, 4) AS confidence FROM (SELECT prompt_id, substr(text, 1, {first512}) AS t FROM prompts)"
-    top_words = "list_max(list_transform(list_distinct(low), lambda w: len(list_filter(low, lambda x: x = w))))"
-    lowered = f"list_transform({WORDS}, lambda w: lower(w))"
-    repeat = (
-        f"WITH {PROMPTS}, a AS (SELECT prompt_id, text, strlen(text) AS size, {lowered} AS low FROM small), b AS (SELECT *, CASE WHEN size < 10 OR len(low) < 3 THEN 0.0::DOUBLE ELSE {top_words} / len(low)::DOUBLE END AS r FROM a) "
-        "SELECT prompt_id, (CASE WHEN r > 0.3::DOUBLE THEN r ELSE 0 END) > 0.7::DOUBLE AS fired, CASE WHEN r > 0.7::DOUBLE THEN round(least(r::FLOAT, 1.0::FLOAT)::DOUBLE, 4) END AS confidence FROM b"
-    )
-    punct = (
-        f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]')) / greatest(length(text), 1)::DOUBLE + CASE WHEN {times('text', '!')} > 3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + "
-        f"CASE WHEN {times('text', '?')} > 3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(text, '!!') OR contains(text, '??') OR contains(text, '...') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END END"
-    )
-    word_score = (
-        f"WITH {PROMPTS}, a AS (SELECT prompt_id, {WORDS} AS ws FROM small), b AS (SELECT *, CASE WHEN len(ws) < 5 THEN FALSE ELSE (list_sum(list_transform(ws, lambda w: strlen(w))) / len(ws)::DOUBLE) NOT BETWEEN 2.0 AND 10.0 END AS odd, "
-        "len(ws) >= 5 AND len(list_filter(range(2, len(ws) + 1), lambda i: regexp_matches(ws[i], '\\p{Lu}') <> regexp_matches(ws[i - 1], '\\p{Lu}') AND strlen(ws[i]) > 1)) > 0 AS flips FROM a) "
-        f"SELECT prompt_id, odd AND flips AS fired, CASE WHEN odd AND flips THEN round(({f(0.3)} + {f(0.4)})::FLOAT::DOUBLE, 4) END AS confidence FROM b"
-    )
-    letters = "len(regexp_extract_all(text, '\\p{L}'))"
-    rot = f"translate(text, {q('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')}, {q('nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')})"
-    v5 = SecurityLevel(5)
-    n_rot = count_of(f"lower({rot})", heuristics.ROTATED_WORDS)
-    rot_conf = f"least(CASE WHEN {n_rot} > 0 THEN ({f(0.48)} + (({f(0.2)} + ({n_rot}::FLOAT * {f(0.05)})::FLOAT)::FLOAT * CAST({v5.decoder_bonus!r} AS FLOAT))::FLOAT)::FLOAT ELSE {f(0.48)} END, {f(1.0)})"
-    rot_test = (
-        f"(size >= 30 AND len(regexp_extract_all(text, '[A-Za-z]')) >= length(text) * 3 // 4 AND NOT {any_of('lower(text)', heuristics.PLAIN_WORDS)} AND len(regexp_extract_all(lower(text), '[noret]')) > size // 6)"
-    )
-    kept = lambda v: f"CASE WHEN {v} <> text AND strlen({v}) > 5 THEN {v} END"
-    b64 = "TRY(decode(from_base64(text)))"
-    hexed = "TRY(decode(unhex(regexp_replace(text, '^0x', ''))))"
-    shape64 = (
-        "(strlen(p) >= 8 AND regexp_full_match(p, '[A-Za-z0-9+/=_-]+') AND strlen(p) - strlen(rtrim(p, '=')) <= 2 AND (strlen(p) % 4 = 0 OR (suffix(p, '=') AND (strlen(p) + strlen(p) - strlen(rtrim(p, '='))) % 4 = 0)) AND "
-        "((regexp_matches(p, '[a-z]') AND regexp_matches(p, '[A-Z]'))::INT + regexp_matches(p, '[0-9]')::INT + (contains(p, '+') OR contains(p, '/'))::INT + contains(p, '=')::INT + (strlen(p) > 20)::INT) >= 2)"
-    )
-    shapehex = "(strlen(regexp_replace(p, '^0[xX]', '')) > 20 AND strlen(regexp_replace(p, '^0[xX]', '')) % 2 = 0 AND regexp_full_match(regexp_replace(p, '^0[xX]', ''), '[0-9a-fA-F]+') AND len(list_distinct(string_split(regexp_replace(p, '^0[xX]', ''), ''))) > 3)"
-    parts = "string_split_regex(text, '[\\s:;,\"''()\\[\\]{}]')"
-    flag = lambda e: f"WITH {PROMPTS} SELECT prompt_id, {e} AS fired FROM small"
+    intent, confusion, switch = keyword_sql(0.1)
+    kw = lambda expr: f"WITH {PROMPTS} SELECT prompt_id, round(({expr})::DOUBLE, 4) AS confidence FROM (SELECT prompt_id, {first_bytes('text', 512)} AS t FROM prompts)"
     warned = mitigate.WARNED.split("%s")
     blocked = mitigate.BLOCKED.replace("%d", "|").replace("%s", "|").split("|")
     names = "array_to_string(list_sort(list_distinct(list_transform(signals, lambda s: s.kind))), ', ')"
     pct = lambda p: f"COALESCE((SELECT duration_ms FROM ordered WHERE k = least(n * {p} // 100, n - 1)), 0) AS p{p}"
     rank = lambda p: f"(SELECT duration_ms FROM ordered WHERE k = floor({p} / 100.0 * (n - 1) + 0.5)) AS p{p}"
     ordered = "ordered AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) - 1 AS k, count(*) OVER () AS n FROM events_in)"
-    context = (
-        f"SELECT prompt_id, array_to_string(list_transform(list_filter(list_transform(signals, lambda s: (CASE WHEN e AND (contains(s.category, 'authority') OR contains(s.category, 'urgency')) THEN "
-        f"((CASE WHEN qn AND s.kind = 'SocialEngineering' THEN (s.confidence * {f(0.5)})::FLOAT ELSE s.confidence END) * {f(0.4)})::FLOAT ELSE (CASE WHEN qn AND s.kind = 'SocialEngineering' THEN (s.confidence * {f(0.5)})::FLOAT ELSE s.confidence END) END)), "
-        f"lambda c: NOT (c < {f(0.15)} AND (qn OR e))), lambda c: printf('%.3f', c::DOUBLE)), ',') AS out FROM (SELECT *, {question} AS qn, {educational} AS e FROM signals)"
-    )
-    damped = (
-        f"SELECT prompt_id, CASE WHEN b < {f(0.5)} THEN len(signals) ELSE len(list_filter(signals, lambda s: (s.confidence * ({f(1.0)} - (least(b / {f(2.0)}, {f(1.0)})::FLOAT * ({f(1.0)} - CASE s.kind WHEN 'SocialEngineering' THEN {f(0.3)} "
-        f"WHEN 'ContextConfusion' THEN {f(0.5)} WHEN 'EncodingBypass' THEN {f(0.7)} ELSE {f(0.8)} END)::FLOAT)::FLOAT)::FLOAT)::FLOAT > {f(0.15)})) END AS out FROM (SELECT *, least({total}, {f(2.0)}) AS b FROM signals)"
-    )
+    listed = lambda signals: f"array_to_string(list_transform({signals}, lambda s: printf('%.3f', s.confidence::DOUBLE)), ',')"
+    of = lambda c: f"{{'kind': s.kind, 'category': s.category, 'confidence': {c}}}"
+    plain = f"list_transform(signals, lambda s: {of('s.confidence')})"
+    halved = f"CASE WHEN qn AND s.kind = 'SocialEngineering' THEN (s.confidence * {f(0.5)})::FLOAT ELSE s.confidence END"
+    lowered = f"CASE WHEN e AND (contains(s.category, 'authority') OR contains(s.category, 'urgency')) THEN (s.confidence * {f(0.4)})::FLOAT ELSE s.confidence END"
+    faint = f"lambda s: NOT (s.confidence < {f(0.15)} AND (qn OR e))"
+    both = f"list_transform(list_transform(signals, lambda s: {of(halved)}), lambda s: {of(lowered)})"
+    context = lambda signals: f"SELECT prompt_id, {listed(signals)} AS out FROM (SELECT *, {question} AS qn, {educational} AS e FROM signals)"
+    rx = {k: q(v) for k, v in NAMED.items()}
+    ascii_text, pattern = "regexp_replace(text, '[^\\x00-\\x7F]', chr(1), 'g')", "source || ' instructions'"
+    byte = "CASE WHEN p = '+' THEN ' ' WHEN regexp_full_match(p, '%[0-9A-Fa-f]{2}') THEN chr(('0x' || substr(p, 2, 2))::INT) ELSE p END"
     out = {
         "pred_empty": over("prompts", "text = ''"),
         "pred_maxlen": over("prompts", "strlen(text) > 10000"),
-        "pre_ctrl": over("prompts", pre),
-        "pre_url": over("prompts", "url_decode(text)"),
-        "pre_b64": over("prompts", "CASE WHEN strlen(text) > 20 AND regexp_full_match(text, '[A-Za-z0-9+/=]+') AND suffix(text, '=') THEN COALESCE(TRY(decode(from_base64(text))), text) ELSE text END"),
-        "pre_trunc": over("prompts", "substr(text, 1, list_max(list_filter(range(0, 102), lambda k: strlen(substr(text, 1, k)) <= 101)))"),
+        "pre_ctrl": over("prompts", bare_controls("text")),
+        "pre_url": over("prompts", percent_decoded("text")),
+        "pre_b64": over("prompts", whole64("text")),
+        "pre_trunc": over("prompts", first_bytes("text", 101)),
         "q_question": over("prompts", question),
         "q_educational": over("prompts", educational),
-        "q_benign_flag": over("prompts", f"({benign_flag} + CASE WHEN len({WORDS}) > 0 AND {letters} / len({WORDS})::DOUBLE BETWEEN 3.0 AND 8.0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(text, '[.?!]$') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) > 0.8::DOUBLE"),
+        "q_benign_flag": over("prompts", f"({benign_flag} + CASE WHEN len({WORDS}) > 0 AND {LETTERS} / len({WORDS})::DOUBLE BETWEEN 3.0 AND 8.0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(text, '[.?!]$') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) > 0.8::DOUBLE"),
         "pat_scan": f"WITH {PROMPTS}, {matches(5)} SELECT prompt_id, h.category AS category, h.i AS pattern_index, strlen(substr(text, 1, instr(text, h.m) - 1)) AS start, strlen(substr(text, 1, instr(text, h.m) - 1)) + strlen(h.m) AS stop FROM found",
         "pat_scan_join": f"WITH {PROMPTS}, {matches(1)} SELECT h.category AS category, h.i AS i, count(*) AS n FROM found GROUP BY 1, 2",
         "pat_custom": f"WITH {PROMPTS} SELECT prompt_id, i AS pattern_index, regexp_extract(text, rx) AS content, 'Custom Pattern' AS custom_name FROM prompts, (VALUES (0, '(?i)secret\\s+handshake|weather'), (1, '(?i)abc')) r(i, rx) WHERE regexp_matches(text, rx)",
         "pat_type_counts": f"WITH {PROMPTS}, {matches(3)} SELECT h.kind AS kind, count(*) AS n FROM found GROUP BY 1",
-        "h_entropy": heuristic_sql("CASE WHEN text = '' THEN 0 ELSE list_aggregate(string_split(text, ''), 'entropy') END", "(v > 4.5 AND size > 20)", "least((v - 4.5) / 2.0, 1.0)::FLOAT"),
-        "h_special": ratio_sql("CASE WHEN text = '' THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s]')) / length(text)::DOUBLE END", 0.3),
-        "h_repeat": repeat,
-        "h_punct": heuristic_sql(punct, "(v > 0.6::DOUBLE AND size > 5)", f"CASE WHEN {ONE} THEN least((least(v::FLOAT, {f(1.0)}) * {f(0.6)})::FLOAT, {f(0.8)}) ELSE least(v::FLOAT, {f(1.0)}) END"),
-        "h_format": heuristic_sql(count_of("text", heuristics.FORMAT_MARKS), "(v >= 2)", f(0.7)),
-        "h_words": word_score,
-        "h_caps": heuristic_sql(f"CASE WHEN {letters} = 0 THEN 0.0::DOUBLE ELSE len(regexp_extract_all(text, '\\p{{Lu}}')) / {letters}::DOUBLE END", "(v > 0.5::DOUBLE AND size > 20)", "(v - 0.3::DOUBLE)::FLOAT"),
-        "h_rot13": heuristic_sql("0", rot_test, rot_conf),
-        "h_url": ratio_sql(f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE {times('text', '%')} / strlen(text)::DOUBLE END", 0.15),
-        "h_unicode": heuristic_sql(f"{times('text', chr(92) + 'u')} + {times('text', '&#')}", "(v > 2)", f"least((v::FLOAT / {f(10.0)})::FLOAT, {f(1.0)})"),
-        "h_zw": heuristic_sql("len(regexp_extract_all(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{2060}]'))", "(v > 0)", f"least(greatest((v::FLOAT / {f(10.0)})::FLOAT, {f(0.6)}), {f(0.9)})"),
-        "h_b64": flag(f"len(list_filter({parts}, lambda p: {shape64})) > 0"),
-        "h_hex": flag(f"len(list_filter({parts}, lambda p: {shapehex})) > 0"),
-        "h_benign": over("prompts", f"round(least({total}, {f(2.0)})::DOUBLE, 4)"),
-        "h_adjust": with_signals(damped),
+        "h_benign": over("prompts", f"round({total}::DOUBLE, 4)"),
+        "h_adjust": with_signals(f"SELECT prompt_id, {listed(damped_sql(plain, 'b', of))} AS out FROM (SELECT *, {total} AS b FROM signals)"),
         "s_confusion": kw(f"COALESCE({', '.join(confusion)})"),
         "s_intent": kw(f"CASE WHEN {intent} >= {f(0.3)} THEN (least({intent}, {f(1.0)}) * {f(0.8)})::FLOAT END"),
         "s_switch": kw(f"CASE WHEN {switch} >= 2 THEN least(({switch}::FLOAT * {f(0.3)})::FLOAT, {f(1.0)}) END"),
-        "v_url": over("prompts", "CASE WHEN url_decode(text) <> text THEN url_decode(text) END"),
-        "v_b64": over("prompts", f"CASE WHEN strlen(text) >= 16 AND regexp_full_match(text, '[A-Za-z0-9+/]+={{0,2}}') AND strlen(text) % 4 = 0 THEN {kept(b64)} END"),
-        "v_hex": over("prompts", f"CASE WHEN regexp_full_match(text, '(0x)?([0-9A-Fa-f]{{2}}){{10,}}') THEN {kept(hexed)} END"),
-        "v_rot13": over("prompts", kept(rot)),
-        "v_ctrl": over("prompts", kept(pre)),
-        "f_context": with_signals(context),
-        "f_question": with_signals(f"SELECT prompt_id, array_to_string(list_transform(signals, lambda s: printf('%.3f', (CASE WHEN qn AND s.kind = 'SocialEngineering' THEN (s.confidence * {f(0.5)})::FLOAT ELSE s.confidence END)::DOUBLE)), ',') AS out FROM (SELECT *, {question} AS qn FROM signals)"),
-        "f_edu": with_signals(f"SELECT prompt_id, array_to_string(list_transform(signals, lambda s: printf('%.3f', (CASE WHEN e AND (contains(s.category, 'authority') OR contains(s.category, 'urgency')) THEN (s.confidence * {f(0.4)})::FLOAT ELSE s.confidence END)::DOUBLE)), ',') AS out FROM (SELECT *, {educational} AS e FROM signals)"),
-        "f_drop": with_signals(f"SELECT prompt_id, len(list_filter(signals, lambda s: NOT (s.confidence < {f(0.15)} AND e))) AS out FROM (SELECT *, ({question} OR {educational}) AS e FROM signals)"),
+        "v_url": over("prompts", URL_READING),
+        "v_b64": over("prompts", BASE64_READING),
+        "v_hex": over("prompts", HEX_READING),
+        "v_rot13": over("prompts", ROT13_READING),
+        "v_ctrl": over("prompts", CONTROL_READING),
+        "f_context": with_signals(context(f"list_filter({both}, {faint})")),
+        "f_question": with_signals(context(f"list_transform(signals, lambda s: {of(halved)})")),
+        "f_edu": with_signals(context(f"list_transform(signals, lambda s: {of(lowered)})")),
+        "f_drop": with_signals(context(f"list_filter(signals, {faint})")),
         "r_level": with_signals(f"SELECT prompt_id, CASE WHEN n > 0 THEN [{', '.join(q(r) for r in RISKS)}][({risk_sql(7)}) + 1] END AS out FROM ({scored(7)})"),
         "r_none": with_signals("SELECT prompt_id, CASE WHEN len(signals) = 0 THEN 1.0::DOUBLE END AS out FROM signals"),
         "r_catadj": with_signals(f"SELECT prompt_id, array_to_string(list_transform(rated, lambda r: printf('%.3f', r.c::DOUBLE)), ',') AS out FROM ({scored(5)})"),
@@ -322,47 +424,52 @@ def sql() -> dict[str, str]:
         "r_level_grid": with_signals(" UNION ALL ".join(f"SELECT prompt_id, {v} AS level, {risk_sql(v)} AS risk, round(score::DOUBLE, 4) AS score FROM ({scored(v)})" for v in range(11))),
         "r_top": with_signals("SELECT prompt_id, list_filter(signals, lambda s: s.confidence = list_max(list_transform(signals, lambda x: x.confidence)))[-1].kind AS out FROM signals"),
         "r_diversity": with_signals("SELECT prompt_id, len(list_distinct(list_transform(signals, lambda s: s.kind))) AS out FROM signals"),
-        "m_allow": response_sql(f"{q(mitigate.WARNING_PREFIX)} || substr(text, 1, 80)", False),
+        "m_allow": response_sql(f"{q(mitigate.WARNING_PREFIX)} || text", False),
         "m_block": response_sql(f"{q(blocked[0])} || len(signals) || {q(blocked[1])} || RISK || {q(blocked[2])}", True),
         "m_warn": response_sql(f"{q(warned[0])} || {names} || {q(warned[1])} || RISK || {q(warned[2])}", True),
         "m_custom": response_sql("'Please rephrase.'", True),
-        "ms_apply": strategies_sql({k: mitigate.Strategy(k, *a) for k, a in {"remove": (), "replace": ("[X]",), "encode": (), "prefix": ("<<",), "suffix": (">>",), "wrap": ("(", ")"), "custom": ("was: {original}",)}.items()}, "strategy", 60, True),
-        "ms_encode": over("prompts", encoded),
-        "ms_default": strategies_sql(mitigate.DEFAULTS, "kind", 30, False, "WHERE prompt_id % 3 = 0"),
-        "ms_select": strategies_sql({k: mitigate.Selector().of(k) for k in mitigate.DEFAULTS}, "kind", 30, False, "WHERE prompt_id % 3 = 0"),
-        "san_dec": f"WITH {PROMPTS} SELECT prompt_id, CASE WHEN regexp_matches(t, '[A-Za-z0-9+/]{{50,}}={{0,2}}') AND strlen(t) > 100 THEN regexp_replace(t, '[A-Za-z0-9+/]{{20,}}={{0,2}}', '[BASE64_FILTERED]', 'g') ELSE t END AS out FROM (SELECT prompt_id, regexp_replace({decoded}, '\\\\u[0-9a-fA-F]{{4}}', '[UNICODE_FILTERED]', 'g') AS t FROM prompts)",
-        "san_se": f"WITH {PROMPTS} SELECT prompt_id, CASE WHEN {any_of('lower(t)', mitigate.SOCIAL_MARKERS)} THEN {q(mitigate.SOCIAL_PREFIX)} || t ELSE t END AS out FROM (SELECT prompt_id, {softened} AS t FROM prompts)",
-        "san_general": over("prompts", f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({low300}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s{{3,}}', ' ', 'g'), '<[^>]*>', '', 'g'), '(?i)<script[^>]*>.*?</script>', '[SCRIPT_REMOVED]', 'g')"),
-        "san_cleanup": f"WITH {PROMPTS} SELECT prompt_id, replace(replace(replace(CASE WHEN strlen(t) > 200 THEN substr(t, 1, list_max(list_filter(range(0, 201), lambda k: strlen(substr(t, 1, k)) <= 200))) || '[TRUNCATED]' ELSE t END, '[]', ''), '()', ''), '{{}}', '') AS out FROM (SELECT prompt_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM prompts)",
+        "ms_apply": strategies_sql({k: mitigate.Strategy(k, *a) for k, a in {"remove": (), "replace": ("[X]",), "encode": (), "prefix": ("<<",), "suffix": (">>",), "wrap": ("(", ")"), "custom": ("was: {original}",)}.items()}, "strategy", True),
+        "ms_encode": over("prompts", encoded_sql("text")),
+        "ms_default": strategies_sql(mitigate.DEFAULTS, "kind", False),
+        "ms_select": strategies_sql({k: mitigate.Selector().of(k) for k in mitigate.DEFAULTS}, "kind", False),
+        "san_dec": over(f"(SELECT prompt_id, {bare_percents_sql('text')} AS t FROM prompts)", filtered64_sql("t")),
+        "san_se": over(f"(SELECT prompt_id, {calmed_sql('text')} AS t FROM prompts)", warned_sql("t")),
+        "san_general": over("prompts", general_sql("text", True)),
+        "san_cleanup": over(f"(SELECT prompt_id, {trimmed_sql('text')} AS t FROM prompts)", cut_sql("t", 200)),
         "a_totals": f"WITH {EVENTS} SELECT count(*) AS total_analyzed, count_if(injection_detected) AS injections_detected, sum(duration_ms)::BIGINT AS total_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(avg(duration_ms), 4) AS avg_ms, round(count_if(injection_detected) / count(*)::DOUBLE, 6) AS detection_rate FROM events_in",
         "a_rate_pct": f"WITH {EVENTS} SELECT round(count_if(injection_detected) / count(*)::DOUBLE * 100, 4) AS detection_rate_percent FROM events_in",
         "a_risk": f"WITH {EVENTS} SELECT risk_label, count(*) AS n FROM events_in GROUP BY 1",
         "a_threat": f"WITH {EVENTS} SELECT kind, count(*) AS n FROM events_in GROUP BY 1",
         "a_conf": f"WITH {EVENTS} SELECT round(avg(confidence) FILTER (WHERE injection_detected), 6) AS avg_positive, round(avg(confidence) FILTER (WHERE NOT injection_detected), 6) AS avg_negative, min(confidence) AS min_confidence, max(confidence) AS max_confidence, round(stddev_pop(confidence), 6) AS std_dev FROM events_in",
         "a_pct": f"WITH {EVENTS}, {ordered.replace('FROM events_in', 'FROM events_in WHERE duration_ms IS NOT NULL')} SELECT {', '.join(pct(p) for p in (50, 90, 95, 99))} FROM (SELECT max(n) AS n FROM ordered)".replace("WHERE k = least(n *", "WHERE k = least(ordered.n *").replace(", n - 1)", ", ordered.n - 1)"),
-        "a_retain": f"WITH {EVENTS} SELECT seq FROM events_in WHERE recorded_at >= (SELECT max(recorded_at) FROM events_in) - INTERVAL 6 HOURS ORDER BY recorded_at DESC, seq DESC LIMIT 500",
+        "a_retain": f"WITH {EVENTS} SELECT seq FROM events_in WHERE recorded_at >= (SELECT max(recorded_at) FROM events_in) - INTERVAL 1 HOUR ORDER BY recorded_at DESC, seq DESC LIMIT 10000",
         "a_reset": "SELECT 0::BIGINT AS total_analyzed, 0::BIGINT AS injections_detected, 0::BIGINT AS total_ms, 0::BIGINT AS min_ms, 0::BIGINT AS max_ms, 0.0::DOUBLE AS avg_ms, 0.0::DOUBLE AS detection_rate",
         "a_fpr": "SELECT NULL::DOUBLE AS false_positive_rate",
         "a_label_eval": f"WITH {EVENTS} SELECT count(*) AS n, count_if(injection_detected AND NOT s) AS true_positives, count_if(injection_detected AND s) AS false_positives, count_if(NOT injection_detected AND NOT s) AS false_negatives, count_if(NOT injection_detected AND s) AS true_negatives, round(count_if(injection_detected AND s) / count_if(s)::DOUBLE, 6) AS false_positive_rate, round(count_if(NOT injection_detected AND NOT s) / nullif(count_if(NOT s), 0)::DOUBLE, 6) AS false_negative_rate FROM events_in JOIN (SELECT doc_id AS seq, toxic = 0 AS s FROM labels) USING (seq)",
-        "u_norm": over("prompts", f"regexp_replace(regexp_replace(regexp_replace({low300}, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"),
-        "u_lev": over("prompts", "levenshtein(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40), source || ' instructions')"),
-        "u_sim": over("prompts", "round(1.0::DOUBLE - levenshtein(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40), source || ' instructions') / greatest(length(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40)), length(source || ' instructions'))::DOUBLE, 6)"),
-        "u_words": over("prompts", f"array_to_string(list_filter(list_transform(string_split_regex({low300}, '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda w: strlen(w) >= 4), ' ')"),
-        "u_entropy": over("prompts", f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE round(list_aggregate(string_split({low300}, ''), 'entropy'), 6) END"),
+        "u_norm": over("prompts", f"regexp_replace(regexp_replace({bare_controls('text')}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"),
+        "u_lev": over("prompts", f"levenshtein({ascii_text}, {pattern})"),
+        "u_sim": over("prompts", f"round(1.0::DOUBLE - levenshtein({ascii_text}, {pattern}) / greatest(length(text), length({pattern}))::DOUBLE, 6)"),
+        "u_words": over("prompts", f"array_to_string(list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda w: strlen(w) >= 4), ' ')"),
+        "u_entropy": over("prompts", f"CASE WHEN text = '' THEN 0.0::DOUBLE ELSE round(list_aggregate(string_split(text, ''), 'entropy'), 6) END"),
+        "pre_full": over(f"(SELECT prompt_id, {whole64('t')} AS w FROM (SELECT prompt_id, {percent_decoded(bare_controls('text'))} AS t FROM prompts))", first_bytes("w", 10_000)),
+        "v_b64frag": over("prompts", f"array_to_string({FRAGMENTS}, '|')"),
+        "v_dedup": over("prompts", f"array_to_string({READINGS}, '|')"),
+        "u_urldec": over("prompts", f"array_to_string(list_transform(regexp_extract_all(text, '(?s)%..|.'), lambda p: {byte}), '')"),
+        "u_valid": over("prompts", f"concat_ws(',', (strlen(text) BETWEEN 1 AND 1000)::VARCHAR, (NOT regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]'))::VARCHAR, regexp_matches(text, {rx['email']})::VARCHAR, regexp_matches(text, {rx['url']})::VARCHAR)"),
         "u_isb64": over("prompts", "strlen(text) >= 4 AND strlen(text) % 4 = 0 AND regexp_full_match(text, '[A-Za-z0-9+/]*={0,2}')"),
         "u_ishex": over("prompts", "strlen(text) >= 8 AND strlen(text) % 2 = 0 AND regexp_full_match(text, '[0-9a-fA-F]+')"),
         "u_detect": over("prompts", "concat_ws(',', CASE WHEN strlen(text) >= 4 AND strlen(text) % 4 = 0 AND regexp_full_match(text, '[A-Za-z0-9+/]*={0,2}') THEN 'base64' END, CASE WHEN strlen(text) >= 8 AND strlen(text) % 2 = 0 AND regexp_full_match(text, '[0-9a-fA-F]+') THEN 'hex' END, CASE WHEN contains(text, '%') THEN 'url' END, CASE WHEN contains(text, '\\u') THEN 'unicode' END, CASE WHEN contains(text, '&#') THEN 'html_entity' END)"),
-        "u_rx": over("prompts", "regexp_extract(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b')"),
+        "u_rx": f"WITH {PROMPTS} SELECT prompt_id, " + ", ".join(f"regexp_extract(text, {x}) AS {k}" for k, x in rx.items()) + " FROM prompts",
         "u_group": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
         "u_mode": "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
         "u_pctl": f"WITH {EVENTS}, {ordered} SELECT {', '.join(rank(p) for p in (50, 90, 95, 99))}".replace("(n - 1)", "(ordered.n - 1)"),
         "u_time": f"WITH {EVENTS} SELECT seq, CASE WHEN d < 1000 THEN d || 'ms' WHEN d < 60000 THEN printf('%.1fs', round(d / 1000.0::DOUBLE, 1)) WHEN d < 3600000 THEN printf('%.1fm', round(d / 60000.0::DOUBLE, 1)) ELSE printf('%.1fh', round(d / 3600000.0::DOUBLE, 1)) END AS out FROM (SELECT seq, duration_ms * 997 AS d FROM events_in)",
         "t_severity": with_signals(f"SELECT prompt_id, array_to_string(list_transform(signals, lambda s: CASE WHEN s.confidence >= {f(0.9)} THEN 'Critical' WHEN s.confidence >= {f(0.7)} THEN 'High' WHEN s.confidence >= {f(0.5)} THEN 'Medium' WHEN s.confidence >= {f(0.3)} THEN 'Low' ELSE 'Very Low' END), ',') AS out FROM signals"),
-        "conv_first_flagged": "WITH small AS (SELECT conv_id AS prompt_id, text, turn FROM conversations), " + matches(1).replace("SELECT prompt_id, text,", "SELECT prompt_id, turn,") + " SELECT prompt_id AS conv_id, min(turn) AS first_turn FROM found GROUP BY 1",
+        "conv_first_flagged": f"WITH {matches(1, table='conversations', keep='conv_id, turn')}" + " SELECT conv_id, min(turn) AS first_turn FROM found GROUP BY 1",
         "source_rollup": f"WITH {PROMPTS} SELECT source, count(*) AS n, count_if({question}) AS questions FROM prompts GROUP BY ROLLUP (source)",
-        "no_signal_antijoin": f"WITH {PROMPTS}, {matches(1)} SELECT prompt_id FROM small ANTI JOIN found USING (prompt_id)",
+        "no_signal_antijoin": f"WITH {PROMPTS}, {matches(1)} SELECT prompt_id FROM prompts ANTI JOIN found USING (prompt_id)",
     }
-    del seq
     out |= {f"pat_{c}": pattern_sql(c) for c in CATEGORIES}
+    out |= {h: heuristic_sql(h) for h in check_sql(5)}
     out |= {c: combination_sql(c) for c in ("c_triple", "c_multi", "c_socjail", "c_ctxrole", "c_socdata", "c_authurg", "c_escal", "c_multistage")}
     return out
