@@ -153,6 +153,15 @@ def a_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", F.round("avg_ms", 4).alias("avg_ms"), F.round("detection_rate", 6).alias("detection_rate"))
 
 
+def a_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The row of all figures, with its nested ones as text and columns."""
+    e = events(spark, d).withColumn("signals", F.array(signal("pattern", F.col("kind"), f32(0.5))))
+    s = metrics.snapshot(e)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ",").alias(c)
+    stats = [F.round(F.col("confidence_stats")[c], 6).alias(c) for c in ("avg_positive", "avg_negative", "min_confidence", "max_confidence", "std_dev")]
+    return s.select("total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", F.round("avg_ms", 4).alias("avg_ms"), F.round("detection_rate", 6).alias("detection_rate"), shown("risk_levels"), shown("threat_types"), *stats, "percentiles.*")
+
+
 def a_threat(spark: SparkSession, d: str) -> DataFrame:
     return metrics.by_threat(events(spark, d).withColumn("signals", F.array(signal("pattern", F.col("kind"), f32(0.5)))))
 
@@ -307,6 +316,7 @@ def queries() -> dict[str, Query]:
         "a_conf": a_conf,
         "a_pct": lambda s, d: metrics.percentiles(events(s, d)),
         "a_retain": lambda s, d: metrics.retained(events(s, d)).select("seq"),
+        "a_snapshot": a_snapshot,
         "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
         "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
         "a_label_eval": a_label_eval,

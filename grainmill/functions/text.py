@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .base import f32, java, let, n_bytes, words
 
@@ -122,15 +126,30 @@ def most_common(df: DataFrame, key: str) -> DataFrame:
     return n.agg(F.min_by(key, F.struct((-F.col("n")).alias("n"), F.col(key).alias("k"))).alias(key), F.max("n").alias("n"))
 
 
-def rank_percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
-    """One row, ``pNN`` each: the value at round(p / 100 * (n - 1)) in ascending order, halves up. No rows, nulls.
+def running_counts(df: DataFrame, value: str, ranges: int = 64) -> tuple[DataFrame, int]:
+    """(value, upto) of each distinct value that is not null, upto the rows that are not above it; and how many rows there are.
 
-    Values are counted first, so what is sorted is as long as the distinct values are many.
+    Values are counted, then summed up inside ranges of values, which are windows of their
+    own; what lies below a range is a sum that the driver adds, one for each range.
     """
-    from pyspark.sql import Window as W
-
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    last = F.sum("n").over(W.orderBy(value))
-    spread = counted.withColumn("last", last).withColumn("all", F.sum("n").over(W.partitionBy()))
-    at = lambda p: F.floor(F.lit(p / 100.0) * (F.col("all") - 1) + 0.5)
-    return spread.agg(*[F.min(F.when(F.col("last") > at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    cuts = sorted(set(counted.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.001)))
+    which = F.lit(0)
+    for c in cuts:
+        which = which + (F.col(value) > c).cast("int")
+    placed = counted.withColumn("range", which)
+    sums = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    below = [sum(n for k, n in sums.items() if k < j) for j in range(len(cuts) + 1)]
+    upto = F.get(F.array(*[F.lit(b) for b in below]), F.col("range")) + F.sum("n").over(W.partitionBy("range").orderBy(value))
+    return placed.select(value, upto.alias("upto")), sum(sums.values())
+
+
+def at_places(df: DataFrame, value: str, places: Callable[[int], dict[str, int]], empty: Column) -> DataFrame:
+    """One row: for each name the value at that place, from 0, in ascending order; ``empty`` without rows."""
+    spread, n = running_counts(df, value)
+    return spread.agg(*[F.coalesce(F.min(F.when(F.col("upto") > at, F.col(value))), empty).alias(k) for k, at in places(n).items()])
+
+
+def rank_percentiles(df: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """One row, ``pNN`` each: the value at round(p / 100 * (n - 1)) in ascending order, halves up. No rows, nulls."""
+    return at_places(df, value, lambda n: {f"p{p}": math.floor(p / 100.0 * (n - 1) + 0.5) for p in percents}, F.lit(None))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from grainmill.functions.levels import RISKS, SEVERITY
+from grainmill.functions.text import at_places
 
 PERCENTS = (50, 90, 95, 99)
 #: How many samples, and how old, the percentile and confidence figures may rest on.
@@ -44,21 +46,39 @@ def confidence_stats(a: DataFrame, confidence: str = "confidence", injection: st
 
 
 def percentiles(a: DataFrame, value: str = "duration_ms", percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """One row, ``pNN`` each: the value at place floor(n * p / 100) in ascending order, from 0; 0 without rows.
+    """One row, ``pNN`` each: the value at place floor(n * p / 100) in ascending order, from 0; 0 without rows."""
+    return at_places(a, value, lambda n: {f"p{p}": min(n * p // 100, n - 1) for p in percents}, F.lit(0))
+
 
-    Values are counted before they are ordered, so the ordered part is one row per
-    distinct value.
+def snapshot(
+    a: DataFrame, duration: str = "duration_ms", at: str = "recorded_at", seq: str = "seq", samples: int = SAMPLES, age: str = SAMPLE_AGE, now: Column | None = None
+) -> DataFrame:
+    """One row of everything: the totals, ``risk_levels`` and ``threat_types`` (arrays of name and n, those that occur, by name), and, over the retained samples, ``confidence_stats`` and ``percentiles``.
+
+    ``a``: analyses with their duration, time and number. Counts are one pass without an
+    exchange of rows; samples are bounded. Rows with an error count nowhere. Without
+    analyses all figures are zero and the arrays empty.
     """
-    counted = a.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    spread = counted.withColumn("upto", F.sum("n").over(W.orderBy(value))).withColumn("whole", F.sum("n").over(W.partitionBy()))
-    at = lambda p: F.least(F.floor(F.col("whole") * p / 100), F.col("whole") - 1)
-    return spread.agg(*[F.coalesce(F.min(F.when(F.col("upto") > at(p), F.col(value))), F.lit(0)).alias(f"p{p}") for p in percents])
+    ok = a.where(F.col("error").isNull()) if "error" in a.columns else a
+    t = totals(ok, duration)
+    tally = lambda names, count: F.filter(F.array(*[F.struct(F.lit(k).alias("name"), F.coalesce(count(k), F.lit(0)).cast("long").alias("n")) for k in sorted(names)]), lambda x: x["n"] > 0)
+    counts = ok.agg(
+        tally(RISKS, lambda k: F.count_if(F.col("risk_label") == k)).alias("risk_levels"), tally(SEVERITY, lambda k: F.sum(F.size(F.filter("signals", lambda s: s["kind"] == k)))).alias("threat_types")
+    )
+    kept = retained(ok, at, seq, now, samples, age)
+    stats, ranks = confidence_stats(kept), percentiles(kept, duration)
+    parts = [x.select(F.struct("*").alias(name)) for name, x in (("totals", t), ("counts", counts), ("confidence_stats", stats), ("percentiles", ranks))]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    one = rows.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in ("totals", "counts", "confidence_stats", "percentiles")])
+    return one.select("totals.*", "counts.*", "confidence_stats", "percentiles")
 
 
 def retained(a: DataFrame, at: str = "recorded_at", seq: str = "seq", now: Column | None = None, samples: int = SAMPLES, age: str = SAMPLE_AGE) -> DataFrame:
     """The newest ``samples`` rows that are at most ``age`` old, as of ``now`` (the newest row's time by default)."""
     last = a.agg(F.max(at)).first()[0] if now is None else None
-    since = (F.lit(last) if now is None else now) - F.expr(f"INTERVAL {age}")
+    since = (F.lit(last).cast(a.schema[at].dataType) if now is None else now) - F.expr(f"INTERVAL {age}")
     return a.where(F.col(at) >= since).orderBy(F.desc(at), F.desc(seq)).limit(samples)
 
 

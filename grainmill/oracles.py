@@ -443,6 +443,16 @@ def sql() -> dict[str, str]:
         "a_conf": f"WITH {EVENTS} SELECT round(avg(confidence) FILTER (WHERE injection_detected), 6) AS avg_positive, round(avg(confidence) FILTER (WHERE NOT injection_detected), 6) AS avg_negative, min(confidence) AS min_confidence, max(confidence) AS max_confidence, round(stddev_pop(confidence), 6) AS std_dev FROM events_in",
         "a_pct": f"WITH {EVENTS}, {ordered.replace('FROM events_in', 'FROM events_in WHERE duration_ms IS NOT NULL')} SELECT {', '.join(pct(p) for p in (50, 90, 95, 99))} FROM (SELECT max(n) AS n FROM ordered)".replace("WHERE k = least(n *", "WHERE k = least(ordered.n *").replace(", n - 1)", ", ordered.n - 1)"),
         "a_retain": f"WITH {EVENTS} SELECT seq FROM events_in WHERE recorded_at >= (SELECT max(recorded_at) FROM events_in) - INTERVAL 1 HOUR ORDER BY recorded_at DESC, seq DESC LIMIT 10000",
+        "a_snapshot": f"WITH {EVENTS}, kept AS (SELECT * FROM events_in WHERE recorded_at >= (SELECT max(recorded_at) FROM events_in) - INTERVAL 1 HOUR ORDER BY recorded_at DESC, seq DESC LIMIT 10000), "
+        "ordered AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) - 1 AS k, count(*) OVER () AS n FROM kept WHERE duration_ms IS NOT NULL) "
+        "SELECT (SELECT count(*) FROM events_in) AS total_analyzed, (SELECT count_if(injection_detected) FROM events_in) AS injections_detected, (SELECT sum(duration_ms)::BIGINT FROM events_in) AS total_ms, "
+        "(SELECT min(duration_ms) FROM events_in) AS min_ms, (SELECT max(duration_ms) FROM events_in) AS max_ms, (SELECT round(avg(duration_ms), 4) FROM events_in) AS avg_ms, "
+        "(SELECT round(count_if(injection_detected) / count(*)::DOUBLE, 6) FROM events_in) AS detection_rate, "
+        "(SELECT string_agg(risk_label || '=' || n, ',' ORDER BY risk_label) FROM (SELECT risk_label, count(*) AS n FROM events_in GROUP BY 1)) AS risk_levels, "
+        "(SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM events_in GROUP BY 1)) AS threat_types, "
+        "COALESCE((SELECT round(avg(confidence) FILTER (WHERE injection_detected), 6) FROM kept), 0.0) AS avg_positive, COALESCE((SELECT round(avg(confidence) FILTER (WHERE NOT injection_detected), 6) FROM kept), 0.0) AS avg_negative, "
+        "(SELECT min(confidence) FROM kept) AS min_confidence, (SELECT max(confidence) FROM kept) AS max_confidence, (SELECT round(stddev_pop(confidence), 6) FROM kept) AS std_dev, "
+        + ", ".join(f"(SELECT duration_ms FROM ordered WHERE k = least(ordered.n * {p} // 100, ordered.n - 1)) AS p{p}" for p in (50, 90, 95, 99)),
         "a_reset": "SELECT 0::BIGINT AS total_analyzed, 0::BIGINT AS injections_detected, 0::BIGINT AS total_ms, 0::BIGINT AS min_ms, 0::BIGINT AS max_ms, 0.0::DOUBLE AS avg_ms, 0.0::DOUBLE AS detection_rate",
         "a_fpr": "SELECT NULL::DOUBLE AS false_positive_rate",
         "a_label_eval": f"WITH {EVENTS} SELECT count(*) AS n, count_if(injection_detected AND NOT s) AS true_positives, count_if(injection_detected AND s) AS false_positives, count_if(NOT injection_detected AND NOT s) AS false_negatives, count_if(NOT injection_detected AND s) AS true_negatives, round(count_if(injection_detected AND s) / count_if(s)::DOUBLE, 6) AS false_positive_rate, round(count_if(NOT injection_detected AND NOT s) / nullif(count_if(NOT s), 0)::DOUBLE, 6) AS false_negative_rate FROM events_in JOIN (SELECT doc_id AS seq, toxic = 0 AS s FROM labels) USING (seq)",

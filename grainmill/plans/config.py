@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from enum import Enum
 
 from grainmill.functions.levels import SEVERITY_LEVELS, SecurityLevel
@@ -142,11 +142,16 @@ class Preset(Enum):
     def description(self) -> str:
         return _PRESETS[self].description
 
+    def metadata(self) -> dict[str, str]:
+        """What the preset is meant for, for a host to read."""
+        p = _PRESETS[self]
+        return {"deployment_domain": p.domain, "preset_type": p.domain, "optimize_for": p.optimize_for}
+
     def config(self) -> DetectorConfig:
         p = _PRESETS[self]
         return DetectorConfig(
-            security_level=SecurityLevel(p.level), response=Response(p.response), patterns=Patterns(p.categories, p.custom, False, p.max_patterns), keywords=p.keywords,
-            preprocessing=Preprocessing(p.decode, p.decode, p.max_bytes), resources=Resources(analysis_timeout_s=p.timeout_s),
+            security_level=SecurityLevel(p.level), response=Response(p.response), patterns=Patterns(p.categories, p.custom, False, p.max_patterns), keywords=Keywords(*p.keywords),
+            preprocessing=Preprocessing(p.decode, p.decode, p.max_bytes, p.preserve), resources=Resources(*p.resources),
         )
 
 
@@ -156,40 +161,51 @@ class _Preset:
     level: int
     response: str
     max_bytes: int
-    timeout_s: float
+    resources: tuple[int, float, int, int]
+    domain: str
+    optimize_for: str
     custom: tuple[str, ...] = ()
     categories: tuple[str, ...] | None = None
     max_patterns: int = 3000
-    keywords: Keywords = field(default_factory=Keywords)
+    keywords: tuple[bool, str | None, float, int] = (False, None, 0.8, 512)
     decode: bool = True
+    preserve: bool = True
 
 
-# The presets.
+# The presets. Resources are analyses at once, seconds, megabytes and patterns kept.
 _PRESETS = {
-    Preset.CHAT_BOT: _Preset("Level 5 with a sanitize response strategy", 5, "sanitize", 5000, 5, (r"act\s+as\s+(?:dan|jailbreak|unrestricted)", r"pretend\s+you're\s+not\s+an?\s+ai"), None, 2000),
+    Preset.CHAT_BOT: _Preset(
+        "Level 5 with a sanitize response strategy", 5, "sanitize", 5000, (200, 5, 256, 1000), "chatbot", "user_experience",
+        (r"act\s+as\s+(?:dan|jailbreak|unrestricted)", r"pretend\s+you're\s+not\s+an?\s+ai"), None, 2000, preserve=False,
+    ),
     Preset.CODE_ASSISTANT: _Preset(
-        "Level 4 with a warning response strategy", 4, "warn", 20_000, 15, (r"execute\s+(?:system|shell|command)", r"run\s+(?:malicious|harmful)\s+code"),
-        ("instruction_override", "jailbreak", "encoding_bypass", "data_extraction"), 1500,
+        "Level 4 with a warning response strategy", 4, "warn", 20_000, (50, 15, 512, 500), "code_assistant", "technical_accuracy",
+        (r"execute\s+(?:system|shell|command)", r"run\s+(?:malicious|harmful)\s+code"),
+        ("instruction_override", "jailbreak", "encoding_bypass", "data_extraction"), 1500, (False, None, 0.85, 1024),
+    ),
+    Preset.CUSTOMER_SERVICE: _Preset(
+        "Level 6 with a block response strategy", 6, "block", 3000, (100, 3, 256, 800), "customer_service", "professionalism",
+        (r"customer\s+service\s+override", r"escalate\s+to\s+manager\s+mode"), None, 2500, (False, None, 0.75, 512), preserve=False,
     ),
-    Preset.CUSTOMER_SERVICE: _Preset("Level 6 with a block response strategy", 6, "block", 3000, 3, (r"customer\s+service\s+override", r"escalate\s+to\s+manager\s+mode"), None, 2500),
     Preset.EDUCATIONAL: _Preset(
-        "Level 3 with a sanitize response strategy", 3, "sanitize", 10_000, 8, (r"cheat\s+on\s+(?:exam|test|homework)", r"give\s+me\s+the\s+answers?"),
-        ("instruction_override", "jailbreak", "data_extraction"), 1000,
+        "Level 3 with a sanitize response strategy", 3, "sanitize", 10_000, (150, 8, 384, 600), "educational", "learning_support",
+        (r"cheat\s+on\s+(?:exam|test|homework)", r"give\s+me\s+the\s+answers?"), ("instruction_override", "jailbreak", "data_extraction"), 1000,
     ),
     Preset.FINANCIAL: _Preset(
-        "Level 9 with a block response strategy", 9, "block", 5000, 30,
+        "Level 9 with a block response strategy", 9, "block", 5000, (25, 30, 1024, 2000), "financial", "maximum_security",
         (r"bypass\s+(?:audit|compliance|regulation)", r"ignore\s+(?:privacy|security)\s+policies", r"transfer\s+(?:funds|money)\s+to", r"account\s+(?:number|details|credentials)"),
-        None, 5000, Keywords(True, None, 0.70, 1024),
+        None, 5000, (True, None, 0.70, 1024),
     ),
     Preset.HEALTHCARE: _Preset(
-        "Level 8 with a block response strategy", 8, "block", 8000, 20,
+        "Level 8 with a block response strategy", 8, "block", 8000, (50, 20, 768, 1500), "healthcare", "privacy_protection",
         (r"patient\s+(?:records?|data|information)", r"medical\s+(?:records?|history|data)", r"hipaa\s+(?:bypass|violation|ignore)", r"ssn|social\s+security\s+number", r"(?:dob|date\s+of\s+birth)"),
-        None, 4000, Keywords(True, None, 0.75, 1024),
+        None, 4000, (True, None, 0.75, 1024),
     ),
     Preset.DEVELOPMENT: _Preset(
-        "Level 2 with an allow response strategy", 2, "allow", 50_000, 2, (r"rm\s+-rf\s+/", r"delete\s+all\s+files"), ("instruction_override", "jailbreak"), 500, decode=False,
+        "Level 2 with an allow response strategy", 2, "allow", 50_000, (10, 2, 128, 200), "development", "developer_productivity",
+        (r"rm\s+-rf\s+/", r"delete\s+all\s+files"), ("instruction_override", "jailbreak"), 500, (False, None, 0.9, 256), decode=False,
     ),
-    Preset.CUSTOM: _Preset("User-defined custom configuration", 5, "block", 10_000, 10),
+    Preset.CUSTOM: _Preset("User-defined custom configuration", 5, "block", 10_000, (100, 10, 512, 1000), "custom", "user_defined", preserve=False),
 }
 
 # Words of a use case that recommend a preset, in order.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,13 @@ class Detector:
     config: DetectorConfig = DetectorConfig()
     selector: mitigate.Selector = mitigate.Selector()
 
+    def reconfigured(self, config: DetectorConfig) -> Detector:
+        """A detector by another configuration, if that is valid; else an error, and this one stays in use."""
+        return replace(self, config=config.validate())
+
+    def with_strategy(self, kind: str, strategy: mitigate.Strategy) -> Detector:
+        return replace(self, selector=self.selector.with_strategy(kind, strategy))
+
     def signals(self, text: Column) -> Column:
         """All signals of a processed text, after the combinations and the filter by context."""
         cfg, matcher = self.config, self.config.matcher()
@@ -74,5 +81,11 @@ class Detector:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows dealt evenly over all slots: the analysis is bound by CPU, and small files are few partitions."""
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    """Rows dealt over all slots, where the planner puts the input at fewer full partitions than that; a large input stays as its scan deals it.
+
+    The analysis is bound by CPU, and small files are few partitions.
+    """
+    slots = partitions or df.sparkSession.sparkContext.defaultParallelism
+    full = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size < slots * full else df

@@ -104,22 +104,30 @@ def mixed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_policy_text(path: str) -> dict:
     """A policy document by its extension: json, yaml or yml."""
-    kind, text = Path(path).suffix.lower(), Path(path).read_text()
-    if kind == ".json":
-        return json.loads(text)
-    if kind in (".yaml", ".yml"):
-        return _yaml().safe_load(text)
-    raise ValueError(f"unsupported policy file: {path}")
+    return _form(path)[0](Path(path).read_text())
 
 
 def save_policy_text(path: str, policy: dict) -> None:
+    Path(path).write_text(_form(path)[1](policy))
+
+
+def _form(path: str):
+    """How a document of this extension is read and written."""
     kind = Path(path).suffix.lower()
     if kind == ".json":
-        Path(path).write_text(json.dumps(policy, indent=2))
-    elif kind in (".yaml", ".yml"):
-        Path(path).write_text(_yaml().safe_dump(policy, sort_keys=False))
-    else:
-        raise ValueError(f"unsupported policy file: {path}")
+        return json.loads, lambda d: json.dumps(d, indent=2)
+    if kind in (".yaml", ".yml"):
+        return parse_yaml, dump_yaml
+    raise ValueError(f"unsupported policy file: {path}")
+
+
+def parse_yaml(text: str) -> dict:
+    return _yaml().safe_load(text)
+
+
+def dump_yaml(policy: dict) -> str:
+    # by way of JSON, as YAML knows no tuples
+    return _yaml().safe_dump(json.loads(json.dumps(policy)), sort_keys=False)
 
 
 def _yaml():

@@ -11,7 +11,6 @@ from grainmill.operators import combine, heuristics, mitigate, preprocess, scori
 from grainmill.operators.patterns import Matcher
 from grainmill.plans.config import ConfigBuilder, ConfigError, Preset, recommend
 from grainmill.plans.detector import Detector
-from grainmill.plans.policy import Features, Policy, PolicyBuilder, fnv1a64
 
 
 def each(spark, make, *texts):
@@ -149,24 +148,6 @@ def test_config_and_presets():
     assert Preset.FINANCIAL in recommend("x", "high", "") and Preset.FINANCIAL not in recommend("banking", "", "fast")
 
 
-def test_policies(tmp_path):
-    assert fnv1a64(b"") == 0xCBF29CE484222325 and fnv1a64(b"a") == 0xAF63DC4C8601EC8C
-    p = PolicyBuilder.for_use_case("banking").with_tags("x", "x", "y").category_sensitivity("jailbreak", 10).add_patterns("abc").build_validated()
-    assert abs(p.options.category_thresholds["jailbreak"] - 0.1) < 1e-9 and p.tags == ["x", "y"]
-    path = str(tmp_path / "p.json")
-    p.save(path)
-    again = Policy.load(path)
-    assert again.marker() == p.marker() and again.config == p.config
-    assert PolicyBuilder(p).with_security_level(2).build().marker() != p.marker()
-    with pytest.raises(ValueError):
-        p.save(str(tmp_path / "p.txt"))
-    with pytest.raises(ConfigError):
-        PolicyBuilder(p).enabled(False).build().detector_config()
-    assert len(Features.names()) == 14 and Features.from_map(Features.minimal().to_map()) == Features.minimal()
-    assert p.merge(PolicyBuilder().with_tags("z").build()).tags == ["x", "y", "z"]
-    assert p.clone("copy").policy_id != p.policy_id and p.summary()["custom_patterns"] == 5
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from grainmill.streaming.analyze import analyze_stream, run_to_table
 
