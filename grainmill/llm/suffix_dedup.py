@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .arrow import by_bytes, tidy
+from .common import cut, given_back, join_salted, set_apart
 
 #: Bytes of an anchor's string; at most the window's length.
 ANCHOR = 64
 #: Starts looked at together, below 2^24 for the packed positions.
-STRIDE = 1 << 22
-#: Text of blocks that one suffix array holds.
-SORTED_BYTES = 1 << 20
+STRIDE = 1 << 20
+#: Text of blocks that one suffix array holds, or that of one hash's share of them, if that is more.
+SORTED_BYTES = 1 << 18
 #: Differing blocks of one hash that one task gets.
 SALTED = 8192
 
@@ -92,10 +93,12 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
     n = len(x)
     if not n:
         return np.zeros(0, np.int32)
-    step = np.append(np.sign(x[1:].astype(np.int16) - x[:-1].astype(np.int16)), -1).astype(np.int8)
-    turn = np.where(step != 0, np.arange(n), n)
+    up, level = np.append(x[1:] > x[:-1], False), np.append(x[1:] == x[:-1], False)
+    turn = np.arange(n, dtype=np.int32)
+    turn[level] = n - 1  # the last place is never level
     turn = np.minimum.accumulate(turn[::-1])[::-1]
-    smaller = step[turn] > 0
+    smaller = up[turn]
+    del up, level, turn
     direct = np.flatnonzero(smaller).astype(np.int32)
     direct = _sorted_to(direct, words8(x), depth)
     heads = np.searchsorted(x[direct], np.arange(257))
@@ -135,31 +138,30 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
 def _sorted_to(at: np.ndarray, key8: np.ndarray, depth: int) -> np.ndarray:
     """``at`` sorted by the ``depth`` bytes from each place on."""
     n = len(key8)
-    order = at[np.argsort(key8[at], kind="stable")]
-    k = key8[order]
-    group = np.cumsum(np.append(0, k[1:] != k[:-1])) if len(order) else np.zeros(0, np.int64)
-    tied = np.flatnonzero(_tied(group))
+    k = key8[at]
+    by = np.argsort(k, kind="stable")
+    order, k = at[by], k[by]
+    del by
+    tied, group = _ties(k[1:] != k[:-1])
     done = 8
     while len(tied) and done < depth:
-        sub, g = order[tied], group[tied]
-        place = sub + done
+        sub = order[tied]
+        place = sub + np.int32(done)
         k = np.where(place < n, key8[np.minimum(place, n - 1)], _U(0))
-        by = np.lexsort((k, g))
-        sub, g, k = sub[by], g[by], k[by]
-        order[tied] = sub
-        new = np.cumsum(np.append(0, (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
-        group = new
-        still = _tied(new)
-        tied, group_all = tied[still], new[still]
-        group = np.zeros(len(order), np.int64)
-        group[tied] = group_all
+        by = np.lexsort((k, group))
+        order[tied], group, k = sub[by], group[by], k[by]
+        still, within = _ties((group[1:] != group[:-1]) | (k[1:] != k[:-1]))
+        tied, group = tied[still], within
         done += 8
     return order
 
 
-def _tied(group: np.ndarray) -> np.ndarray:
-    same = group[1:] == group[:-1]
-    return np.append(False, same) | np.append(same, False)
+def _ties(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, ``new`` where one differs from the row before: the places of those that have an equal, and the numbers of their groups."""
+    if not len(new):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    tied = np.flatnonzero(np.append(False, ~new) | np.append(~new, False)).astype(np.int32)
+    return tied, np.cumsum(np.append(0, new), dtype=np.int32)[tied]
 
 
 def repeated_starts(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +175,12 @@ def repeated_starts(blocks: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     x = np.frombuffer(raw, np.uint8) + np.uint8(1)
     sizes = np.array([len(b) for b in blocks])
     ends = np.cumsum(sizes + 1) - 1
-    rest = np.repeat(ends, sizes + 1) - np.arange(len(x))
     order = suffix_array(x, length)
+    rest = np.repeat(ends.astype(np.int32), sizes + 1) - np.arange(len(x), dtype=np.int32)
     starts = order[rest[order] >= length]
+    del order, rest
     key8 = words8(x)
-    same = np.arange(1, len(starts))
+    same = np.arange(1, len(starts), dtype=np.int32)
     for o in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         same = same[key8[starts[same] + o] == key8[starts[same - 1] + o]]
     common = np.zeros(len(starts) + 1, bool)
@@ -196,11 +199,9 @@ def _occurrences(texts: DataFrame, length: int, hashes_only: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 512):
+            for part in by_bytes(b, 1, rows=512):
                 hs, gs, us, ats = [], [], [], []
-                part = b.slice(low, 512)
-                us_in = part.column(0).to_pylist()
-                for u, t in zip(us_in, part.column(1)):
+                for u, t in zip(part.column(0).to_pylist(), part.column(1)):
                     raw = t.as_buffer().to_pybytes()
                     h, first, last = anchors(raw, length)
                     if not len(h):
@@ -214,23 +215,23 @@ def _occurrences(texts: DataFrame, length: int, hashes_only: bool) -> DataFrame:
                     cols = [hs] if hashes_only else [hs, gs, us, ats]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "g", "u", "at"][: len(cols)])
 
-    return texts.mapInArrow(run, "h long" if hashes_only else "h long, g long, u long, at long")
+    return texts.mapInArrow(tidy(run), "h long" if hashes_only else "h long, g long, u long, at long")
 
 
-def _block_text(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(h, salt, salts, g, n, block): ``wanted`` (u, blocks) joined to the text it is cut from."""
+def _block_text(wanted: DataFrame, length: int) -> DataFrame:
+    """(h, salt, salts, g, n, block): the blocks of ``wanted`` (u, text, blocks), cut from the text; from each copy of it in another task too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
-            for u, t, blocks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for u, t, blocks in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 raw = t.as_buffer().to_pybytes()
                 own = (u, xxhash.xxh3_64_intdigest(raw))
                 if own in seen:  # a copy
                     continue
                 seen.add(own)
                 rows = []
-                for w in blocks:
+                for w in blocks.as_py():
                     first, more = w["at"] >> 16, w["at"] & 0xFFFF
                     part = raw[first : first + more + length]
                     if np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64) == w["g"]:  # else another text of the same u
@@ -238,11 +239,11 @@ def _block_text(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]], pa.array([r[5] for r in rows], pa.binary())], ["h", "salt", "salts", "g", "n", "block"])
 
-    return texts.join(wanted, "u").select("u", "text", "blocks").mapInArrow(run, "h long, salt long, salts long, g long, n long, block binary")
+    return wanted.select("u", "text", "blocks").mapInArrow(tidy(run), "h long, salt long, salts long, g long, n long, block binary")
 
 
 def _sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
-    """(h, g, low, high, w1, w2): runs of repeated windows in a block (w1 null), and, for hashes dealt over tasks, each class of windows by its hash."""
+    """(h, g, n, low, high, w1, w2): runs of repeated windows in a block (w1 null), and, for hashes dealt over tasks, each class of windows by its hash."""
     dealt = blocks.repartition("h", "salt").sortWithinPartitions("h", "salt", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +256,14 @@ def _sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
             begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
             again = np.zeros(len(x), bool)
             again[starts[twice]] = True
+            del x, twice
             rows = []
             for (h, g, n, salts, block), a in zip(held, begin.tolist()):
                 windows = len(block) - length + 1
                 if n > 1:
-                    rows.append((h, g, 0, windows - 1, None, None))
+                    rows.append((h, g, n, 0, windows - 1, None, None))
                 else:
-                    rows += [(h, g, p, q, None, None) for p, q in zip(*(v.tolist() for v in _runs(again[a : a + windows])))]
+                    rows += [(h, g, n, p, q, None, None) for p, q in zip(*(v.tolist() for v in _runs(again[a : a + windows])))]
             if any(r[3] > 1 for r in held):
                 which = np.searchsorted(begin, starts[leads], side="right") - 1
                 for s, k in zip(starts[leads].tolist(), which.tolist()):
@@ -269,15 +271,16 @@ def _sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
                     if salts > 1:
                         low = s - int(begin[k])
                         d = xxhash.xxh3_128_digest(block[low : low + length])
-                        rows.append((h, g, low, low, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                        rows.append((h, g, n, low, low, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "g", "low", "high", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "g", "n", "low", "high", "w1", "w2"])
 
         for b in batches:
-            for h, salt, salts, g, n, block in zip(*(c.to_pylist() for c in b.columns)):
+            for h, salt, salts, g, n, block in zip(*(c.to_pylist() for c in b.columns[:5]), b.column(5)):
                 if (h, salt) != last and size >= SORTED_BYTES:
                     yield from flush()
                     held, size = [], 0
+                block = block.as_py()
                 if held and (h, salt) == last and held[-1][1] == g:
                     continue  # a copy of the text in another task gave it too
                 held.append((h, g, n, salts, block))
@@ -286,7 +289,7 @@ def _sort_blocks(blocks: DataFrame, length: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "h long, g long, low long, high long, w1 long, w2 long")
+    return dealt.mapInArrow(tidy(run), "h long, g long, n long, low long, high long, w1 long, w2 long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -297,63 +300,72 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", with_
     Null and empty texts, and texts shorter than ``length``, lose nothing. Repeated rows
     are copies of one another. A cut may fall inside a character: the digest is over the
     bytes, and kept_text leaves out what is no character any more. Empty input, no rows.
-    Columns of these names are replaced.
+    Columns of these five names are replaced; all others pass through.
+
+    Anchors, blocks and texts that a large share of the rows have are dealt over tasks in
+    every join that they are a key of.
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    kept = [f for f in docs.schema.fields if f.name not in (text, "u", *made)]
-    names = [f.name for f in kept]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*names, whole.alias("text"), F.xxhash64(whole).alias("u"))
-    long_enough = rows.where(F.octet_length("text") >= length).select("u", "text")
-    counts = _occurrences(long_enough, length, True).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    found = cut(_occurrences(long_enough, length, False).join(counts, "h"))
+    apart_docs, names = set_apart(docs)
+    own = {c: n for c, n in names.items() if c not in (text, *made)}
+    whole = F.coalesce(F.col(names[text]), F.lit(""))
+    rows = apart_docs.select(*own.values(), whole.alias("text"), F.xxhash64(whole).alias("u"))
+    texts = rows.select("u", "text")
+    long_enough = texts.where(F.octet_length("text") >= length)
+    counts = cut(_occurrences(long_enough, length, True).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    found = cut(join_salted(_occurrences(long_enough, length, False), counts, ["h"], "c"), free=True)
     # distinct blocks first: a hash met everywhere is few rows from here on
     per_block = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("u", "at")).alias("one"))
-    per_hash = per_block.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    apart = cut(per_block.join(per_hash, "h"))
-    mixed = apart.select("h").distinct()
-    chosen = apart.withColumn("salts", F.ceil(F.col("k") / F.lit(SALTED)).cast("long")).select(
+    per_hash = cut(per_block.groupBy("h").agg(F.count("*").alias("blocks"), F.count("*").alias("k")))
+    block = cut(join_salted(per_block, per_hash, ["h"], "blocks"), free=True)
+    chosen = block.where("k > 1").withColumn("salts", F.ceil(F.col("k") / F.lit(SALTED)).cast("long")).select(
         F.col("one.u").alias("u"), F.struct("h", F.pmod("g", "salts").alias("salt"), "salts", "g", "n", F.col("one.at").alias("at")).alias("b")
     )
-    wanted = chosen.groupBy("u").agg(F.collect_list("b").alias("blocks"))
-    runs = cut(_sort_blocks(_block_text(wanted, long_enough, length), length))
+    copies = cut(texts.groupBy("u").agg(F.count("*").alias("copies")))
+    wanted = cut(copies.join(chosen.groupBy("u").agg(F.collect_list("b").alias("blocks")), "u"))
+    runs = cut(_sort_blocks(_block_text(join_salted(long_enough, wanted, ["u"], "copies"), length), length), free=True)
     classes = runs.where("w1 is not null")
     across = classes.groupBy("h", "w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     # a class that is met again elsewhere: its windows, wherever the block has them
-    crossed = classes.join(across, ["h", "w1", "w2"]).select("h", "g", "low", "high")
-    parts = runs.where("w1 is null").select("h", "g", "low", "high").unionByName(crossed)
-    pure = found.join(mixed, "h", "left_anti").select("u", "g", "at", F.lit(0).cast("long").alias("low"), F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("high"))
-    partly = found.join(parts, ["h", "g"]).select("u", "g", "at", "low", "high")
-    marks = pure.unionByName(partly).groupBy("u").agg(F.collect_set(F.struct("g", "at", "low", "high")).alias("marks"))
-    return _cut_out(rows.join(marks, "u", "left").select(*names, "text", "marks"), kept, length, with_text)
-
-
-def _cut_out(marked: DataFrame, kept: list[T.StructField], length: int, with_text: bool) -> DataFrame:
-    names = [f.name for f in kept]
+    crossed = classes.join(across, ["h", "w1", "w2"]).select("h", "g", "n", "low", "high")
+    whole_blocks = block.where("k = 1").select("h", "g", "n", F.lit(0).cast("long").alias("low"), F.col("one.at").bitwiseAND(F.lit(0xFFFF)).alias("high"))
+    parts = runs.where("w1 is null").select("h", "g", "n", "low", "high").unionByName(crossed).unionByName(whole_blocks)
+    spans = cut(parts.groupBy("h", "g").agg(F.max("n").alias("n"), F.collect_set(F.struct("low", "high")).alias("spans")))
+    hit = join_salted(found, spans, ["h", "g"], "n").select("u", F.struct("g", "at", "spans").alias("mark"))
+    marks = hit.groupBy("u").agg(F.collect_set("mark").alias("marks"))
+    marked = cut(copies.join(marks, "u"), free=True)
+    return _cut_out(join_salted(rows, marked, ["u"], "copies", "left").select(*own.values(), "text", "marks"), own, length, with_text)
+
+
+def _cut_out(marked: DataFrame, own: dict[str, str], length: int, with_text: bool) -> DataFrame:
+    names = list(own.values())
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     made += [T.StructField("kept_text", T.StringType())] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            at = len(names)
-            for t, marks in zip(b.column(at), b.column(at + 1)):
-                raw = t.as_buffer().to_pybytes()
-                n, spans, rest = len(raw), 0, raw
-                if marks.is_valid:
-                    change = np.zeros(n + 1, np.int32)
-                    m = marks.values.flatten()
-                    for g, place, low, high in zip(*(c.to_pylist() for c in m)):
-                        first, more = place >> 16, place & 0xFFFF
-                        if np.uint64(xxhash.xxh3_64_intdigest(raw[first : first + more + length])).view(np.int64) == g and first + high + length <= n:
-                            change[first + low] += 1
-                            change[first + high + length] -= 1
-                    gone = np.cumsum(change[:-1]) > 0
-                    spans = len(_runs(gone)[0])
-                    rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((n, n - len(rest), spans, hashlib.sha256(rest).hexdigest(), *([rest.decode("utf-8", "ignore")] if with_text else [])))
-            cols = list(zip(*rows)) if rows else [[] for _ in made]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *[pa.array(c, k) for c, k in zip(cols, types)]], [*names, *[f.name for f in made]])
-
-    return marked.mapInArrow(run, T.StructType([*kept, *made]))
+        at = len(names)
+        for whole in batches:
+            for b in by_bytes(whole, at, rows=2048):
+                rows = []
+                for t, marks in zip(b.column(at), b.column(at + 1)):
+                    raw = t.as_buffer().to_pybytes()
+                    n, spans, rest = len(raw), 0, raw
+                    if marks.is_valid:
+                        change = np.zeros(n + 1, np.int32)
+                        for m in marks.as_py():
+                            first, more = m["at"] >> 16, m["at"] & 0xFFFF
+                            if np.uint64(xxhash.xxh3_64_intdigest(raw[first : first + more + length])).view(np.int64) == m["g"]:
+                                for s in m["spans"]:
+                                    if first + s["high"] + length <= n:
+                                        change[first + s["low"]] += 1
+                                        change[first + s["high"] + length] -= 1
+                        gone = np.cumsum(change[:-1]) > 0
+                        spans = len(_runs(gone)[0])
+                        rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                    rows.append((n, n - len(rest), spans, hashlib.sha256(rest).hexdigest(), *([rest.decode("utf-8", "ignore")] if with_text else [])))
+                cols = list(zip(*rows)) if rows else [[] for _ in made]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), *[pa.array(c, k) for c, k in zip(cols, types)]], [*names, *[f.name for f in made]])
+
+    kept = [marked.schema[n] for n in names]
+    return marked.mapInArrow(tidy(run), T.StructType([*kept, *made])).select(*given_back(own), *[f.name for f in made])
