@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -42,6 +43,13 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return f"(?{'i' if ignore_case else ''}dU)" + "".join(out)
 
 
+def lowered(pattern: str) -> str | None:
+    """A case-sensitive pattern that decides on a lower-case ASCII text as ``pattern`` does, cases ignored, on the text; null where that is not plain to see."""
+    if not pattern.isascii() or re.search(r"\\[^nrtswdbz.*+?()\[\]{}|/\\^$-]|\(\?[^:]|\[\^|[A-Z]-[^A-Z]|[^A-Z]-[A-Z]", pattern):
+        return None
+    return java(pattern.lower(), ignore_case=False).replace("(?dU)", "(?d)", 1)
+
+
 def n_bytes(text: Column) -> Column:
     return F.octet_length(text)
 
