@@ -6,12 +6,14 @@ the signature name candidates; every link is confirmed on the full shingle sets;
 components of confirmed links are the groups.
 
 Documents with equal sets are one class first, so copies cost one row. In a bucket, each
-class is first held against the bucket's smallest class; what that leaves unjoined is held
-against each other where it lies, and only links leave the bucket.
+class is first held against the bucket's smallest class. What that leaves unjoined is held
+against each other by signatures alone; texts go only to the classes that this leaves a
+partner, and links are confirmed where they lie, so that only links leave the bucket.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .arrow import by_bytes, tidy
+from .common import cut, join_salted
 from .components import connected_components
 
 _U = np.uint64
@@ -61,11 +64,24 @@ _POWERS = np.ones(1 << 12, np.uint64)
 np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full((1 << 12) - 1, _BASE))), out=_POWERS)
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0d]")
+#: Bytes of a text that are hashed together, up to the next white space.
+STRIDE = 1 << 20
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word (bytes between white space, A-Z lower-cased), in order."""
+    out, low = [], 0
+    while low < len(text):
+        gap = _WHITE.search(text, low + STRIDE)
+        high = gap.start() if gap else len(text)
+        out.append(_hashed(text[low:high]))
+        low = high
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _hashed(text: bytes) -> np.ndarray:
     x = _FOLD[np.frombuffer(text, np.uint8)]
-    if not len(x):
-        return np.zeros(0, np.uint64)
     space = _SPACE[x]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -117,8 +133,7 @@ def sketch(docs: DataFrame, how: Banding, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
+            for part in by_bytes(b, 1):
                 sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", how.words) for t in part.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 marks: list = [None] * len(sets)
@@ -133,7 +148,7 @@ def sketch(docs: DataFrame, how: Banding, doc_id: str, text: str) -> DataFrame:
                     ["id", "n_shingles", "set1", "set2", "signature"],
                 )
 
-    return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, n_shingles long, set1 long, set2 long, signature binary")
+    return docs.select(doc_id, text).mapInArrow(tidy(run), f"id {kind}, n_shingles long, set1 long, set2 long, signature binary")
 
 
 def band_keys(signature: str, how: Banding) -> Column:
@@ -161,7 +176,7 @@ def packed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t.as_buffer().to_pybytes()) for t in b.column(1)], pa.binary())], ["id", "z"])
 
-    return docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, z binary")
+    return docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(tidy(run), f"id {kind}, z binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -178,9 +193,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if held is None or a != held:
-                    held, own = a, shingle_set(unpack(batch.column(2)[i].as_buffer()), words)
+                z = batch.column(2)[i].as_py()
+                if z != held:
+                    held, own = z, shingle_set(unpack(z), words)
                 other = shingle_set(unpack(batch.column(3)[i].as_buffer()), words)
                 if alike(own, other, percent):
                     keep.append(i)
@@ -188,72 +203,108 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}")
+
+
+class _Meeting:
+    """Rows of a bucket that meet in one task, and which pairs of them their signatures leave."""
+
+    def __init__(self, rows: list[dict], percent: int, how: Banding):
+        n, j = how.bands * how.rows, percent / 100
+        self.least = int(np.floor(n * j - how.slack * np.sqrt(n * j * (1 - j))))
+        self.rows, self.width, self.band, self.whole = rows, how.rows, rows[0]["band"], rows[0]["low"] == rows[0]["high"]
+        self.own = np.array([r["own"] for r in rows])
+        self.sig = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
+        self.group = np.unique(np.array([r["component"] for r in rows]), return_inverse=True)[1]
+
+    def partners(self, i: int) -> np.ndarray:
+        """Earlier rows of other groups with enough equal values. A pair that an earlier band has in one bucket too is left to that."""
+        others = np.flatnonzero((self.group[:i] != self.group[i]) & (self.whole | (self.own[:i] != self.own[i])))
+        if not len(others):
+            return others
+        same = self.sig[others] == self.sig[i]
+        near = same.sum(1) >= self.least
+        others, same = others[near], same[near]
+        if self.band and len(others):
+            others = others[~same[:, : self.band * self.width].reshape(len(others), self.band, self.width).all(2).any(1)]
+        return others
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket and pair of blocks, which come together; none that has a single row."""
+    place, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if (r["bucket"], r["low"], r["high"]) != place:
+                if len(rows) > 1:
+                    yield rows
+                place, rows = (r["bucket"], r["low"], r["high"]), []
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
+
+
+def _survivors(residue: DataFrame, percent: int, how: Banding) -> DataFrame:
+    """(bucket, low, high, own, band, id, component, signature): rows of ``residue`` that signatures leave with a partner, once for each meeting.
+
+    ``residue``: (bucket, band, size, id, component, signature), of buckets in which more
+    than one group is left, ``size`` their rows. A bucket of more than BLOCK rows is dealt
+    in pairs of blocks.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = residue.withColumn("parts", F.ceil(F.col("size") / F.lit(BLOCK)).cast("long")).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "id", "component", "signature")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
 
-def _linked(residue: DataFrame, percent: int, how: Banding) -> DataFrame:
-    """(a, b): confirmed links between groups that share a bucket; per bucket at most enough to join its groups.
+        def watched() -> Iterator[pa.RecordBatch]:
+            nonlocal schema
+            for b in batches:
+                schema = b.schema
+                yield b
+
+        for rows in _meetings(watched()):
+            m, left = _Meeting(rows, percent, how), np.zeros(len(rows), bool)
+            for i in range(1, len(rows)):
+                met = m.partners(i)
+                left[met] = True
+                left[i] |= len(met) > 0
+            kept = [r for r, k in zip(rows, left.tolist()) if k]
+            if kept:
+                yield pa.RecordBatch.from_pylist(kept, schema=schema)
+
+    return _together(dealt).mapInArrow(tidy(run), dealt.schema)
 
-    ``residue``: (bucket, band, n, id, component, signature, z), of buckets in which more
-    than one group is left, n their rows. A bucket of more than BLOCK rows is dealt in
-    pairs of blocks. Signatures with too few equal values rule a pair out; a pair that an
-    earlier band has in one bucket too is left to that; the others' full sets are compared
-    where they are, so that only links leave a task.
-    """
-    kind = residue.schema["id"].dataType.simpleString()
-    n, j = how.bands * how.rows, percent / 100
-    least = int(np.floor(n * j - how.slack * np.sqrt(n * j * (1 - j))))
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    dealt = (
-        residue.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "id", "component", "signature", "z")
-        .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
-    )
+
+def _linked(met: DataFrame, percent: int, how: Banding) -> DataFrame:
+    """(a, b): confirmed links between groups that share a bucket; per meeting at most enough to join its groups. ``met``: survivors and their texts, z."""
+    kind = met.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        place, rows = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            whole, band = place[1] == place[2], rows[0][1]
-            own = np.array([r[0] for r in rows])
-            sig = np.stack([np.frombuffer(r[4], np.uint32) for r in rows])
-            group = np.unique(np.array([r[3] for r in rows]), return_inverse=True)[1]
-            sets: dict[int, np.ndarray] = {}
-            found = []
+        for rows in _meetings(batches):
+            m, sets, found = _Meeting(rows, percent, how), {}, []
 
             def full(k: int) -> np.ndarray:
                 if k not in sets:
-                    sets[k] = shingle_set(unpack(rows[k][5]), how.words)
+                    sets[k] = shingle_set(unpack(rows[k]["z"]), how.words)
                 return sets[k]
 
             for i in range(1, len(rows)):
-                others = np.flatnonzero((group[:i] != group[i]) & (whole | (own[:i] != own[i])))
-                if not len(others):
-                    continue
-                same = sig[others] == sig[i]
-                others, same = others[same.sum(1) >= least], same[same.sum(1) >= least]
-                if band and len(others):
-                    others = others[~same[:, : band * how.rows].reshape(len(others), band, how.rows).all(2).any(1)]
-                for k in others.tolist():
-                    if group[k] != group[i] and alike(full(i), full(k), percent):
-                        found.append((rows[k][2], rows[i][2]))
-                        group[group == group[k]] = group[i]
+                for k in m.partners(i).tolist():
+                    if m.group[k] != m.group[i] and alike(full(i), full(k), percent):
+                        found.append((rows[k]["id"], rows[i]["id"]))
+                        m.group[m.group == m.group[k]] = m.group[i]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
 
-        for b in batches:
-            for bucket, low, high, own, band, i, c, m, z in zip(*(x.to_pylist() for x in b.columns)):
-                if (bucket, low, high) != place:
-                    yield from flush()
-                    place, rows = (bucket, low, high), []
-                rows.append((own, band, i, c, m, z))
-        yield from flush()
-
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return _together(met).mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,33 +312,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding()
 
     component_id is the smallest id that confirmed links reach, the document's own
     included; kept says whether it is that. Documents without words (or null text) are
-    linked with nothing. Ids are not null and should be unique; repeated rows with one id
-    and one text stay rows. Empty input, no rows. Other columns are not read.
+    linked with nothing, nor are those with a null id, which are kept. Ids should be
+    unique: rows that share one stay rows, each in the group of its own text. Empty input,
+    no rows. Other columns are not read.
+
+    Copies meet their class, and classes their buckets, in joins that deal large groups
+    over tasks.
     """
-    rows = cut(sketch(docs, how, doc_id, text))
+    rows = cut(sketch(docs, how, doc_id, text), free=True)
     sets = ["set1", "set2"]
-    classes = rows.where("set1 is not null").groupBy(*sets).agg(F.min("id").alias("rep"))
-    # rows without words keep apart by their own id, so that no key gathers them
-    key = [F.coalesce(c, F.xxhash64("id")).alias(c) for c in sets]
-    member = rows.select("id", "n_shingles", *key).join(classes, sets, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id"))
-    bands = rows.where("set1 is not null").select("id", band_keys("signature", how).alias("bands")).join(reps, "id", "left_semi").dropDuplicates(["id"])
-    spread = bands.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("bucket", "low")
-    in_shared = cut(spread.join(shared, "bucket"))
+    usable = F.col("set1").isNotNull() & F.col("id").isNotNull()
+    classes = cut(rows.where(usable).groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("signature").alias("signature")))
+    spread = classes.select(F.col("rep").alias("id"), F.posexplode(band_keys("signature", how)).alias("band", "bucket"))
+    shared = cut(spread.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    in_shared = cut(join_salted(spread, shared, ["bucket"], "n"), free=True)
     stars = cut(in_shared.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    texts = cut(packed_texts(docs, doc_id, text).join(in_shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    links = cut(confirm(stars, texts, percent, how.words))
+    texts = cut(packed_texts(docs, doc_id, text).join(in_shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "z"]), free=True)
+    links = cut(confirm(stars, texts, percent, how.words), free=True)
     found = connected_components(links)
     placed = in_shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("bucket", "n")
-    payload = texts.join(rows.select("id", "signature").dropDuplicates(["id"]), "id")
-    again = cut(_linked(placed.join(open_, "bucket").join(payload, "id"), percent, how))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y")
+    open_ = cut(open_.select("bucket", "n", F.col("n").alias("size")))
+    residue = join_salted(placed, open_, ["bucket"], "n").join(classes.select(F.col("rep").alias("id"), "signature"), "id")
+    again = cut(_linked(_survivors(residue, percent, how).join(texts, "id"), percent, how), free=True)
     # the groups so far are the nodes now: few of them meet
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     met = again.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = connected_components(met).select(F.col("node").alias("group"), F.col("component").alias("final"))
-    grouped = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
-    out = grouped.join(joined, "group", "left")
-    comp = F.coalesce("final", "group")
-    return out.select(F.col("id").alias(doc_id), "n_shingles", comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
+    grouped = cut(classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*sets, "n", F.coalesce("component", "rep").alias("group")))
+    sizes = cut(grouped.groupBy("group").agg(F.count("*").alias("classes")).join(joined, "group"))
+    ends = cut(join_salted(grouped, sizes, ["group"], "classes", "left").select(*sets, "n", F.coalesce("final", "group").alias("component")))
+    # rows that are in no class have keys that no class has, and none has two of them
+    apart = F.monotonically_increasing_id()
+    keyed = rows.select("id", "n_shingles", *[F.when(usable, F.col(c)).otherwise(apart).alias(c) for c in sets])
+    out = join_salted(keyed, ends, sets, "n", "left")
+    comp = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(doc_id), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
