@@ -15,9 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, given_back, longs, set_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]"
+
+
+def _ranked(sources: DataFrame, source: str) -> DataFrame:
+    """``sources`` with ``_i``, their place (from 0) by code point, null last: ranges of sources are numbered each, and the ranges' row counts, as many as there are partitions, add up."""
+    by = F.col(source).asc_nulls_last()
+    ranged = cut(sources.repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("_range").count().collect())
+    first, before = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        first.append(before)
+        before += counts.get(k, 0)
+    numbered = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(by)) - 1)
+    return numbered.withColumn("_i", F.get(longs(first), F.col("_range")) + F.col("_i")).drop("_range")
 
 
 def source_targets(
@@ -27,47 +41,53 @@ def source_targets(
 
     Sources by code point, null last, take the weights in turn. ``share`` of all sizes is
     dealt by weight; no target exceeds ``most`` times its source's size, and the excess is
-    reshared by weight until none is above: with the sources in ascending order of cap per
-    weight, the level is the first at which what is left, dealt by weight, stays under the
-    cap. One row per source passes through one task.
+    reshared by weight, a pass over the sources each time, until none is above. However
+    many sources there are, no task and not the driver holds more than a range of them.
     """
-    every = W.orderBy(F.col(source).asc_nulls_last())
-    whole = W.partitionBy()
-    t = totals.withColumn("_i", F.row_number().over(every))
-    t = t.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_i") - 1, F.lit(len(weights))) + 1).cast("int")))
-    t = t.withColumn("_cap", F.lit(float(most)) * F.col(size)).withColumn("_all", F.lit(float(share)) * F.sum(size).over(whole))
-    t = t.withColumn("_per", F.col("_cap") / F.col("weight"))
-    up = W.orderBy("_per", "_i")
-    before = F.coalesce(F.sum("_cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    t = t.withColumn("_level", (F.col("_all") - before) / F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing)))
-    t = t.withColumn("_first", F.min_by("_level", F.when(F.col("_level") <= F.col("_per"), F.struct("_per", "_i"))).over(whole))
-    target = F.when(F.col("_first").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_first") * F.col("weight")))
-    return t.withColumn("target", target).drop("_i", "_cap", "_all", "_per", "_level", "_first")
+    weight = F.get(F.array(*[F.lit(float(x)) for x in weights]), F.pmod("_i", F.lit(len(weights))).cast("int"))
+    t = cut(_ranked(totals, source).withColumn("weight", weight).drop("_i").withColumn("_cap", F.lit(float(most)) * F.col(size)))
+    dealt, level, capped = F.lit(float(share)) * F.sum(size), 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("weight")
+        every, taken, open_, n = t.agg(dealt, F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if open_ is None or n == capped:
+            break
+        level, capped = (every - taken) / open_, n
+    target = F.col("_cap") if level and open_ is None else F.least("_cap", F.lit(level) * F.col("weight"))
+    return t.withColumn("target", target).drop("_cap")
 
 
 def split_blocks(quotas: DataFrame, n_shards: int, seed: int, source: str = "source", blocks: str = "n_blocks") -> DataFrame:
     """(source, shards): for each source, the output shard of each of its blocks, in block order.
 
-    The number of blocks in all is fixed by the caller (blocks per shard), not by the data.
+    A node's blocks are ranked by a seeded hash: 1024 ranges of it are counted, and only
+    inside a range are blocks numbered, so no task holds a node.
     """
     b = quotas.where(F.col(blocks) > 0).select(source, F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias("block"))
     b = b.withColumn("_lo", F.lit(0)).withColumn("_m", F.lit(n_shards))
+    node = ["_lo", "_m"]
     for depth in range(max(0, n_shards - 1).bit_length()):
-        node = W.partitionBy("_lo", "_m")
         key = F.xxhash64(F.lit(seed), F.lit(depth), F.coalesce(F.col(source), F.lit("")), F.col(source).isNull(), F.col("block"))
-        left = F.floor(F.col("_m") / 2).cast("int")
-        b = b.withColumn("_n", F.count("*").over(node)).withColumn("_r", F.row_number().over(node.orderBy(key, F.col(source).asc_nulls_last(), "block")))
-        on_left = F.col("_r") <= F.round(F.col("_n") * left / F.col("_m"))
-        b = b.withColumn("_left", on_left & (F.col("_m") > 1)).withColumn("_half", left)
-        b = b.withColumn("_lo", F.when(F.col("_left") | (F.col("_m") <= 1), F.col("_lo")).otherwise(F.col("_lo") + F.col("_half")))
-        b = b.withColumn("_m", F.when(F.col("_m") <= 1, F.col("_m")).when(F.col("_left"), F.col("_half")).otherwise(F.col("_m") - F.col("_half")))
+        b = cut(b.withColumn("_k", key).withColumn("_range", F.shiftrightunsigned("_k", 54)))
+        counts = b.groupBy(*node, "_range").agg(F.count("*").alias("_c"))
+        up = W.partitionBy(*node).orderBy("_range")
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*node)))
+        inside = W.partitionBy(*node, "_range").orderBy("_k", F.col(source).asc_nulls_last(), "block")
+        b = b.withColumn("_r", F.row_number().over(inside)).join(counts.drop("_c"), [*node, "_range"])
+        half = F.floor(F.col("_m") / 2).cast("int")
+        on_left = (F.col("_m") > 1) & (F.col("_before") + F.col("_r") <= F.round(F.col("_n") * half / F.col("_m")))
+        single = F.col("_m") <= 1
+        b = b.withColumn("_left", on_left).withColumn("_half", half).select(
+            source, "block", F.when(F.col("_left") | single, F.col("_lo")).otherwise(F.col("_lo") + F.col("_half")).alias("_lo"),
+            F.when(single, F.col("_m")).when(F.col("_left"), F.col("_half")).otherwise(F.col("_m") - F.col("_half")).alias("_m"),
+        )
     listed = b.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("block", F.col("_lo").alias("shard")))).alias("_s"))
     return listed.select(source, F.col("_s.shard").alias("shards"))
 
 
 def mix(
     docs: DataFrame, n_shards: int = 8, blocks_per_shard: int = 64, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-    seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (),
+    seed: int = 17, least_block: int = 64, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, pieces, and the ``carry`` columns.
 
@@ -76,11 +96,17 @@ def mix(
     it. A document is taken in whole passes and at most one part, never more than ``most``
     times; a document without words (or null text) has no piece. Null sources are a source
     of their own, last in order. Repeated rows are documents of their own. The same input
-    gives the same pieces, however it is partitioned. Empty input, no rows.
+    gives the same pieces, however it is partitioned. Empty input, no rows. Blocks have at
+    least ``least_block`` words, so that small tables are not cut to shreds.
 
-    A source of any size is summed in up to 4096 parts by permuted id, so a hot source is
-    never in one task.
+    A source of any size is summed in up to 4096 parts by permuted id, and its target and
+    blocks meet its documents by source and part, so a hot source is never in one task.
     """
+    return _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_block, doc_id, text, source, carry)[0]
+
+
+def _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_block, doc_id, text, source, carry) -> tuple[DataFrame, int]:
+    """``mix``, and how many words it takes in all."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     perm = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = cut(
@@ -93,23 +119,24 @@ def mix(
     totals = parts.groupBy("_src").agg(F.sum("_n").alias("_total"))
     targets = cut(source_targets(totals, weights, share, most, "_src", "_total"))
     all_words = targets.agg(F.coalesce(F.sum(F.ceil("target")), F.lit(0))).first()[0]
-    block = max(1, -(-int(all_words) // (n_shards * blocks_per_shard)))
+    block = max(least_block, -(-int(all_words) // (n_shards * blocks_per_shard)))
     want = F.round("target").cast("long")
     quotas = targets.select("_src", F.ceil(want / F.lit(block)).cast("long").alias("_blocks"))
     shards = split_blocks(quotas, n_shards, seed, "_src", "_blocks")
-    plan = targets.select("_src", "_total", "target", want.alias("_want")).withColumnRenamed("_src", "_psrc").join(
-        shards, F.col("_psrc").eqNullSafe(F.col("_src")), "left"
-    ).select("_psrc", "_total", "target", "_want", F.coalesce("shards", F.array().cast("array<int>")).alias("_shards"))
+    plan = targets.select(F.col("_src").alias("_psrc"), "_total", "target", want.alias("_want")).join(shards, F.col("_psrc").eqNullSafe(F.col("_src")), "left").select(
+        "_psrc", "_total", "target", "_want", F.coalesce("shards", F.array().cast("array<int>")).alias("_shards")
+    )
     before = W.partitionBy("_src").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_src").alias("_osrc"), F.col("_part").alias("_opart"), "_base")
+    offsets = parts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = offsets.join(plan, F.col("_src").eqNullSafe(F.col("_psrc"))).select(F.col("_src").alias("_osrc"), F.col("_part").alias("_opart"), "_base", "_total", "target", "_want", "_shards")
     within = W.partitionBy("_src", "_part").orderBy("_perm", "_id", "_size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     at = rows.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     at = at.join(offsets, F.col("_src").eqNullSafe(F.col("_osrc")) & (F.col("_part") == F.col("_opart"))).withColumn("_at", F.col("_base") + F.col("_in"))
-    at = at.join(plan, F.col("_src").eqNullSafe(F.col("_psrc")))
-    return at.select(
+    mixed = at.select(
         F.col("_id").alias(doc_id), F.col("_src").alias(source), F.col("_size").alias("size"), F.col("_total").alias("source_size"), "target",
         _pieces(int(-(-most // 1)), block, seed).alias("pieces"), *[F.col(c) for c in carry],
     )
+    return mixed, int(all_words)
 
 
 def _pieces(passes: int, block: int, seed: int) -> Column:
@@ -135,25 +162,36 @@ def _pieces(passes: int, block: int, seed: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(0, passes - 1)).cast("long")), of_pass))
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+#: Words of a shard that are shuffled together.
+SHUFFLED = 2_000_000
+
+
+def mixed_documents(
+    docs: DataFrame, n_shards: int = 8, blocks_per_shard: int = 64, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+    seed: int = 17, least_block: int = 64, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """The mix itself: a row of ``docs`` for every piece, its text cut to the piece's words where it is a part.
 
-    A whole document keeps its text byte for byte; a part is its words joined by one space,
-    and ``n_chars`` follows the text where that column exists. The mix is worked out on
-    ids and sizes; texts move once, to the pieces. Rows with one id and one text count as
-    copies of one row, with the pieces of all of them.
+    A whole document keeps its text byte for byte, and a part the bytes from its first
+    word to its last; ``n_chars`` follows the text where that column exists. The mix is
+    worked out on ids and sizes; texts move once, to the pieces. Rows with one id and one
+    text count as copies of one row, with the pieces of all of them. All columns of
+    ``docs`` pass through, whatever their names. A shard lies in parts by its random
+    order, as many as its words need, and each part is shuffled by it.
     """
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    m = mix(keyed, doc_id=doc_id, text=text, carry=("_h",), **how)
-    pieces = m.where(F.size("pieces") > 0).groupBy(F.col(doc_id).alias("_mid"), F.col("_h").alias("_mh")).agg(F.flatten(F.collect_list("pieces")).alias("_all"), F.max("size").alias("_size"))
-    first = keyed.withColumn("_k", F.row_number().over(W.partitionBy(doc_id, "_h").orderBy(F.lit(0)))).where("_k = 1")
-    p = first.join(pieces, F.col(doc_id).eqNullSafe(F.col("_mid")) & (F.col("_h") == F.col("_mh"))).withColumn("_p", F.explode("_all"))
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1)
-    part = F.array_join(F.slice(words, (F.col("_p.start") + 1).cast("int"), F.col("_p.words").cast("int")), " ")
-    p = p.withColumn(text, F.when(F.col("_p.words") < F.col("_size"), part).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        p = p.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    # a shard's pieces lie in parts by their random order, and each part is shuffled by it
-    p = p.withColumns({"_shard": F.col("_p.shard"), "_order": F.col("_p.order")}).withColumn("_part", F.pmod("_order", F.lit(64)))
-    p = p.select(*docs.columns, *(["_shard", "_part", "_order"]))
-    return p.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order").select(*docs.columns)
+    apart, names = set_apart(docs)
+    i, t = F.col(names[doc_id]), F.col(names[text])
+    keyed = apart.withColumn("_h", F.xxhash64(t))
+    m, words = _mix(keyed, n_shards, blocks_per_shard, weights, share, most, seed, least_block, names[doc_id], names[text], names[source], ("_h",))
+    pieces = m.where(F.size("pieces") > 0).groupBy(i.alias("_mid"), F.col("_h").alias("_mh")).agg(F.flatten(F.collect_list("pieces")).alias("_all"), F.max("size").alias("_size"))
+    first = keyed.withColumn("_k", F.row_number().over(W.partitionBy(i, "_h").orderBy(F.lit(0)))).where("_k = 1").drop("_k")
+    p = first.join(pieces, i.eqNullSafe(F.col("_mid")) & F.col("_h").eqNullSafe(F.col("_mh"))).withColumn("_p", F.explode("_all"))
+    # each word with the white space before it
+    spaced = F.regexp_extract_all(t, F.lit(f"({GAP}*{WORD})"), 1)
+    part = F.regexp_replace(F.array_join(F.slice(spaced, (F.col("_p.start") + 1).cast("int"), F.col("_p.words").cast("int")), ""), f"^{GAP}+", "")
+    p = p.withColumn(names[text], F.when(F.col("_p.words") < F.col("_size"), part).otherwise(t))
+    if "n_chars" in names:
+        p = p.withColumn(names["n_chars"], F.length(t).cast(docs.schema["n_chars"].dataType))
+    parts = max(64, -(-words // (n_shards * SHUFFLED)))
+    p = p.withColumns({"_shard": F.col("_p.shard"), "_order": F.col("_p.order")}).withColumn("_part", F.pmod("_order", F.lit(parts)))
+    return p.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_order").select(*given_back(names))
