@@ -9,6 +9,7 @@ language comes near it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import tidy
+
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Hashed trigrams.
@@ -77,7 +80,8 @@ class Model:
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its score (0 to 1) and the runner-up's score, for rows of features."""
         margins = np.clip(x @ self.weights[:-1] + self.weights[-1], -3, 3)
-        loss = np.exp(-margins[:, None, :] * self.codes[None]).sum(2)
+        # the sum over bits of exp(-margin * bit), as two products
+        loss = np.exp(-margins) @ (self.codes > 0).T + np.exp(margins) @ (self.codes < 0).T
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         order = np.argsort(-p, axis=1, kind="stable")
@@ -86,40 +90,71 @@ class Model:
         return order[:, 0], p[rows, order[:, 0]], second
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 1200, ridge: float = 1e-3) -> Model:
+#: Sampled documents whose sums one task adds up.
+SUMMED = 4096
+
+
+def train(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 1200, most_languages: int = 1000, ridge: float = 1e-3
+) -> Model:
     """Fit on at most about ``per_language`` documents of each language, chosen by the hash of their id.
 
-    Only this sample's features (4 KB each) reach the driver; languages are counted over
-    all rows. Rows with a null text or language are left out; no rows, no languages.
+    Languages are counted over all rows; the ``most_languages`` commonest are learned.
+    Rows with a null text or language are left out; no rows, no languages. Tasks sum the
+    features' products, each over about SUMMED documents of the sample; the sums are added
+    up in tasks too, and only the last one, of a size that neither the table nor the number
+    of languages changes (34 MB), reaches the driver.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("fit"), F.col(doc_id)).alias("h"))
-    counts = dict(rows.groupBy("lang").count().collect())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     langs = tuple(sorted(counts))
     if not langs:
         return Model((), np.ones((0, 1)), np.zeros((WIDTH + 1, 1)))
     # a row's place in [0, 1), against its language's share
     place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_language / counts[k]))]), F.col("lang"))
+    known = F.from_json(F.lit(json.dumps({k: min(1.0, per_language / counts[k]) for k in langs})), "map<string,double>")
+    sample = rows.where(place < F.element_at(known, F.col("lang")))
+    codes = codewords(len(langs))
+    size = {k: min(counts[k], per_language) for k in langs}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([features(t.as_buffer().to_pybytes()).astype(np.float16).tobytes() for t in b.column(1)], pa.binary())], ["lang", "h", "x"]
-            )
+            x = [features(t.as_buffer().to_pybytes()).astype(np.float16).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], ["lang", "h", "x"])
 
-    got = sorted((r["h"], r["lang"], bytes(r["x"])) for r in rows.where(place < share).mapInArrow(run, "lang string, h long, x binary").collect())
-    if not got:
+    at = {k: i for i, k in enumerate(langs)}
+    width = WIDTH + 1 + codes.shape[1]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((WIDTH + 1, width))
+        for b in batches:
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in part.column(2)]).astype(np.float64)
+                x = np.hstack([x, np.ones((len(x), 1))])
+                spoken = part.column(0).to_pylist()
+                w = np.array([1.0 / size[k] for k in spoken])  # languages weigh the same
+                total += (x * w[:, None]).T @ np.hstack([x, codes[[at[k] for k in spoken]]])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(WIDTH + 1), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "s"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, s in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[i] = sums.get(i, 0.0) + np.frombuffer(s.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["i", "s"])
+
+    parts = -(-sum(size.values()) // SUMMED)
+    # in the order of the hash, so that reruns add up alike
+    dealt = sample.mapInArrow(tidy(featured), "lang string, h long, x binary").repartition(parts, F.pmod("h", F.lit(parts))).sortWithinPartitions("h", "lang", "x")
+    sums = dealt.mapInArrow(tidy(summed), "i int, s binary").repartition("i").sortWithinPartitions("i", "s").mapInArrow(tidy(added), "i int, s binary")
+    total = np.zeros((WIDTH + 1, width))
+    for r in sums.toLocalIterator():
+        total[r["i"]] = np.frombuffer(r["s"])
+    if not total.any():
         return Model((), np.ones((0, 1)), np.zeros((WIDTH + 1, 1)))
-    codes = codewords(len(langs))
-    at = np.array([langs.index(r[1]) for r in got])
-    w = 1.0 / np.bincount(at, minlength=len(langs))[at]  # languages weigh the same
-    gram, aim = np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros((WIDTH + 1, codes.shape[1]))
-    for low in range(0, len(got), 256):  # the driver holds the sums, not the matrix
-        x = np.stack([np.frombuffer(r[2], np.float16) for r in got[low : low + 256]]).astype(np.float64)
-        x = np.hstack([x, np.ones((len(x), 1))])
-        part = slice(low, low + 256)
-        gram += (x * w[part, None]).T @ x
-        aim += (x * w[part, None]).T @ codes[at[part]]
+    gram, aim = total[:, : WIDTH + 1], total[:, WIDTH + 1 :]
     gram[np.diag_indices_from(gram)] += ridge * np.trace(gram) / len(gram)
     return Model(langs, codes, np.linalg.solve(gram, aim))
 
@@ -156,7 +191,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
                 lang[rows], score[rows], unsure[rows] = np.array(model.langs, object)[best], p, p < ambiguous_below
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*names, *made])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
