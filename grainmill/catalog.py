@@ -17,6 +17,7 @@ from grainmill.operators.signals import signal
 from grainmill.plans.config import ConfigBuilder, Preset
 from grainmill.plans.detector import Detector, spread
 from grainmill.sources.prompts import mixed_prompts
+from grainmill.streaming.analyze import windowed_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,6 +252,54 @@ def sanitized(spark: SparkSession, d: str) -> DataFrame:
     return p.where(F.size("s") > 0).select("prompt_id", mitigate.sanitize(F.col("text"), F.col("s")).alias("out"))
 
 
+def a_windowed(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming aggregate over a table."""
+    w = windowed_metrics(events(spark, d).withColumn("error", F.lit(None).cast("string")), width="1 hour")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "risk_label", "n", "injections", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+def span_null(spark: SparkSession, d: str) -> DataFrame:
+    """How many signals of the analysis have a place in the prompt, and how many lost it and why."""
+    a = analyses(spark, d).where("error is null")
+    count = lambda f: F.size(F.filter("signals", f))
+    lost = lambda why: count(lambda s: s["span_omitted"] == why)
+    return a.select("prompt_id", count(lambda s: s["span"].isNotNull()).alias("placed"), lost("preprocessing_changed_coordinates").alias("moved"), lost("decoded_variant_coordinates").alias("decoded"))
+
+
+def pat_select(spark: SparkSession, d: str) -> DataFrame:
+    """The categories of every level."""
+    return spark.createDataFrame([(v, c) for v in range(11) for c in SecurityLevel(v).categories], "level int, category string")
+
+
+def pat_introspect(spark: SparkSession, d: str) -> DataFrame:
+    """Rules, kind and base confidence of the categories in force at the highest level."""
+    m = Matcher(SecurityLevel(10))
+    return spark.createDataFrame([(c, m.kind(c), sum(x == c for x, _, _ in m.rules), round(m.base(c), 4)) for c in m.names()], "category string, kind string, rules int, base double")
+
+
+def level_table(spark: SparkSession, d: str) -> DataFrame:
+    """What each level sets."""
+    rows = []
+    for x in map(SecurityLevel, range(11)):
+        rows.append((x.value, *[round(v, 5) for v in (x.base_threshold, x.pattern_weight, x.combination_multiplier, x.benign_factor, *x.thresholds)], x.risk_floor, x.aggressive))
+    return spark.createDataFrame(rows, "level int, base_threshold double, pattern_weight double, multiplier double, benign double, critical double, high double, medium double, low double, floor int, aggressive boolean")
+
+
+def preset_table(spark: SparkSession, d: str) -> DataFrame:
+    """What each preset sets."""
+    rows = []
+    for p in Preset:
+        c = p.config()
+        rows.append((
+            p.value, c.level.value, c.response.kind, c.preprocessing.max_length, c.preprocessing.preserve_formatting, c.preprocessing.decode_encodings, len(c.patterns.custom), c.patterns.max_patterns,
+            c.keywords.enabled, c.keywords.similarity_threshold, c.keywords.max_context_length, c.resources.max_concurrent_analyses, float(c.resources.analysis_timeout_s), c.resources.max_memory_mb, c.resources.pattern_cache_size,
+        ))
+    return spark.createDataFrame(
+        rows,
+        "preset string, level int, response string, max_length int, preserves boolean, decodes boolean, patterns int, max_patterns int, keywords boolean, similarity double, context int, at_once int, seconds double, megabytes int, kept int",
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full analysis at level 5 of the mixed prompts."""
     return analyze_full(5)(spark, sf_dir)
@@ -317,6 +366,12 @@ def queries() -> dict[str, Query]:
         "a_pct": lambda s, d: metrics.percentiles(events(s, d)),
         "a_retain": lambda s, d: metrics.retained(events(s, d)).select("seq"),
         "a_snapshot": a_snapshot,
+        "a_windowed": a_windowed,
+        "span_null": span_null,
+        "pat_select": pat_select,
+        "pat_introspect": pat_introspect,
+        "level_table": level_table,
+        "preset_table": preset_table,
         "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
         "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
         "a_label_eval": a_label_eval,
