@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bucket_of, cut, longs
+from .common import bucket_of, cut, given_back, longs, set_apart
 
 KEY_TOP = 1 << 63
 
@@ -105,10 +105,12 @@ def shard(
     cut at each boundary. A row moves once, to one of ``parts_per_shard`` parts of its
     shard; the parts' exact row counts give each its first slot, so no task holds a whole
     shard. Repeated rows get slots of their own. Empty input, no rows. Columns called
-    _shard or _slot are replaced.
+    _shard or _slot are replaced; all others pass through, whatever their names.
     """
-    weight = F.col(size) if size else F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    keyed = docs.drop("_shard", "_slot").withColumn("_key", shard_key(F.col(text), F.col(doc_id))).withColumn("_bytes", weight)
+    apart, names = set_apart(docs)
+    i, t = F.col(names[doc_id]), F.col(names[text])
+    weight = F.col(names[size]) if size else F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 1
+    keyed = apart.withColumn("_key", shard_key(t, i)).withColumn("_bytes", weight)
     small = cut(keyed.select("_key", "_bytes"))
     split = find_splitters(small, "_key", "_bytes", n_shards, tolerance=tolerance)
     # A shard's parts lie between probed keys; a gap that holds much more than a part is probed again.
@@ -132,11 +134,11 @@ def shard(
         first.append(slot)
         slot += edges[p + 1] - edges[p]
     placed = keyed.withColumn("_part", part)
-    order = W.partitionBy("_part").orderBy("_key", F.col(doc_id).asc_nulls_last())
+    order = W.partitionBy("_part").orderBy("_key", i.asc_nulls_last())
     out = placed.withColumn("_rank", F.row_number().over(order))
     at = lambda values: F.get(longs(values), F.col("_part"))
     return out.select(
-        *[c for c in docs.columns if c not in ("_shard", "_slot")],
+        *given_back(names, ("_shard", "_slot")),
         at(shard_of).cast("int").alias("_shard"),
         (at(first) + F.col("_rank") - 1).cast("long").alias("_slot"),
     )
