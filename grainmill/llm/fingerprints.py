@@ -8,11 +8,13 @@ texts, and where roots differ, the branches that differ show where.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import MIN_LONG, bucket_of, longs
+from .common import MIN_LONG, bucket_of, given_back, longs, set_apart
 
 LEAF = r"[^.!?]{0,200}+[.!?]+ ?|[^.!?]{1,200}"
 
@@ -50,36 +52,50 @@ def differing_sections(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint`` (the root) and ``sections`` (their digests). Null texts count as empty; columns of these names are replaced."""
-    t = docs.drop("fingerprint", "sections").withColumn("_tree", tree(F.col(text)))
-    return t.withColumn("fingerprint", root(F.col("_tree"))).withColumn("sections", section_digests(F.col("_tree"))).drop("_tree")
+    """``docs`` with ``fingerprint`` (the root) and ``sections`` (their digests). Null texts count as empty; columns of these two names are replaced, all others pass through."""
+    apart, names = set_apart(docs)
+    t = apart.withColumn("tree", tree(F.col(names[text])))
+    return t.select(*given_back(names, ("fingerprint", "sections")), root(F.col("tree")).alias("fingerprint"), section_digests(F.col("tree")).alias("sections"))
+
+
+#: Ranges of ids at most; their ends are held in the plan.
+MOST_RANGES = 4096
 
 
-def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", ties: tuple[str, ...] = ("text",), rows_per_bucket: int = 4000) -> DataFrame:
+def with_next(
+    docs: DataFrame, columns: list[str], doc_id: str = "doc_id", ties: tuple[str, ...] = ("text",), rows_per_bucket: int = 4000, derive: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """``docs`` with next_<column> of the row that follows in descending ``doc_id`` (null ids last); after the last, the first.
 
     Rows move once, to ranges of ids. The ends of the ranges are ids of the table
     (approximate percentiles), so each range's first row is known beforehand and is sent
     to the range above it as well; no window spans more than a range. Repeated ids follow
-    one another by ``ties``. A single row follows itself. The number of ranges grows with
-    the table, and only their ends reach the driver.
+    one another by ``ties``. A single row follows itself. Ranges have about
+    ``rows_per_bucket`` rows; beyond MOST_RANGES of them they get longer instead, and
+    Spark sorts a range on disk where memory is short. ``derive`` makes a struct of a row,
+    once and after the move; its fields are columns too, and ``columns`` may name them.
+    Columns of the new names are replaced; all others pass through.
     """
     key = F.coalesce(F.col(doc_id), F.lit(MIN_LONG))
     n, top = docs.agg(F.count("*"), F.max(key)).first()
     cuts: list[int] = []
     if n:
-        wanted = max(1, -(-n // rows_per_bucket))
+        wanted = min(max(1, -(-n // rows_per_bucket)), MOST_RANGES)
         at = [k / wanted for k in range(1, wanted)]
-        got = docs.agg(F.percentile_approx(key, at, 10_000)).first()[0] if at else []
+        got = docs.agg(F.percentile_approx(key, at, 50_000)).first()[0] if at else []
         cuts = sorted({*(got or [])} - {top})
     ends = [*cuts, top if top is not None else 0]
-    home = bucket_of(F.col("_key"), cuts)
-    above = (home + 1) % F.lit(len(ends))
-    is_end = F.get(longs(ends), home) == F.col("_key")
-    rows = docs.withColumn("_key", key).withColumn(
-        "_to", F.explode(F.when(is_end, F.array(F.struct(home.alias("b"), F.lit(0).alias("guest")), F.struct(above.alias("b"), F.lit(1).alias("guest"))))
-                         .otherwise(F.array(F.struct(home.alias("b"), F.lit(0).alias("guest")))))
-    )
-    order = W.partitionBy("_to.b").orderBy(F.col("_to.guest"), F.col("_key").desc(), *ties)
-    out = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_guest": F.col("_to.guest")})
-    return out.where("_guest = 0").drop("_key", "_to", "_guest")
+    placed = docs.select(F.struct("*").alias("row"), key.alias("key"), bucket_of(key, cuts).alias("home"))
+    is_end = F.get(longs(ends), F.col("home")) == F.col("key")
+    stay = F.struct(F.col("home").alias("range"), F.lit(0).alias("guest"))
+    visit = F.struct(((F.col("home") + 1) % F.lit(len(ends))).alias("range"), F.lit(1).alias("guest"))
+    rows = placed.withColumn("to", F.explode(F.when(is_end, F.array(stay, visit)).otherwise(F.array(stay)))).select("row", "key", "to.range", "to.guest")
+    made: list[str] = []
+    if derive:
+        rows = rows.repartition("range").withColumn("made", derive(F.col("row")))
+        made = rows.schema["made"].dataType.names
+    of = lambda c: F.col("made" if c in made else "row")[c]
+    order = W.partitionBy("range").orderBy("guest", F.col("key").desc(), *[F.col("row")[c] for c in ties])
+    out = rows.withColumn("next", F.lead(F.struct(*[of(c).alias(c) for c in columns])).over(order)).where("guest = 0")
+    new = [*made, *[f"next_{c}" for c in columns]]
+    return out.select(*[of(c).alias(c) for c in [*[c for c in docs.columns if c not in new], *made]], *[F.col("next")[c].alias(f"next_{c}") for c in columns])

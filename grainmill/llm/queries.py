@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, inner_products, language, mixing, near_dups, packing, sharding, suffix_dedup, tokens, url_filters
-from .common import table
+from .common import let, table
 
 #: The rules of the url query.
 RULES = [
@@ -35,15 +35,15 @@ def op3_sequence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = fingerprints.with_next(docs, ["text"])
+    tree_of = lambda row: let(fingerprints.tree(row["text"]), lambda t: F.struct(fingerprints.leaves_of(t).alias("leaves"), fingerprints.root(t).alias("fingerprint")))
+    d = fingerprints.with_next(docs, ["text", "leaves"], derive=tree_of)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), *[fingerprints.tree(F.col(c)).alias(f"_{c}") for c in ("text", "next_text")])
-    d = d.withColumn("_edit", fingerprints.tree(F.col("_edited")))
-    own, edit, after = (fingerprints.leaves_of(F.col(c)) for c in ("_text", "_edit", "_next_text"))
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "leaves", "next_leaves")
+    d = d.withColumn("edit", fingerprints.tree(F.col("edited"))).withColumn("edit_leaves", fingerprints.leaves_of(F.col("edit")))
     return d.select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), fingerprints.root(F.col("_text")).alias("fingerprint"),
-        fingerprints.root(F.col("_edit")).alias("edited_fingerprint"), fingerprints.likeness(own, edit).alias("near_edited"), fingerprints.likeness(own, after).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprints.root(F.col("edit")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("leaves"), F.col("edit_leaves")).alias("near_edited"), fingerprints.likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )
 
 
