@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, cut, given_back, join_salted, let, set_apart
 from .components import connected_components
 
 
@@ -88,7 +88,7 @@ def _link_target(tag: Column) -> Column:
     """What a canonical link or meta refresh tag names; empty for other tags."""
 
     def attribute(name: str) -> Column:
-        rx = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        rx = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
         return let(F.regexp_extract_all(tag, F.lit(f"({rx})"), 1), lambda a: F.regexp_replace(F.regexp_replace(F.get(a, 0), r"(?s)^[^=]*=\s*", ""), "^[\"']|[\"']$", ""))
 
     return F.when(
@@ -115,38 +115,38 @@ def judge(
 
     ``rules`` is configuration, held in the plan. ``redirects`` (from_url, to_url) adds
     edges to those found in ``html``. A null url, or one without ``://``, has an empty
-    host and path, fits no rule, has no aliases, and is allowed. Repeated pages are
-    judged alike. No pages, no rows. Other columns pass through; columns of these names
-    are replaced.
+    host and path, fits no rule, has no aliases, and is allowed. An address without a path
+    is an alias of its host's ``/``, so rules for that reach it, though none of its own
+    fits. Repeated pages are judged alike. No pages, no rows. Other columns pass through,
+    whatever their names; columns of these four names are replaced.
     """
     own = ("url_host", "url_path", "url_rule", "url_verdict")
-    keep = [c for c in pages.columns if c not in own]
     edges = [link_edges(pages, url, html)] if html else []
     if redirects is not None:
         edges.append(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
-    host, path = split_url(F.col(url))
-    judged = pages.select(*keep, host.alias("url_host"), path.alias("url_path")).withColumn(
-        "_best", best_rule(F.col("url_host"), F.col("url_path"), rules)
-    )
-    node = F.coalesce(node_of(F.col(url)), F.concat(F.lit("\0"), F.xxhash64(*[F.col(c).cast("string") for c in keep if c != html]).cast("string")))
+    apart, names = set_apart(pages)
+    address = F.col(names[url])
+    host, path = split_url(address)
+    judged = apart.select("*", host.alias("host"), path.alias("path")).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     if edges:
         all_edges = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
-        alias = _alias_verdicts(all_edges, rules)
-        judged = judged.withColumn("_node", node).join(alias, "_node", "left").drop("_node")
+        # pages without an address have keys of their own, so that no key gathers them
+        node = F.coalesce(node_of(address), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+        judged = judged.withColumn("node", node).join(_alias_verdicts(all_edges, rules), "node", "left")
     else:
-        judged = judged.withColumn("_alias", F.lit(None).cast("boolean"))
-    allow = F.coalesce(F.col("_best.allow"), F.col("_alias"), F.lit(True))
+        judged = judged.withColumn("alias", F.lit(None).cast("boolean"))
+    allow = F.coalesce(F.col("best.allow"), F.col("alias"), F.lit(True))
     return judged.select(
-        *keep, "url_host", "url_path", F.col("_best.rule").alias("url_rule"),
+        *given_back(names, own), F.col("host").alias("url_host"), F.col("path").alias("url_path"), F.col("best.rule").alias("url_rule"),
         F.when(allow, "allow").otherwise("block").alias("url_verdict"),
     )
 
 
 def _alias_verdicts(edges: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(_node, _alias): true if a rule allows a member of the node's component, else false if one blocks a member."""
+    """(node, alias): true if a rule allows a member of the node's component, else false if one blocks a member."""
     nodes = connected_components(edges)
     host = F.regexp_extract("node", "(?s)^([^/?]*)", 1)
     path = F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1)
-    ruled = nodes.withColumn("_allow", best_rule(host, path, rules)["allow"])
-    verdict = ruled.groupBy("component").agg(F.max("_allow").alias("_alias")).where("_alias is not null")
-    return nodes.join(verdict, "component").select(F.col("node").alias("_node"), "_alias")
+    ruled = nodes.withColumn("allow", best_rule(host, path, rules)["allow"])
+    verdict = cut(ruled.groupBy("component").agg(F.max("allow").alias("alias"), F.count("*").alias("n")).where("alias is not null"))
+    return join_salted(nodes, verdict, ["component"], "n").select("node", "alias")
