@@ -60,6 +60,25 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     clean = {r["doc_id"]: r["text"] for r in cp.remove_repeated_passages(spark, docs, "").collect()}
     for i, (n, gone, _, _) in brute_spans([(r[0], r[1]) for r in corpus], 200).items():
         assert len(clean[i].encode()) == n - gone
+    from grainmill.llm import mixing, tokens
+
+    taken = {r["doc_id"]: sum(p["words"] for p in r["pieces"]) for r in mixing.mix(docs).collect()}
+    mixed, held = cp.mix_sources(spark, docs, ""), {}
+    texts = {r[0]: r[1] or "" for r in corpus}
+    for r in mixed.collect():
+        held[r["doc_id"]] = held.get(r["doc_id"], 0) + len(r["text"].split())
+        assert r["text"] in texts[r["doc_id"]]
+    assert mixed.columns == docs.columns and held == {i: n for i, n in taken.items() if n}
+    bpe, want = tokens.word_bpe(tokens.default_path()), {}
+    for i, t in texts.items():
+        want[i] = len(bpe.ids(t)) // 4 + 1
+    packed, got, seqs = cp.pack_sequences(spark, docs, "").collect(), {}, {}
+    for r in packed:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for pieces in seqs.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:])) and sum(n for _, n in pieces) <= 2048
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = cp.run(spark, str(tmp_path))
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
