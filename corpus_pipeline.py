@@ -6,13 +6,13 @@ and read again as the next one's ``docs``; all but the last return the columns o
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import language, mixing, near_dups, packing, suffix_dedup
+from grainmill.llm.common import shared_folder
 
 #: A score under this is rejected: no language is likelier than all others together.
 LEAST_SCORE = 0.5
@@ -66,11 +66,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each but the last returns is written to the shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="grainmill-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. What each but the last returns is written to the shared folder and deleted when the next one has been written; the last of them is what the result reads."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
