@@ -80,6 +80,11 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def count_left(text: Column, others: str) -> Column:
+    """How many characters are left when runs of ``others`` go: quicker than a match for each of them."""
+    return F.length(F.regexp_replace(text, others, ""))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, without empty ones."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

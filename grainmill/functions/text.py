@@ -46,10 +46,10 @@ def entropy(text: Column) -> Column:
 
     def bits(n: Column) -> Column:
         def more(h: Column, c: Column) -> Column:
-            share = (n - F.length(F.replace(text, c, F.lit("")))) / n
+            share = (n_bytes(text) - n_bytes(F.replace(text, c, F.lit("")))) / n_bytes(c) / n
             return h - share * F.log2(share)
 
-        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)), F.lit(0.0), more)
+        return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), more)
 
     return F.when(text == "", 0.0).otherwise(let(F.length(text), bits))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from grainmill.functions import codec
-from grainmill.functions.base import cap, contains_any, count_contained, f32, let, n_bytes, occurrences, weighted, words
+from grainmill.functions.base import cap, contains_any, count_contained, count_left, f32, let, n_bytes, occurrences, weighted, words
 from grainmill.functions.levels import SecurityLevel
 from grainmill.functions.text import entropy
 
@@ -30,7 +30,7 @@ BENIGN = (
 
 def special_ratio(text: Column) -> Column:
     n = F.length(text)
-    return F.when(n == 0, 0.0).otherwise(F.regexp_count(text, F.lit(r"(?U)[^\p{IsAlphabetic}\p{N}\s]")) / F.greatest(n, F.lit(1)))
+    return F.when(n == 0, 0.0).otherwise(count_left(text, r"(?U)[\p{IsAlphabetic}\p{N}\s]+") / F.greatest(n, F.lit(1)))
 
 
 def repetition_score(text: Column) -> Column:
@@ -49,7 +49,7 @@ def repetition_score(text: Column) -> Column:
 
 
 def punctuation_score(text: Column) -> Column:
-    ratio = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")) / F.greatest(F.length(text), F.lit(1))
+    ratio = count_left(text, r"[^!-/:-@\[-`{-~]+") / F.greatest(F.length(text), F.lit(1))
     lined = text.contains("!!") | text.contains("??") | text.contains("...")
     more = F.when(occurrences(text, "!") > 3, 0.2).otherwise(0.0)
     asked = F.when(occurrences(text, "?") > 3, 0.2).otherwise(0.0)
@@ -83,8 +83,8 @@ def word_pattern_score(text: Column) -> Column:
 
 
 def caps_ratio(text: Column) -> Column:
-    letters = F.regexp_count(text, F.lit(r"\p{IsAlphabetic}"))
-    return F.when(letters == 0, 0.0).otherwise(F.regexp_count(text, F.lit(r"\p{IsUppercase}")) / F.greatest(letters, F.lit(1)))
+    share = lambda letters: F.when(letters == 0, 0.0).otherwise(count_left(text, r"\P{IsUppercase}+") / F.greatest(letters, F.lit(1)))
+    return let(count_left(text, r"\P{IsAlphabetic}+"), share)
 
 
 def base64_shape(t: Column) -> Column:
@@ -112,8 +112,7 @@ def has_hex(text: Column) -> Column:
 
 def looks_rot13(text: Column) -> Column:
     low = F.lower(text)
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    marks = F.regexp_count(low, F.lit("[noret]"))
+    letters, marks = count_left(text, "[^A-Za-z]+"), count_left(low, "[^noret]+")
     return (n_bytes(text) >= 30) & (letters >= F.floor(F.length(text) * 3 / 4)) & ~contains_any(low, PLAIN_WORDS) & (marks > F.floor(n_bytes(text) / 6))
 
 
