@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from grainmill.functions import codec
-from grainmill.functions.base import contains_any, f32, let, n_bytes, truncate_bytes, words
+from grainmill.functions.base import contains_any, let, n_bytes, truncate_bytes, words
 
 # Openers of questions, words of educational texts, and weights of benign ones.
 OPENERS = ("how ", "what ", "why ", "when ", "where ", "can you ", "could you ", "would you ")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from grainmill.functions.levels import CATEGORIES, RISKS, SecurityLevel
-from grainmill.operators import combine, mitigate, preprocess
+from grainmill.functions.levels import RISKS, SecurityLevel
+from grainmill.operators import combine, mitigate
 from grainmill.oracles import (
     EDUCATIONAL, PROMPTS, QUESTION, READINGS, SIGNALS, any_of, bare_controls, bare_percents_sql, benign_sql, calmed_sql, check_sql, confidence_sql, cut_sql, damped_sql, f, filtered64_sql, first_bytes, general_sql, keyword_sql, matches,
     percent_decoded, q, risk_sql, scored, strategy_sql, trimmed_sql, warned_sql, whole64,

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import let, n_bytes
+from grainmill.functions.base import let
 from grainmill.operators import combine, heuristics, keywords, mitigate, preprocess, scoring, variants
 from grainmill.operators.signals import none, with_fields
 
