@@ -2,12 +2,7 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def words(rng, n):
-    return " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7))) for _ in range(n))
-
+from samples import DOCS, words
 
 @pytest.fixture(scope="session")
 def corpus():

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DOCS, words
+from samples import DOCS, words
 from grainmill.llm import common, fingerprints, inner_products, language, mixing, near_dups, packing, queries, sharding, suffix_dedup, tokens, url_filters
 
 INNER = (
