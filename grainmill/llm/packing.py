@@ -2,18 +2,18 @@
 
 The documents of a partition, in order, are one stream of tokens. Where to cut it is found
 by dynamic programming over document ends and sentence ends (and, in stretches without
-either, places a quarter and, from lengths of 128 on, a 128th of the length apart): the cost of a sequence is its padding and a fixed charge, the cost of
-a cut is 0 after a document, more inside it. With f the least cost up to a cut and x its
-place, f(j) = min over x(j) - x(i) <= L of f(i) + x(i), plus L - x(j): a sliding minimum
-that a monotone queue keeps. A sequence of a power of two tokens has no padding; those
-predecessors are looked up besides.
+either, places a quarter and, from lengths of 128 on, a 64th of the length apart): the cost
+of a sequence is its padding and a fixed charge, the cost of a cut is 0 after a document,
+more inside it. With f the least cost up to a cut and x its place, f(j) = min over
+x(j) - x(i) <= L of f(i) + x(i), plus L - x(j): a sliding minimum that a monotone queue
+keeps. A sequence of a power of two tokens has no padding; predecessors at such a distance,
+from a sixteenth of the length on, are looked up besides.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .arrow import tidy
 from .tokens import _byte_alphabet, default_path, word_bpe
 
 SENTENCE_MARKS = (".", "!", "?", "…", "。", "．", "｡", "！", "？", "؟", "۔", "।", "॥", "።", "။", "។", "։")
@@ -31,11 +32,11 @@ CHUNK = 1 << 19
 
 @dataclass(frozen=True)
 class Costs:
-    """In tokens of padding."""
+    """In tokens of padding. ``sequence``: the place in a batch that each sequence takes, however short; more than a cut inside, so that the next document is cut to fill a sequence."""
 
     sentence: int = 4
     inside: int = 48
-    sequence: int = 6
+    sequence: int = 64
 
 
 def choose_cuts(ends: np.ndarray, sentences: np.ndarray, n: int, length: int, last: bool, costs: Costs = Costs()) -> list[int]:
@@ -53,7 +54,8 @@ def choose_cuts(ends: np.ndarray, sentences: np.ndarray, n: int, length: int, la
     at = np.flatnonzero(cost >= 0)
     gaps = np.diff(at)
     wide = np.flatnonzero(gaps > min(costs.inside, length // 4))
-    step = length // 128  # 0 for lengths of which a quarter costs less than a cut inside
+    step = length // 64  # a quarter of short lengths costs less than a cut inside: none for them
+    step = step if step > 1 else 0
     for i in wide:  # a stretch without a place to cut
         if gaps[i] > length // 4:
             cost[np.arange(at[i] + length // 4, at[i + 1], length // 4)] = costs.inside
@@ -62,31 +64,37 @@ def choose_cuts(ends: np.ndarray, sentences: np.ndarray, n: int, length: int, la
     if len(wide):
         at = np.flatnonzero(cost >= 0)
     x, pay = at.tolist(), cost[at].tolist()
-    exact: dict[int, list[int]] = {}
-    p = 1
+    # (place, place a power of two before it), ascending
+    met = []
+    p = 1 << max(0, (length // 16).bit_length() - 1)
     while p <= length:
         i = np.searchsorted(at, at - p)
         hit = np.flatnonzero((at >= p) & (at[np.minimum(i, len(at) - 1)] == at - p))
-        for j, k in zip(hit.tolist(), i[hit].tolist()):
-            exact.setdefault(j, []).append(k)
+        met.append(np.stack((hit, i[hit])))
         p *= 2
+    met = np.concatenate(met, axis=1)
+    met = met[:, np.argsort(met[0], kind="stable")]
+    later, earlier = [*met[0].tolist(), -1], met[1].tolist()
     f, back = [0] * len(x), [0] * len(x)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + x, index), f + x ascending
+    sums, places, head, e = [0], [0], 0, 0  # the queue: f + x, ascending, and the index
     for j in range(1, len(x)):
-        low = x[j] - length
-        while x[queue[0][1]] < low:
-            queue.popleft()
-        g, i = queue[0]
-        best = g + length - x[j]
-        for k in exact.get(j, ()):
-            if f[k] < best:
-                best, i = f[k], k
+        here = x[j]
+        while x[places[head]] < here - length:
+            head += 1
+        i = places[head]
+        best = sums[head] + length - here
+        while later[e] == j:
+            if f[earlier[e]] < best:
+                i = earlier[e]
+                best = f[i]
+            e += 1
         best += pay[j] + costs.sequence
         f[j], back[j] = best, i
-        g = best + x[j]
-        while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
+        while len(sums) > head and sums[-1] >= best + here:
+            sums.pop()
+            places.pop()
+        sums.append(best + here)
+        places.append(j)
     j = len(x) - 1
     if not last:
         first = bisect_right(x, n - length)
@@ -178,8 +186,8 @@ def pack(
         packer = Packer(length, table, TaskContext.get().partitionId() << 33, with_ids, costs, split)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1)):
-                packer.add(i.as_py(), bpe.ids(t.as_py()) + end)
+            for i, ids in zip(b.column(0), bpe.encode(t.as_py() for t in b.column(1))):
+                packer.add(i.as_py(), ids + end)
                 if packer.held >= CHUNK:
                     yield rows(packer.pieces(False), b.schema.field(0).type)
             id_type = b.schema.field(0).type
@@ -195,4 +203,4 @@ def pack(
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(tidy(run), schema)

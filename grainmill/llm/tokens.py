@@ -3,8 +3,9 @@
 Whole-token shortcut: every vocabulary string that ends a word is encoded alone once; those
 that come back as the one token they are form a table that is proved, not assumed. A
 pre-token in the table is one token; only the others are merged, and what a chunk of text
-between white space comes to stays in a bounded memo. Texts with characters for which the plain
-pre-tokenisation here is not proved equal to the library's go to the library whole.
+between white space comes to stays in a bounded memo of two generations. Texts with characters
+for which the plain pre-tokenisation here is not proved equal to the library's go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrow import tidy
+
 #: Letters whose lower case, composition and class are the same for the library and for Python.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 #: Other characters of which that holds: ASCII, and marks that are neither letters, digits nor white space.
@@ -28,8 +31,11 @@ ODD = re.compile(f"[^{LETTERS}{OTHERS}]")
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 WORD_END = "</w>"
-#: Distinct chunks that a process remembers.
-MEMO = 800_000
+#: Distinct chunks of a generation; a process remembers the last two.
+MEMO = 200_000
+#: Code points of plain text that are looked up together.
+TOGETHER = 1 << 20
+WHITE = re.compile(r"\s")
 
 
 def default_path() -> str:
@@ -52,7 +58,8 @@ class WordBpe:
         self.ends_word = np.zeros(max(vocab.values(), default=0) + 64, bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith(WORD_END)]] = True
         self.whole = self._prove(vocab)
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _prove(self, vocab: dict[str, int]) -> dict[str, bytes]:
         """Pre-token -> its only id, for the vocabulary strings that encode alone as themselves."""
@@ -74,9 +81,9 @@ class WordBpe:
         """Whether the pre-tokens found here are proved to be the library's."""
         return not ODD.search(text) and not ("<|" in text and any(s in text for s in SPECIAL))
 
-    def _merge(self, words: list[str]) -> dict[str, bytes]:
+    def _merge(self, distinct: set[str]) -> dict[str, bytes]:
         """The ids of pre-tokens that are not whole tokens, from one call of the library."""
-        words = list(dict.fromkeys(words))
+        words = list(distinct)
         shown = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.shown) for w in words])
         ids = np.array(self.merger.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends_word[ids]) + 1
@@ -84,33 +91,68 @@ class WordBpe:
         raw = ids.tobytes()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *(stops * 4).tolist()], (stops * 4).tolist())}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The memo, with these white-space-separated chunks of lower-case plain text in it: pre-tokens never span white space."""
-        memo = self.memo
-        missing = [c for c in chunks if c not in memo]
-        if missing:
-            missing = list(dict.fromkeys(missing))
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(chunks))
-            pre = [PRE_TOKEN.findall(c) for c in missing]
-            whole = self.whole
-            merged = self._merge([w for ws in pre for w in ws if w not in whole])
-            for c, ws in zip(missing, pre):
-                memo[c] = b"".join([whole[w] if w in whole else merged[w] for w in ws])
-        return memo
-
-    def count(self, text: str | None) -> int:
-        return len(self.ids(text)) // 4
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The young generation, with these white-space-separated chunks of lower-case plain text in it: pre-tokens never span white space."""
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old, whole = self.young, self.old, self.whole
+        missing = chunks.difference(young)
+        if not missing:
+            return young
+        again = missing.intersection(old)
+        young.update(zip(again, map(old.__getitem__, again)))
+        missing -= again
+        # letters alone are one pre-token, and letters with a mark behind them two
+        words = [c for c in missing if c.isalpha()]
+        rest = missing.difference(words)
+        ended = [c for c in rest if c[:-1].isalpha() and not c[-1].isalnum()]
+        mixed = [(c, PRE_TOKEN.findall(c)) for c in rest.difference(ended)]
+        parts = {*words, *(c[:-1] for c in ended), *(c[-1] for c in ended), *(w for _, ws in mixed for w in ws)}
+        known = {w: young[w] if w in young else whole[w] for w in parts if w in young or w in whole}
+        known.update(self._merge(parts.difference(known)))
+        young.update(zip(words, map(known.__getitem__, words)))
+        for c in ended:
+            young[c] = known[c[:-1]] + known[c[-1]]
+        for c, ws in mixed:
+            young[c] = b"".join(map(known.__getitem__, ws))
+        return young
+
+    def _lookup(self, texts: list[str]) -> list[bytes]:
+        chunks = [t.lower().split() for t in texts]
+        known = self._learn(set().union(*chunks))
+        return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+
+    def _long(self, text: str) -> bytes:
+        """A long plain text's ids, in parts that end at white space."""
+        out, low = [], 0
+        while low < len(text):
+            gap = WHITE.search(text, low + TOGETHER)
+            high = gap.start() if gap else len(text)
+            out += self._lookup([text[low:high]])
+            low = high
+        return b"".join(out)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, in order. Short texts are looked up together."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            odd = t is not None and not self.plain(t)
+            if held and (odd or size + len(t or "") > TOGETHER):
+                yield from self._lookup(held)
+                held, size = [], 0
+            if odd:
+                yield np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            elif len(t or "") > TOGETHER:
+                yield self._long(t)
+            else:
+                held.append(t or "")
+                size += len(t or "")
+        if held:
+            yield from self._lookup(held)
 
     def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.lower().split()
-        return b"".join(map(self._learn(chunks).__getitem__, chunks))
+        return next(self.encode([text]))
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -143,11 +185,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, te
         bpe = word_bpe(path)
         for b in batches:
             texts = b.column(len(names))
-            counts = [bpe.count(t.as_py()) for t in texts]
+            counts = [len(ids) // 4 for ids in bpe.encode(t.as_py() for t in texts)]
             sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(names))), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 [*names, *made],
             )
 
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return docs.select(*names, text).mapInArrow(tidy(run), schema)
