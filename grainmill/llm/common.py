@@ -56,6 +56,11 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns under names that no operator uses, and those names by the old ones."""
     names = {c: f"user_{i}" for i, c in enumerate(df.columns)}

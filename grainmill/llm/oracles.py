@@ -46,4 +46,32 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format("a")
 FROM l
 """
 
-SQL: dict[str, str] = {"op1_url_filter": OP1, "op2_top_products": OP2, "op4_merkle_fingerprint": OP4}
+OP11 = f"""
+WITH d AS (
+  SELECT * FROM (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents WHERE text IS NOT NULL)
+  WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(ts))::BIGINT AS nt FROM d),
+p AS (SELECT doc_id, k, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, k, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t),
+i AS (SELECT item_id, t, count(*)::BIGINT AS q FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, k,
+         sum(q * CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nd) // nt)))))::BIGINT AS score
+  FROM i JOIN f USING (t) JOIN p USING (t) CROSS JOIN c GROUP BY item_id, doc_id, k)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op1_url_filter": OP1, "op2_top_products": OP2, "op4_merkle_fingerprint": OP4, "op11_lexical_search": OP11, "op12_hard_negatives": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, inner_products, language, mixing, near_dups, packing, sharding, suffix_dedup, tokens, url_filters
+from . import fingerprints, inner_products, language, lexical, mixing, near_dups, negatives, packing, pieces, sharding, suffix_dedup, tokens, url_filters
 from .common import let, table
 
 #: The rules of the url query.
@@ -83,6 +83,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.col("lang_ambiguous").alias("ambiguous"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(v.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -95,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": op10_language,
         "op8_minmax_dedup": op8_minmax_dedup,
         "op9_histogram_shard": op9_histogram_shard,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_piece_codec": op13_piece_codec,
     }
 
 
