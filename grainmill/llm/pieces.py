@@ -80,21 +80,29 @@ class PieceBpe:
         self.shown = [bytes([self.bytes.index(i)]) if k == BYTE else special.get(k, p.replace(SPACE, " ").encode()) for i, (p, k) in enumerate(zip(self.pieces, kinds))]
         self.control = np.array([k == CONTROL for k in kinds])
         self.spaced = np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(self.pieces, kinds)])
+        self.normal = [k == NORMAL for k in kinds]
+        self.ready = False
+
+    def _prepare(self) -> None:
+        """What encoding needs beside the pieces; a worker that only decodes goes without."""
+        self.ready = True
         self.left, self.right = {}, {}  # a piece's symbols at its left and right end, each with the turn that ends it
         self.automaton = ahocorasick.Automaton()
-        for i, (p, k) in enumerate(zip(self.pieces, kinds)):
-            if k == NORMAL and self._prove(i, p):
+        for i, p in enumerate(self.pieces):
+            if self.normal[i] and self._prove(i, p):
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.known = {p for p in self.rank if len(p) == 1}
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
-        self.gap = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)")
         #: by the first token, then the second
         self.fits: list[dict[int, bool]] = [{} for _ in self.pieces]
         self.n_fits = 0
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
         #: neighbours that stand side by side in some piece: no merge goes across any others
         self.beside = {p[n : n + 2] for p in self.rank for n in range(len(p) - 1)}
+        # a word is a chunk of its own before a mark that follows a letter in no piece
+        marks = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and not any(p[1] == c and p[0].isalpha() for p in self.beside))
+        self.chunks = re.compile(f"{SPACE}*[^\\W\\d_]+(?=[{SPACE}\n{re.escape(marks)}])|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+        self.gap = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<=\n)|(?=\n)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -207,6 +215,8 @@ class PieceBpe:
         ends = np.array([self.begin, self.end], "<u4").tobytes()
         if not text:
             return ends
+        if not self.ready:
+            self._prepare()
         shown = SPACE + text.replace(" ", SPACE)
         out, low = [ends[:4]], 0
         while low < len(shown):
