@@ -28,7 +28,7 @@ from .common import HOT_KEYS, HOT_ROWS, cut, delete_folder, shared_folder
 BUCKETS_OF_TERM = 64
 #: Rows of terms or candidates that are broadcast at most (some 20 MB); beyond it both sides are exchanged.
 SMALL = 200_000
-#: An item's strongest terms are scored first, until they have this many postings for each of the k.
+#: An item's strongest terms are scored first, until they have this many postings for each of the k; so many of the best documents by them are scored whole.
 PROBE = 100
 
 # Fixed values of the score.
@@ -130,7 +130,7 @@ def weight(n_docs: int, df: Column) -> Column:
 
 
 def _ranked(postings: DataFrame, asked: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
-    p = postings.select("doc_id", "row", "term", part_of_score(n_docs, n_terms).alias("part"))
+    p = postings.select("row", "term", part_of_score(n_docs, n_terms).alias("part"))
     stats = p.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     by_item = W.partitionBy("item_id")
     known = asked.join(stats, "term").withColumn("w", F.col("q") * weight(n_docs, F.col("df"))).withColumn("bound", F.col("w") * F.col("most")).where("w > 0")
@@ -141,22 +141,29 @@ def _ranked(postings: DataFrame, asked: DataFrame, n_docs: int, n_terms: int, k:
 
     def sums(terms: DataFrame) -> DataFrame:
         met = _meet(p, terms.select("term", "df", "item_id", "w"), n_known, total)
-        return met.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
-
-    low = _kth(sums(known.where(F.col("seen") < PROBE * k)), k)
-    # terms that all together stay under the k-th best score find no document by themselves
+        return met.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+
+    def added(pairs: DataFrame, n_pairs: int, terms: DataFrame) -> DataFrame:
+        """(item_id, row, more): what the item's ``terms`` add for each of the pairs (item_id, row)."""
+        rows, theirs = pairs.select("row").distinct(), terms.select("item_id", "term", "w")
+        held = p.join(F.broadcast(rows) if n_pairs <= SMALL else rows, "row", "left_semi").join(theirs.select("term").distinct(), "term", "left_semi").select("row", "term", "part")
+        wanted = pairs.select("item_id", "row").join(F.broadcast(theirs) if n_known <= SMALL else theirs, "item_id")
+        return wanted.join(held, ["row", "term"]).groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("more"))
+
+    # whole scores of the documents that the strongest terms put first bound the k-th best score from below
+    first = sums(known.where(F.col("seen") < PROBE * k)).withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("sum"), "row")))
+    first = cut(first.where(F.col("rank") <= PROBE).select("item_id", "row"))
+    low = _kth(added(first, first.count(), known).withColumnRenamed("more", "sum"), k)
+    # terms that all together stay under it find no document by themselves
     known = cut(known.join(low, "item_id", "left").withColumn("common", F.coalesce(F.col("under") < F.col("low"), F.lit(False))))
-    rest = known.where("common").groupBy("item_id").agg(F.max("under").alias("rest"))
-    bounds = known.groupBy("item_id").agg(F.coalesce(F.max("low"), F.lit(0)).alias("low")).join(rest, "item_id", "left").select("item_id", "low", F.coalesce("rest", F.lit(0)).alias("rest"))
-    found = cut(sums(known.where("not common")).join(bounds, "item_id").where(F.col("sum") + F.col("rest") >= F.col("low")).drop("low"))
-    better = found.join(_kth(found, k), "item_id", "left").where((F.col("sum") + F.col("rest") >= F.coalesce("low", F.lit(0))))
-    open_ = cut(better.select("item_id", "row", "doc_id", "sum"))
-    n_open = open_.count()
+    bounds = known.groupBy("item_id").agg(F.coalesce(F.max("low"), F.lit(0)).alias("low"), F.coalesce(F.max(F.when(F.col("common"), F.col("under"))), F.lit(0)).alias("rest"))
+    open_ = cut(sums(known.where("not common")).join(bounds, "item_id").where(F.col("sum") + F.col("rest") >= F.col("low")).select("item_id", "row", "sum"))
     # what the common terms add for those that are still open
-    rows, common = open_.select("row").distinct(), known.where("common").select("item_id", "term", "w")
-    theirs = p.join(F.broadcast(rows) if n_open <= SMALL else rows, "row", "left_semi").select("row", "term", "part")
-    pairs = open_.select("item_id", "row").join(F.broadcast(common) if n_known <= SMALL else common, "item_id")
-    more = pairs.join(theirs, ["row", "term"]).groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("more"))
-    scored = open_.join(more, ["item_id", "row"], "left").select("item_id", "doc_id", "row", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score")).where("score > 0")
+    more = added(open_, open_.count(), known.where("common"))
+    scored = open_.join(more, ["item_id", "row"], "left").select("item_id", "row", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score")).where("score > 0")
+    # those that may be among the k best, ties included, get their ids
+    scored = cut(scored.withColumn("place", F.rank().over(by_item.orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place"))
+    rows = scored.select("row").distinct()
+    ids = postings.select("row", "doc_id").join(F.broadcast(rows) if scored.count() <= SMALL else rows, "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
     order = by_item.orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return scored.join(ids, "row").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
