@@ -13,7 +13,9 @@ from grainmill.functions.base import f32, java, let, truncate_bytes
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
 from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, preprocess, scoring, variants
 from grainmill.operators.patterns import Matcher
+from grainmill.operators.rule_tables import match_rules
 from grainmill.operators.signals import signal
+from grainmill.plans.calibrate import calibrate
 from grainmill.plans.config import ConfigBuilder, Preset
 from grainmill.plans.detector import Detector, spread
 from grainmill.sources.prompts import mixed_prompts
@@ -65,11 +67,20 @@ def pat_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pat_scan_join(spark: SparkSession, d: str) -> DataFrame:
-    """The relational form: prompts joined to the table of rules by matching."""
+    """The relational form: prompts meet a table of rules by what the rules cannot do without."""
     m = Matcher(SecurityLevel(1))
-    rules = spark.createDataFrame([(c, i, rx) for c, i, rx in m.rules], "category string, i int, rx string")
-    p = mixed_prompts(spark, d)
-    return p.join(rules, F.rlike(p["text"], rules["rx"])).groupBy("category", "i").agg(F.count("*").alias("n"))
+    rules = spark.createDataFrame([(k, raw) for k, raw in enumerate(m.raw())], "rule_id int, pattern string")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rule_id"))
+    found = match_rules(spread(mixed_prompts(spark, d)), rules).select(of([c for c, _, _ in m.rules]).alias("category"), of([i for _, i, _ in m.rules]).alias("i"))
+    return found.groupBy("category", "i").agg(F.count("*").alias("n"))
+
+
+def pat_rule_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rules made of the benchmark's items: the first three words of each, any white space between them."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    first = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 1, 3)
+    rules = items.select("item_id", F.array_join(first, r"\s+").alias("pattern")).where("pattern <> ''")
+    return match_rules(spread(mixed_prompts(spark, d)), rules, rule_id="item_id").select("prompt_id", "rule_id", "content")
 
 
 def pat_custom(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +140,12 @@ def analyze_full(level: int) -> Query:
     return run
 
 
+def level_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Score and verdict of every prompt at every level; the texts are scanned once."""
+    c = calibrate(spread(mixed_prompts(spark, d)).select("prompt_id", "text"))
+    return c.select("prompt_id", "level", num(F.col("score")).alias("score"), F.col("injection_detected").alias("flagged"))
+
+
 def preset_grid(spark: SparkSession, d: str) -> DataFrame:
     """Risk labels by preset, of every preset over every prompt; prompts that get an error have no label."""
     p = spread(mixed_prompts(spark, d))
@@ -266,40 +283,6 @@ def span_null(spark: SparkSession, d: str) -> DataFrame:
     return a.select("prompt_id", count(lambda s: s["span"].isNotNull()).alias("placed"), lost("preprocessing_changed_coordinates").alias("moved"), lost("decoded_variant_coordinates").alias("decoded"))
 
 
-def pat_select(spark: SparkSession, d: str) -> DataFrame:
-    """The categories of every level."""
-    return spark.createDataFrame([(v, c) for v in range(11) for c in SecurityLevel(v).categories], "level int, category string")
-
-
-def pat_introspect(spark: SparkSession, d: str) -> DataFrame:
-    """Rules, kind and base confidence of the categories in force at the highest level."""
-    m = Matcher(SecurityLevel(10))
-    return spark.createDataFrame([(c, m.kind(c), sum(x == c for x, _, _ in m.rules), round(m.base(c), 4)) for c in m.names()], "category string, kind string, rules int, base double")
-
-
-def level_table(spark: SparkSession, d: str) -> DataFrame:
-    """What each level sets."""
-    rows = []
-    for x in map(SecurityLevel, range(11)):
-        rows.append((x.value, *[round(v, 5) for v in (x.base_threshold, x.pattern_weight, x.combination_multiplier, x.benign_factor, *x.thresholds)], x.risk_floor, x.aggressive))
-    return spark.createDataFrame(rows, "level int, base_threshold double, pattern_weight double, multiplier double, benign double, critical double, high double, medium double, low double, floor int, aggressive boolean")
-
-
-def preset_table(spark: SparkSession, d: str) -> DataFrame:
-    """What each preset sets."""
-    rows = []
-    for p in Preset:
-        c = p.config()
-        rows.append((
-            p.value, c.level.value, c.response.kind, c.preprocessing.max_length, c.preprocessing.preserve_formatting, c.preprocessing.decode_encodings, len(c.patterns.custom), c.patterns.max_patterns,
-            c.keywords.enabled, c.keywords.similarity_threshold, c.keywords.max_context_length, c.resources.max_concurrent_analyses, float(c.resources.analysis_timeout_s), c.resources.max_memory_mb, c.resources.pattern_cache_size,
-        ))
-    return spark.createDataFrame(
-        rows,
-        "preset string, level int, response string, max_length int, preserves boolean, decodes boolean, patterns int, max_patterns int, keywords boolean, similarity double, context int, at_once int, seconds double, megabytes int, kept int",
-    )
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full analysis at level 5 of the mixed prompts."""
     return analyze_full(5)(spark, sf_dir)
@@ -319,6 +302,7 @@ def queries() -> dict[str, Query]:
         "q_benign_flag": scalar(preprocess.looks_benign),
         "pat_scan": pat_scan,
         "pat_scan_join": pat_scan_join,
+        "pat_rule_table": pat_rule_table,
         "pat_custom": pat_custom,
         "pat_type_counts": pat_type_counts,
         "h_benign": scalar(lambda t: num(heuristics.benign_score(t))),
@@ -368,19 +352,13 @@ def queries() -> dict[str, Query]:
         "a_snapshot": a_snapshot,
         "a_windowed": a_windowed,
         "span_null": span_null,
-        "pat_select": pat_select,
-        "pat_introspect": pat_introspect,
-        "level_table": level_table,
-        "preset_table": preset_table,
-        "a_reset": lambda s, d: metrics.totals(metrics.reset(events(s, d))),
-        "a_fpr": lambda s, d: metrics.false_positive_rate(events(s, d)),
         "a_label_eval": a_label_eval,
         "u_norm": scalar(tx.normalize),
         "u_lev": helper_pair(tx.distance),
         "u_sim": helper_pair(lambda a, b: F.round(tx.similarity(a, b), 6)),
         "u_words": scalar(lambda t: F.array_join(tx.extract_words(t, 4), " ")),
         "u_entropy": scalar(lambda t: F.round(tx.entropy(t), 6)),
-        "u_repeat": scalar(lambda t: tx.has_repeat(t, 3)),
+        "u_repeat": lambda s, d: spread(mixed_prompts(s, d)).select("prompt_id", tx.has_repeat(F.col("text"), 3).alias("out")),
         "u_isb64": scalar(tx.is_base64),
         "u_ishex": scalar(tx.is_hex),
         "u_urldec": scalar(tx.url_decode_latin),
@@ -396,6 +374,7 @@ def queries() -> dict[str, Query]:
         "source_rollup": source_rollup,
         "no_signal_antijoin": no_signal_antijoin,
         "preset_grid": preset_grid,
+        "level_calibration": level_calibration,
         "src_prompt": analyze_full(5),
         "analyze_full": analyze_full(10),
     }

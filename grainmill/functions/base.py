@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def f32(x: float) -> Column:
-    """A FLOAT literal: confidences are single precision, and thresholds are sensitive to that."""
-    return F.lit(float(np.float32(x))).cast("float")
+def f32(x: float | Column) -> Column:
+    """A FLOAT literal: confidences are single precision, and thresholds are sensitive to that. A column of them stays as it is."""
+    return x if isinstance(x, Column) else F.lit(float(np.float32(x))).cast("float")
 
 
 def cap(c: Column, most: float = 1.0) -> Column:
@@ -50,6 +50,17 @@ def lowered(pattern: str) -> str | None:
     return java(pattern.lower(), ignore_case=False).replace("(?dU)", "(?d)", 1)
 
 
+def folded(text: Column) -> Column:
+    """The text as patterns that ignore case see it: every letter in the lower case of its upper case. (One after the other alone, the optimizer would drop the upper case.)"""
+    low = F.translate(F.lower(F.translate(F.upper(text), "\u0130", "i")), "\u03c2", "\u03c3")
+    return F.when(n_bytes(text) == F.length(text), F.lower(text)).otherwise(low)
+
+
+def fold(string: str) -> str:
+    """What ``folded`` makes of a constant."""
+    return string.upper().replace("\u0130", "i").lower().replace("\u03c2", "\u03c3")
+
+
 def n_bytes(text: Column) -> Column:
     return F.octet_length(text)
 

@@ -82,6 +82,20 @@ class SecurityLevel:
     def base_threshold(self) -> float:
         return float(np.clip(F32(0.95) - F32(self.value) * F32(0.08), F32(0.15), F32(0.95)))
 
+    @property
+    def surely_bad(self) -> float:
+        """Confidences above this count as malicious."""
+        return float(F32(self.base_threshold) + F32(0.2))
+
+    @property
+    def surely_good(self) -> float:
+        """Confidences below this count as benign."""
+        return float(F32(self.base_threshold) - F32(0.2))
+
+    def kept(self, share: float, least: float) -> float:
+        """What is left of a confidence of which ``share`` goes at the middle levels."""
+        return float(max(F32(1.0) - F32(share) * F32(self.adjustment), F32(least)))
+
     @property
     def pattern_weight(self) -> float:
         return self._ramp(1.0, 0.15)

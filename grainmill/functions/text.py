@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .base import f32, java, let, n_bytes, words
+from .repeats import has_square
 
 # The named patterns.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -55,8 +57,13 @@ def entropy(text: Column) -> Column:
 
 
 def has_repeat(text: Column, least: int) -> Column:
-    """Whether a run of at least ``least`` characters is followed by itself."""
-    return text.rlike(rf"(?s)(.{{{least},}})\1") if least else F.lit(False)
+    """Whether a run of at least ``least`` characters is followed by itself; null for null. Python in Arrow batches: a regular expression would be quadratic."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else has_square(t, least))
+
+    return found(text) if least > 0 else F.lit(False)
 
 
 def is_base64(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import cap, constant, contains_any, count_contained, f32, java, let, lowered, n_bytes, occurrences
+from grainmill.functions.base import cap, constant, contains_any, count_contained, f32, fold, folded, java, let, lowered, n_bytes, occurrences
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
 from grainmill.functions.phrases import RULES, needed
 
@@ -67,7 +67,7 @@ class Matcher:
         """
         if not self.rules:
             return F.array().cast("array<int>")
-        needs = [needed(raw) for raw in self.raw()]
+        needs = [n and tuple(map(fold, n)) for n in map(needed, self.raw())]
         always = [k for k, n in enumerate(needs) if n is None]
         strings = sorted({s for n in needs if n for s in n})
         rules_of = [[k for k, n in enumerate(needs) if n and s in n] for s in strings]
@@ -78,7 +78,7 @@ class Matcher:
 
         tried = constant(always, "array<int>")
         if strings:
-            tried = F.array_distinct(F.concat(tried, F.flatten(F.transform(let(F.lower(F.upper(text)), found), lambda i: F.get(of, i)))))
+            tried = F.array_distinct(F.concat(tried, F.flatten(F.transform(let(folded(text), found), lambda i: F.get(of, i)))))
         rx = constant([r[2] for r in self.rules], "array<string>")
         matching = lambda ks: F.filter(ks, lambda k: F.rlike(text, F.get(rx, k)))
         if not self.case_sensitive:

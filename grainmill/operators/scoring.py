@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-import numpy as np
-
 from grainmill.functions.base import f32, let
 from grainmill.functions.levels import RISKS, SEVERITY, SecurityLevel
 
@@ -19,8 +17,7 @@ def severity(kind: Column) -> Column:
 
 def adjusted(s: Column, level: SecurityLevel) -> Column:
     """A signal's confidence, lowered for categories that often fire on legitimate text."""
-    f = np.float32(level.adjustment)
-    keep = lambda share, least: f32(max(np.float32(1.0) - np.float32(share) * f, np.float32(least)))
+    keep = lambda share, least: f32(level.kept(share, least))
     c = (
         F.when(s["category"].isin("authority_manipulation_advanced", "urgency_manipulation_advanced"), s["confidence"] * keep(0.3, 0.2))
         .when(s["category"].isin("context_confusion", "context_hijacking_advanced"), s["confidence"] * keep(0.2, 0.3))
@@ -33,8 +30,7 @@ def score(signals: Column, level: SecurityLevel) -> Column:
     """struct(score, confidence): the weighted mean with its bonus for variety and its penalty for benign signals, and the highest adjusted confidence."""
     weight = f32(level.pattern_weight)
     rated = F.transform(signals, lambda s: F.struct(adjusted(s, level).alias("c"), (severity(s["kind"]) * weight).alias("w")))
-    high = f32(np.float32(level.base_threshold) + np.float32(0.2))
-    low = f32(np.float32(level.base_threshold) - np.float32(0.2))
+    high, low = f32(level.surely_bad), f32(level.surely_good)
     kinds = F.size(F.array_distinct(F.transform(signals, type_name)))
     multiplier = f32(level.combination_multiplier)
 
@@ -52,7 +48,7 @@ def score(signals: Column, level: SecurityLevel) -> Column:
         mean = F.when(a["w"] > 0, (a["t"] / a["w"]).cast("float")).otherwise(f32(0.0))
         variety = F.when(kinds > 2, f32(0.08) * multiplier).when(kinds > 1, f32(0.05) * multiplier).otherwise(f32(0.0))
         share = (a["good"].cast("float") / F.size(signals).cast("float")).cast("float")
-        penalty = F.when(a["good"] > a["bad"], f32(-level.benign_factor) * share).otherwise(f32(0.0))
+        penalty = F.when(a["good"] > a["bad"], -f32(level.benign_factor) * share).otherwise(f32(0.0))
         s = F.least(F.greatest((mean + variety + penalty).cast("float"), f32(0.0)), f32(1.0))
         return F.struct(s.alias("score"), a["m"].alias("confidence"))
 

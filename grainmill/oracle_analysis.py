@@ -142,6 +142,18 @@ def preset_sql() -> str:
     return " UNION ALL ".join(each)
 
 
+def calibration_sql(of) -> str:
+    """An analysis of its own for each level."""
+    ok = lambda sql: f"CASE WHEN error IS NULL THEN {sql} END"
+    each = [f"SELECT * FROM (WITH {analysis_ctes(of(v))} SELECT prompt_id, {v} AS level, {ok('round(score::DOUBLE, 4)')} AS score, {ok('risk >= 2')} AS flagged FROM judged)" for v in range(11)]
+    return " UNION ALL ".join(each)
+
+
+#: Texts that hold the first three words of a benchmark item, white space between them.
+RULE_TABLE = f"""WITH {PROMPTS}, rules AS (SELECT item_id AS rule_id, '(?i)' || array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:3], '\\s+') AS rx FROM benchmark WHERE len(regexp_extract_all(text, '[A-Za-z]+')) > 0)
+SELECT prompt_id, rule_id, regexp_extract(text, rx, 0) AS content FROM prompts JOIN rules ON regexp_matches(text, rx)"""
+
+
 def fixed_sanitized_sql(level: int = 5) -> str:
     """The sanitizing response to the signals that follow from the id."""
     signals = f"list_transform(signals, lambda s: {signal('s.kind', 's.confidence', category='s.category')})"
@@ -155,30 +167,6 @@ def scanned_sanitized_sql(level: int = 5) -> str:
     return f"WITH {PROMPTS}, {matches(level)}, hits AS ({hits}), s AS (SELECT prompt_id, any_value(text) AS text, array_agg({own} ORDER BY n) AS signals FROM hits GROUP BY prompt_id) SELECT prompt_id, clean AS out FROM ({sanitized_sql('SELECT * FROM s', 'text', 'signals', level)})"
 
 
-#: Written out here, not taken from the engine: category, kind, rules, first level, base confidence (null: by level).
-CATEGORY_ROWS = """
-  ('advanced_instruction_override', 'InstructionOverride', 8, 7, 0.95), ('authority_manipulation_advanced', 'SocialEngineering', 10, 3, 0.85), ('compliance_testing_disguised', 'SocialEngineering', 10, 9, 0.7),
-  ('context_breaking_advanced', 'ContextConfusion', 10, 9, 0.6), ('context_confusion', 'ContextConfusion', 20, 5, 0.85), ('context_hijacking_advanced', 'ContextConfusion', 10, 5, 0.85),
-  ('dan_variations_comprehensive', 'Jailbreak', 10, 7, 0.98), ('data_extraction', 'DataExtraction', 20, 5, 0.9), ('encoding_bypass', 'EncodingBypass', 13, 5, NULL), ('encoding_bypass_comprehensive', 'EncodingBypass', 17, 5, NULL),
-  ('evasion_techniques_advanced', 'ContextConfusion', 13, 7, 0.65), ('fake_system_messages_advanced', 'ContextConfusion', 10, 5, 0.85), ('gradual_escalation_patterns', 'SocialEngineering', 10, 7, 0.6),
-  ('hypothetical_scenarios_advanced', 'ContextConfusion', 10, 5, 0.65), ('instruction_override', 'InstructionOverride', 22, 1, 0.95), ('jailbreak', 'Jailbreak', 25, 1, 0.98), ('jailbreak_comprehensive', 'Jailbreak', 9, 10, 0.98),
-  ('memory_data_extraction_advanced', 'DataExtraction', 10, 7, 0.9), ('role_playing', 'RolePlaying', 20, 5, 0.8), ('role_playing_comprehensive', 'RolePlaying', 7, 5, 0.8), ('social_engineering', 'SocialEngineering', 22, 3, 0.7),
-  ('social_engineering_comprehensive', 'SocialEngineering', 12, 3, 0.7), ('trust_manipulation_advanced', 'SocialEngineering', 10, 7, 0.7), ('urgency_manipulation_advanced', 'SocialEngineering', 10, 7, 0.75)"""
-CATEGORY_TABLE = f"c(category, kind, rules, first, base) AS (VALUES {CATEGORY_ROWS})"
-LEVEL_TABLE = """
-SELECT v AS level, round(least(greatest(0.95 - v * 0.08, 0.15), 0.95)::DOUBLE, 5) AS base_threshold, round((1 + v * 0.15)::DOUBLE, 5) AS pattern_weight, round((1 + v * 0.2)::DOUBLE, 5) AS multiplier, round(((11 - v) / 100)::DOUBLE, 5) AS benign,
-  round(greatest(0.98 - v * 0.06, 0.35)::DOUBLE, 5) AS critical, round(greatest(0.90 - v * 0.05, 0.30)::DOUBLE, 5) AS high, round(greatest(0.80 - v * 0.04, 0.25)::DOUBLE, 5) AS medium, round(greatest(0.70 - v * 0.035, 0.20)::DOUBLE, 5) AS low,
-  CASE WHEN v <= 2 THEN 3 WHEN v <= 5 THEN 2 WHEN v <= 8 THEN 1 ELSE 0 END AS floor, v >= 5 AS aggressive
-FROM (SELECT range::INT AS v FROM range(11))"""
-PRESET_TABLE = """
-SELECT * FROM (VALUES
-  ('ChatBot', 5, 'sanitize', 5000, FALSE, TRUE, 2, 2000, FALSE, 0.8::DOUBLE, 512, 200, 5::DOUBLE, 256, 1000), ('CodeAssistant', 4, 'warn', 20000, TRUE, TRUE, 2, 1500, FALSE, 0.85, 1024, 50, 15, 512, 500),
-  ('CustomerService', 6, 'block', 3000, FALSE, TRUE, 2, 2500, FALSE, 0.75, 512, 100, 3, 256, 800), ('Educational', 3, 'sanitize', 10000, TRUE, TRUE, 2, 1000, FALSE, 0.8, 512, 150, 8, 384, 600),
-  ('Financial', 9, 'block', 5000, TRUE, TRUE, 4, 5000, TRUE, 0.7, 1024, 25, 30, 1024, 2000), ('Healthcare', 8, 'block', 8000, TRUE, TRUE, 5, 4000, TRUE, 0.75, 1024, 50, 20, 768, 1500),
-  ('Development', 2, 'allow', 50000, TRUE, FALSE, 2, 500, FALSE, 0.9, 256, 10, 2, 128, 200), ('Custom', 5, 'block', 10000, FALSE, TRUE, 0, 3000, FALSE, 0.8, 512, 100, 10, 512, 1000)
-) p(preset, level, response, max_length, preserves, decodes, patterns, max_patterns, keywords, similarity, context, at_once, seconds, megabytes, kept)"""
-
-
 def span_sql(config: DetectorConfig) -> str:
     """Signals with a place, those moved by preprocessing, and those of decoded readings."""
     count = lambda met: f"len(list_filter(signals, lambda s: {met}))::INT"
@@ -193,7 +181,6 @@ def sql() -> dict[str, str]:
     from grainmill.plans.config import ConfigBuilder
 
     of = lambda level: ConfigBuilder().with_security_level(level).with_response("sanitize").build()
-    return {"src_prompt": analysis_sql(of(5)), "analyze_full": analysis_sql(of(10)), "preset_grid": preset_sql(), "m_sanitize": fixed_sanitized_sql(), "san_pipeline": scanned_sanitized_sql(),
-        "span_null": span_sql(of(5)), "level_table": LEVEL_TABLE, "preset_table": PRESET_TABLE, "pat_select": f"WITH {CATEGORY_TABLE} SELECT range::INT AS level, category FROM range(11) JOIN c ON range >= first",
-        "pat_introspect": f"WITH {CATEGORY_TABLE} SELECT category, kind, rules, COALESCE(base, 0.75)::DOUBLE AS base FROM c",
+    return {"src_prompt": analysis_sql(of(5)), "analyze_full": analysis_sql(of(10)), "preset_grid": preset_sql(), "level_calibration": calibration_sql(of), "pat_rule_table": RULE_TABLE, "m_sanitize": fixed_sanitized_sql(), "san_pipeline": scanned_sanitized_sql(),
+        "span_null": span_sql(of(5)), 
     }

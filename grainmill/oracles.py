@@ -454,8 +454,6 @@ def sql() -> dict[str, str]:
         "(SELECT min(confidence) FROM kept) AS min_confidence, (SELECT max(confidence) FROM kept) AS max_confidence, (SELECT round(stddev_pop(confidence), 6) FROM kept) AS std_dev, "
         + ", ".join(f"(SELECT duration_ms FROM ordered WHERE k = least(ordered.n * {p} // 100, ordered.n - 1)) AS p{p}" for p in (50, 90, 95, 99)),
         "a_windowed": f"WITH {EVENTS} SELECT strftime(time_bucket(INTERVAL 1 HOUR, recorded_at), '%Y-%m-%d %H:%M') AS window_start, risk_label, count(*) AS n, count_if(injection_detected) AS injections, round(avg(confidence), 6) AS avg_confidence FROM events_in GROUP BY 1, 2",
-        "a_reset": "SELECT 0::BIGINT AS total_analyzed, 0::BIGINT AS injections_detected, 0::BIGINT AS total_ms, 0::BIGINT AS min_ms, 0::BIGINT AS max_ms, 0.0::DOUBLE AS avg_ms, 0.0::DOUBLE AS detection_rate",
-        "a_fpr": "SELECT NULL::DOUBLE AS false_positive_rate",
         "a_label_eval": f"WITH {EVENTS} SELECT count(*) AS n, count_if(injection_detected AND NOT s) AS true_positives, count_if(injection_detected AND s) AS false_positives, count_if(NOT injection_detected AND NOT s) AS false_negatives, count_if(NOT injection_detected AND s) AS true_negatives, round(count_if(injection_detected AND s) / count_if(s)::DOUBLE, 6) AS false_positive_rate, round(count_if(NOT injection_detected AND NOT s) / nullif(count_if(NOT s), 0)::DOUBLE, 6) AS false_negative_rate FROM events_in JOIN (SELECT doc_id AS seq, toxic = 0 AS s FROM labels) USING (seq)",
         "u_norm": over("prompts", f"regexp_replace(regexp_replace({bare_controls('text')}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"),
         "u_lev": over("prompts", f"levenshtein({ascii_text}, {pattern})"),

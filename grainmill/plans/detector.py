@@ -80,12 +80,18 @@ class Detector:
         )
 
 
+#: The planner gives frames made of objects or checkpoints, and what they are united with, at least this size.
+UNKNOWN_SIZE = 2**62
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows dealt over all slots, where the planner puts the input at fewer full partitions than that; a large input stays as its scan deals it.
 
-    The analysis is bound by CPU, and small files are few partitions.
+    The analysis is bound by CPU, and small files are few partitions. Where the planner does
+    not know the size, the number of partitions decides.
     """
     slots = partitions or df.sparkSession.sparkContext.defaultParallelism
     full = int(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if size < slots * full else df
+    few = df.rdd.getNumPartitions() < slots if size >= UNKNOWN_SIZE else size < slots * full
+    return df.repartition(slots) if few else df

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.functions.base import constant
+
 SCHEMA = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("text", T.StringType())])
 
 #: Our own phrases: one or more for each category, check, reading and combination, and plain ones.
@@ -93,7 +95,9 @@ def phrase_table(spark: SparkSession) -> DataFrame:
     """(prompt_id, text, source): the phrases with ids from -1 down, and from -1001 down each followed by another."""
     n = len(PHRASES)
     rows = [(-1 - i, p) for i, p in enumerate(PHRASES)] + [(-1001 - i, f"{p} {PHRASES[(i * 7 + 3) % n]}") for i, p in enumerate(PHRASES)]
-    return spark.createDataFrame(rows, SCHEMA).withColumn("source", F.lit("phrases"))
+    # a constant, whose size the planner knows
+    each = constant([{"prompt_id": i, "text": t} for i, t in rows], f"array<{SCHEMA.simpleString()}>")
+    return spark.range(1).select(F.inline(each)).withColumn("source", F.lit("phrases"))
 
 
 def mixed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

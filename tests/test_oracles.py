@@ -9,7 +9,7 @@ import pytest
 from grainmill import catalog
 
 TABLES = "/root/testdata/sf0.001"
-SLOW = {"preset_grid"}  # eight analyses; the driver compares it
+SLOW = {"preset_grid", "level_calibration"}  # eight and eleven analyses; the driver compares them
 SQL = catalog.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the driver's tables are not here")
