@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -89,6 +90,25 @@ def join_salted(many: DataFrame, few: DataFrame, keys: list[str], n: str, how: s
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def row_keys(df: DataFrame, k1: str, k2: str) -> DataFrame:
+    """``df`` with two hashes of the whole row, 128 bits together; columns with maps, which Spark does not hash, are left out."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    nulls = [c.isNull() for c in cols]  # a null leaves no trace in a hash
+    return df.withColumns({k1: F.xxhash64(F.lit(1), *cols, *nulls), k2: F.xxhash64(F.lit(2), *reversed(cols), *nulls)})
+
+
+def ranked(df: DataFrame, *by: Column) -> DataFrame:
+    """``df`` with ``_i``, the rows' places (from 0) in that order: ranges are numbered each, and the ranges' row counts, as many as there are partitions, add up."""
+    ranged = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("_range").count().collect())
+    first, before = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        first.append(before)
+        before += counts.get(k, 0)
+    numbered = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(*by)) - 1)
+    return numbered.withColumn("_i", F.get(longs(first), F.col("_range")) + F.col("_i")).drop("_range")
+
+
 def bucket_of(value: Column, splitters: list[int]) -> Column:
     """Index of the first splitter that is >= value (len(splitters) if none is).
 

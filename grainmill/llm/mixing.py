@@ -15,25 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, given_back, longs, set_apart
+from .common import cut, given_back, ranked, row_keys, set_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]"
 
 
-def _ranked(sources: DataFrame, source: str) -> DataFrame:
-    """``sources`` with ``_i``, their place (from 0) by code point, null last: ranges of sources are numbered each, and the ranges' row counts, as many as there are partitions, add up."""
-    by = F.col(source).asc_nulls_last()
-    ranged = cut(sources.repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
-    counts = dict(ranged.groupBy("_range").count().collect())
-    first, before = [], 0
-    for k in range(max(counts, default=-1) + 1):
-        first.append(before)
-        before += counts.get(k, 0)
-    numbered = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(by)) - 1)
-    return numbered.withColumn("_i", F.get(longs(first), F.col("_range")) + F.col("_i")).drop("_range")
-
-
 def source_targets(
     totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source: str = "source", size: str = "source_size"
 ) -> DataFrame:
@@ -45,7 +32,7 @@ def source_targets(
     many sources there are, no task and not the driver holds more than a range of them.
     """
     weight = F.get(F.array(*[F.lit(float(x)) for x in weights]), F.pmod("_i", F.lit(len(weights))).cast("int"))
-    t = cut(_ranked(totals, source).withColumn("weight", weight).drop("_i").withColumn("_cap", F.lit(float(most)) * F.col(size)))
+    t = cut(ranked(totals, F.col(source).asc_nulls_last()).withColumn("weight", weight).drop("_i").withColumn("_cap", F.lit(float(most)) * F.col(size)))
     dealt, level, capped = F.lit(float(share)) * F.sum(size), 0.0, -1
     while True:
         full = F.col("_cap") <= F.lit(level) * F.col("weight")
@@ -105,8 +92,8 @@ def mix(
     return _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_block, doc_id, text, source, carry)[0]
 
 
-def _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_block, doc_id, text, source, carry) -> tuple[DataFrame, int]:
-    """``mix``, and how many words it takes in all."""
+def _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_block, doc_id, text, source, carry, ties: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``mix``, and how many words it takes in all. ``ties``: carried columns that order documents of one id, size and text."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     perm = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = cut(
@@ -129,7 +116,7 @@ def _mix(docs, n_shards, blocks_per_shard, weights, share, most, seed, least_blo
     before = W.partitionBy("_src").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     offsets = offsets.join(plan, F.col("_src").eqNullSafe(F.col("_psrc"))).select(F.col("_src").alias("_osrc"), F.col("_part").alias("_opart"), "_base", "_total", "target", "_want", "_shards")
-    within = W.partitionBy("_src", "_part").orderBy("_perm", "_id", "_size", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_src", "_part").orderBy("_perm", "_id", "_size", "_tie", *ties).rowsBetween(W.unboundedPreceding, -1)
     at = rows.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     at = at.join(offsets, F.col("_src").eqNullSafe(F.col("_osrc")) & (F.col("_part") == F.col("_opart"))).withColumn("_at", F.col("_base") + F.col("_in"))
     mixed = at.select(
@@ -174,18 +161,23 @@ def mixed_documents(
 
     A whole document keeps its text byte for byte, and a part the bytes from its first
     word to its last; ``n_chars`` follows the text where that column exists. The mix is
-    worked out on ids and sizes; texts move once, to the pieces. Rows with one id and one
-    text count as copies of one row, with the pieces of all of them. All columns of
-    ``docs`` pass through, whatever their names. A shard lies in parts by its random
-    order, as many as its words need, and each part is shuffled by it.
+    worked out on ids, sizes and hashes of rows; texts move twice, to the pieces and to
+    the shards. All columns of ``docs`` pass through, whatever their names; null ids and
+    sources are ids and sources like others, null and empty texts have no piece. Rows that are alike in every column count as copies of one, with
+    the pieces of all; rows that differ in any column have pieces of their own. Columns of
+    maps are not compared. Reruns agree. A shard lies in parts by its random order, as
+    many as its words need, and each part is shuffled by it. Empty input, no rows.
     """
     apart, names = set_apart(docs)
-    i, t = F.col(names[doc_id]), F.col(names[text])
-    keyed = apart.withColumn("_h", F.xxhash64(t))
-    m, words = _mix(keyed, n_shards, blocks_per_shard, weights, share, most, seed, least_block, names[doc_id], names[text], names[source], ("_h",))
-    pieces = m.where(F.size("pieces") > 0).groupBy(i.alias("_mid"), F.col("_h").alias("_mh")).agg(F.flatten(F.collect_list("pieces")).alias("_all"), F.max("size").alias("_size"))
-    first = keyed.withColumn("_k", F.row_number().over(W.partitionBy(i, "_h").orderBy(F.lit(0)))).where("_k = 1").drop("_k")
-    p = first.join(pieces, i.eqNullSafe(F.col("_mid")) & F.col("_h").eqNullSafe(F.col("_mh"))).withColumn("_p", F.explode("_all"))
+    t, keys = F.col(names[text]), ("_k1", "_k2")
+    keyed = row_keys(apart, *keys)
+    m, words = _mix(keyed, n_shards, blocks_per_shard, weights, share, most, seed, least_block, names[doc_id], names[text], names[source], keys, keys)
+    pieces = m.groupBy(*keys).agg(F.flatten(F.collect_list("pieces")).alias("_all"), F.max("size").alias("_size"), F.count("*").alias("_copies")).where(F.size("_all") > 0)
+    pieces = cut(pieces)
+    p = keyed.join(pieces, list(keys))
+    if (pieces.agg(F.max("_copies")).first()[0] or 1) > 1:
+        p = p.withColumn("_copy", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))).where("_copy = 1")
+    p = p.withColumn("_p", F.explode("_all"))
     # each word with the white space before it
     spaced = F.regexp_extract_all(t, F.lit(f"({GAP}*{WORD})"), 1)
     part = F.regexp_replace(F.array_join(F.slice(spaced, (F.col("_p.start") + 1).cast("int"), F.col("_p.words").cast("int")), ""), f"^{GAP}+", "")

@@ -23,9 +23,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .arrow import by_bytes, tidy
-from .common import cut, join_salted
+from .common import cut, given_back, join_salted, ranked, row_keys, set_apart
 from .components import connected_components
 
 _U = np.uint64
@@ -312,9 +313,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding()
 
     component_id is the smallest id that confirmed links reach, the document's own
     included; kept says whether it is that. Documents without words (or null text) are
-    linked with nothing, nor are those with a null id, which are kept. Ids should be
-    unique: rows that share one stay rows, each in the group of its own text. Empty input,
-    no rows. Other columns are not read.
+    linked with nothing, nor are those with a null id, which are kept. Ids must be
+    unique: texts that share one are taken for one document's, and their groups become one
+    (``without_near_duplicates`` takes any ids). Empty input, no rows. Other columns are not read.
 
     Copies meet their class, and classes their buckets, in joins that deal large groups
     over tasks.
@@ -348,3 +349,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding()
     out = join_salted(keyed, ends, sets, "n", "left")
     comp = F.coalesce("component", "id")
     return out.select(F.col("id").alias(doc_id), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, how: Banding = Banding(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without all documents of a group of near duplicates but that with the smallest id; all columns pass through, whatever their names.
+
+    Ids may be null or repeated: such rows are numbered in order of id (null last) and
+    content, and judged like any others, so a group keeps one row whatever its ids.
+    Null and empty texts and texts without words are like nothing and stay, but of rows alike in
+    every column one stays. Empty input, no rows.
+    """
+    apart, names = set_apart(docs)
+    i = names[doc_id]
+    n, named = apart.agg(F.count("*"), F.count(i)).first()
+    if n == named == apart.select(i).distinct().count():
+        kept = near_duplicates(apart, percent, how, i, names[text]).where("kept").select(i)
+        return apart.join(kept, i, "left_semi").select(*given_back(names))
+    keyed = row_keys(apart, "_k1", "_k2")
+    places = cut(ranked(keyed.select(i, "_k1", "_k2").distinct(), F.col(i).asc_nulls_last(), F.asc("_k1"), F.asc("_k2")).select("_k1", "_k2", "_i"))
+    given = keyed.join(places, ["_k1", "_k2"]).withColumn("_copy", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))).where("_copy = 1")
+    kept = near_duplicates(given.select("_i", names[text]), percent, how, "_i", names[text]).where("kept").select("_i")
+    return given.join(kept, "_i", "left_semi").select(*given_back(names))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from samples import words
 from grainmill.llm import language
 
 
@@ -91,3 +92,55 @@ def test_documents_without_any_label_stay(spark, docs):
     df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t, _ in rows] + [(900, None, None, None, 0), (901, "123 ²", None, "s", 5), (902, "", None, "s", 0)], docs.schema)
     out = cp.identify_language(spark, df, "")
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {r[0] for r in rows}
+
+
+#: Names of what operators return, as a pipeline's table may have them.
+RESULTS = "lang_pred score lang_ambiguous n_shingles component_id kept n_bytes n_removed n_spans kept_sha256 kept_text size pieces target fingerprint url_rule n_tokens start length".split()
+
+
+def odd_rows():
+    rng = random.Random(21)
+    one, two, three = words(rng, 80), words(rng, 80), words(rng, 80)
+    near = one.split()
+    near[40] = "changed"
+    return [
+        (1, one, "xx", "a"), (1, one, "xx", "a"), (1, one, "yy", "b"),  # one id, one text, another source
+        (5, one, "xx", "a"), (5, two, "xx", "a"), (6, two, "xx", "b"),  # one id, two texts
+        (None, " ".join(near), "xx", None), (None, three, "xx", None), (None, None, None, None), (None, None, None, None), (8, "", "xx", "a"), (8, "", "xx", "b"), (9, None, None, "a"),
+    ]
+
+
+def test_stages_over_null_and_repeated_ids(spark, docs):
+    cp = pytest.importorskip("corpus_pipeline")
+
+    rows = [(*r, len(r[1] or "")) for r in odd_rows()]
+    df = spark.createDataFrame(rows, docs.schema).withColumns({c: F.lit(f"mine {c}") for c in RESULTS})
+    untouched = lambda out: all(r[c] == f"mine {c}" for r in out for c in RESULTS)
+    kept = cp.drop_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    got = kept.collect()
+    texts = [r["text"] for r in got]
+    assert untouched(got) and texts.count(rows[0][1]) == 1 and texts.count(rows[4][1]) == 1 and texts.count(rows[7][1]) == 1 and rows[6][1] not in texts
+    assert {(r["doc_id"], r["text"]) for r in got} == {(1, rows[0][1]), (5, rows[4][1]), (None, rows[7][1]), (None, None), (8, ""), (9, None)} and len(got) == 7
+    clean = cp.remove_repeated_passages(spark, df, "")
+    assert clean.columns == df.columns and clean.count() == len(rows) and untouched(clean.collect())
+    assert [r["text"] for r in clean.where("text = '' or doc_id is null").collect()].count("") >= 8
+    mixed = cp.mix_sources(spark, df, "")
+    again = sorted(map(tuple, cp.mix_sources(spark, df.repartition(5), "").collect()), key=repr)
+    got = mixed.collect()
+    assert mixed.columns == df.columns and untouched(got) and sorted(map(tuple, got), key=repr) == again
+    # a source's pieces are its own
+    assert {r["source"] for r in got} == {"a", "b", None}
+    assert all((r["doc_id"], r["source"]) in {(x[0], x[3]) for x in rows} for r in got)
+    packed = cp.pack_sequences(spark, df, "").collect()
+    assert len({(r["doc_id"], r["start"]) for r in packed}) <= len(packed) and len(packed) >= len(rows)
+    labels = [(i, t, g, "s", len(t)) for i, t, g in labelled(40, 5)] + [(None, labelled(2, 6)[0][1], None, None, 3), (3, labelled(2, 6)[1][1], None, None, 3)]
+    named = cp.identify_language(spark, spark.createDataFrame(labels, docs.schema).withColumns({c: F.lit(f"mine {c}") for c in RESULTS}), "")
+    assert named.columns == df.columns and untouched(named.collect()) and named.count() == len(labels)
+
+
+def test_stages_over_an_empty_table(spark, docs):
+    cp = pytest.importorskip("corpus_pipeline")
+
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), "").collect() == [], name

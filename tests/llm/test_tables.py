@@ -14,7 +14,7 @@ from grainmill.llm import common, fingerprints, inner_products, language, mixing
 
 INNER = (
     "_key _bytes _part _rank _shard _order _slot _h _k _p _mid _mh _all _size _src _id _perm _tie _salt _parts u h g at n c k marks mark spans copies blocks tree row key home to range guest made next node alias "
-    "host path best component low high band bucket id rep signature set1 set2 z user_0 user_1 _node _alias _tree"
+    "host path best component low high band bucket id rep signature set1 set2 z user_0 user_1 _node _alias _tree _k1 _k2 _copy _copies _i _range"
 ).split()
 
 
@@ -27,6 +27,8 @@ def with_clashes(df):
     [
         (lambda d: sharding.shard(d, 3), {"_shard", "_slot"}),
         (mixing.mixed_documents, set()),
+        (near_dups.without_near_duplicates, set()),
+        (lambda d: near_dups.without_near_duplicates(d.unionByName(d)), set()),
         (lambda d: suffix_dedup.remove_repeats(d, 70, with_text=True), set()),
         (fingerprints.fingerprint, set()),
         (lambda d: fingerprints.with_next(d, ["text"]), set()),
@@ -34,7 +36,7 @@ def with_clashes(df):
         (lambda d: language.identify(d, language.train(d)), set()),
         (lambda d: url_filters.judge(d.withColumn("url", F.concat(F.lit("http://a.net/es/"), "doc_id")).withColumn("html", F.lit("<link rel=canonical href=http://b.net/fr/1>")), queries.RULES), set()),
     ],
-    ids=["shard", "mixed_documents", "remove_repeats", "fingerprint", "with_next", "count_tokens", "identify", "judge"],
+    ids=["shard", "mixed_documents", "without_near_duplicates", "without_near_duplicates of repeated rows", "remove_repeats", "fingerprint", "with_next", "count_tokens", "identify", "judge"],
 )
 def test_columns_of_inner_names_pass_through(spark, docs, operate, own):
     out = operate(with_clashes(docs))
