@@ -1,13 +1,12 @@
 """Ranked lexical search: integer BM25-like scores over postings, exact top k for each item.
 
-Postings (term, document, occurrences, length) are one table, dealt into buckets by term; a
-term's rows are in several buckets, so a common one is no task's burden. Items' terms join it,
-each match is scored in integers and added up by item and document, and a row number takes the
-top k.
-
-Most matches come from terms so common that they decide nothing. They are left out exactly:
-an item's terms that together cannot reach its k-th best score (known from below after its
-strongest terms were scored) only complete the documents that its other terms found.
+Postings (bucket of the term, term, document, occurrences, length) are a table in which each
+file is in order of bucket and term. Items' terms join it on bucket and term, each match is
+scored in integers and added up by item and document, and a row number takes the top k.
+
+The number of matches is that of items times documents times common terms, so they are never
+exchanged: where the items' terms are few enough to broadcast, postings are dealt by document
+once, and joined, added up and cut to the best k inside a task.
 """
 
 from __future__ import annotations
@@ -24,12 +23,10 @@ from pyspark.sql import functions as F
 from .arrow import tidy
 from .common import HOT_KEYS, HOT_ROWS, cut, delete_folder, shared_folder
 
-#: A term's postings are dealt over at most so many buckets.
-BUCKETS_OF_TERM = 64
-#: Rows of terms or candidates that are broadcast at most (some 20 MB); beyond it both sides are exchanged.
+#: Buckets that terms fall into.
+BUCKETS = 64
+#: Rows of items' terms that are broadcast at most (some 20 MB); beyond it both sides are exchanged by term.
 SMALL = 200_000
-#: An item's strongest terms are scored first, until they have this many postings for each of the k; so many of the best documents by them are scored whole.
-PROBE = 100
 
 # Fixed values of the score.
 TOP, TF, LENGTH, LEAST, SHARE = 1_000_000_000, 1000, 8, 25, 75
@@ -72,26 +69,19 @@ def _counted(df: DataFrame, key: str, text: str, wanted: frozenset[bytes] | None
     return read.mapInArrow(tidy(run), "key long, row long, term string, tf long, n long")
 
 
-def _bucketed(postings: DataFrame) -> DataFrame:
-    """Dealt out by term; a term's rows over at most ``BUCKETS_OF_TERM`` of the partitions."""
-    return postings.repartition("term", F.pmod(F.xxhash64("row"), F.lit(BUCKETS_OF_TERM))).sortWithinPartitions("term")
+def _bucketed(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
 
 
-def _meet(postings: DataFrame, terms: DataFrame, n_terms: int, total: int) -> DataFrame:
-    """Postings joined to rows (term, df, ...) on the term: by broadcast where ``n_terms`` rows are few, else dealt by term, the hot ones over parts."""
-    if n_terms <= SMALL:
-        return postings.join(F.broadcast(terms), "term")
+def _meet(postings: DataFrame, terms: DataFrame, few: bool, total: int) -> DataFrame:
+    """Postings joined to rows (bucket, term, df, ...): by broadcast where those are ``few``, with the postings dealt by document; else dealt by term, hot ones over parts."""
+    if few:
+        return postings.repartition("row").join(F.broadcast(terms), ["bucket", "term"])
     most = max(HOT_ROWS, total // HOT_KEYS)
     parts = F.ceil(F.col("df") / F.lit(most)).cast("long")
     hot = F.broadcast(terms.where(F.col("df") > most).select("term", parts.alias("_parts")).distinct())
     dealt = postings.join(hot, "term", "left").withColumn("_salt", F.pmod(F.xxhash64("row"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    return dealt.join(terms.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["term", "_salt"]).drop("_salt")
-
-
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """(item_id, low): each item's k-th best sum, for items with so many."""
-    ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("sum"))))
-    return ranked.where(F.col("rank") <= k).groupBy("item_id").agg(F.max("rank").alias("rank"), F.min("sum").alias("low")).where(F.col("rank") == k).select("item_id", "low")
+    return dealt.join(terms.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["bucket", "term", "_salt"]).drop("_salt")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -111,8 +101,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id
     few = words.limit(SMALL + 1).count() <= SMALL
     wanted = frozenset(r[0].encode() for r in words.collect()) if few else None
     folder = f"{shared_folder(spark)}/postings-{uuid.uuid4()}"
-    _bucketed(_counted(docs, doc_id, text, wanted)).write.parquet(folder)
-    stored = spark.read.schema("key long, row long, term string, tf long, n long").parquet(folder)
+    counted = _bucketed(_counted(docs, doc_id, text, wanted)).sortWithinPartitions("bucket", "term")
+    counted.write.parquet(folder)
+    stored = spark.read.schema(counted.schema).parquet(folder)
     n_docs, n_terms = stored.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     out = cut(_ranked(stored.where("term is not null").withColumnRenamed("key", "doc_id"), asked, n_docs, max(1, n_terms), k))
     delete_folder(spark, folder)
@@ -130,40 +121,12 @@ def weight(n_docs: int, df: Column) -> Column:
 
 
 def _ranked(postings: DataFrame, asked: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
-    p = postings.select("row", "term", part_of_score(n_docs, n_terms).alias("part"))
-    stats = p.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
-    by_item = W.partitionBy("item_id")
-    known = asked.join(stats, "term").withColumn("w", F.col("q") * weight(n_docs, F.col("df"))).withColumn("bound", F.col("w") * F.col("most")).where("w > 0")
-    upto = by_item.rowsBetween(W.unboundedPreceding, W.currentRow)
-    known = known.withColumn("seen", F.sum("df").over(upto.orderBy(F.desc("bound"), "term")) - F.col("df")).withColumn("under", F.sum("bound").over(upto.orderBy("bound", "term")))
-    known = cut(known.select("item_id", "term", "df", "w", "seen", "under"))
+    p = postings.select("bucket", "term", "row", "doc_id", part_of_score(n_docs, n_terms).alias("part"))
+    known = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("w", F.col("q") * weight(n_docs, F.col("df")))
+    known = cut(_bucketed(known.where("w > 0").select("item_id", "term", "df", "w")))
     n_known, total = known.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
-
-    def sums(terms: DataFrame) -> DataFrame:
-        met = _meet(p, terms.select("term", "df", "item_id", "w"), n_known, total)
-        return met.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
-
-    def added(pairs: DataFrame, n_pairs: int, terms: DataFrame) -> DataFrame:
-        """(item_id, row, more): what the item's ``terms`` add for each of the pairs (item_id, row)."""
-        rows, theirs = pairs.select("row").distinct(), terms.select("item_id", "term", "w")
-        held = p.join(F.broadcast(rows) if n_pairs <= SMALL else rows, "row", "left_semi").join(theirs.select("term").distinct(), "term", "left_semi").select("row", "term", "part")
-        wanted = pairs.select("item_id", "row").join(F.broadcast(theirs) if n_known <= SMALL else theirs, "item_id")
-        return wanted.join(held, ["row", "term"]).groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("part")).alias("more"))
-
-    # whole scores of the documents that the strongest terms put first bound the k-th best score from below
-    first = sums(known.where(F.col("seen") < PROBE * k)).withColumn("rank", F.row_number().over(by_item.orderBy(F.desc("sum"), "row")))
-    first = cut(first.where(F.col("rank") <= PROBE).select("item_id", "row"))
-    low = _kth(added(first, first.count(), known).withColumnRenamed("more", "sum"), k)
-    # terms that all together stay under it find no document by themselves
-    known = cut(known.join(low, "item_id", "left").withColumn("common", F.coalesce(F.col("under") < F.col("low"), F.lit(False))))
-    bounds = known.groupBy("item_id").agg(F.coalesce(F.max("low"), F.lit(0)).alias("low"), F.coalesce(F.max(F.when(F.col("common"), F.col("under"))), F.lit(0)).alias("rest"))
-    open_ = cut(sums(known.where("not common")).join(bounds, "item_id").where(F.col("sum") + F.col("rest") >= F.col("low")).select("item_id", "row", "sum"))
-    # what the common terms add for those that are still open
-    more = added(open_, open_.count(), known.where("common"))
-    scored = open_.join(more, ["item_id", "row"], "left").select("item_id", "row", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score")).where("score > 0")
-    # those that may be among the k best, ties included, get their ids
-    scored = cut(scored.withColumn("place", F.rank().over(by_item.orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place"))
-    rows = scored.select("row").distinct()
-    ids = postings.select("row", "doc_id").join(F.broadcast(rows) if scored.count() <= SMALL else rows, "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"))
-    order = by_item.orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
-    return scored.join(ids, "row").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    met = _meet(p, known, n_known <= SMALL, total)
+    # dealt by document already: what a document gets from an item is added up in its task
+    scored = met.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score")).where("score > 0")
+    order = W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
