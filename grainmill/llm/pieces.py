@@ -29,9 +29,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: What an unknown id decodes to.
 UNKNOWN_TEXT = " ⁇ "
 #: Distinct chunks of a generation, of which a process remembers two, and the longest chunk that is remembered.
-MEMO, LONGEST = 250_000, 64
+MEMO, LONGEST = 180_000, 64
 #: Pairs of tokens whose fit is remembered.
-PAIRS = 500_000
+PAIRS = 300_000
 #: A text is split into chunks in parts of about so many characters.
 PART = 1 << 20
 NEVER = (float("inf"), 0)
