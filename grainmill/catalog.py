@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill import oracle_analysis, oracles
+from grainmill import oracle_analysis, oracle_ordered, oracles
 from grainmill.functions import codec, text as tx
 from grainmill.functions.base import f32, java, let, truncate_bytes
 from grainmill.functions.levels import CATEGORIES, SecurityLevel
-from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, preprocess, scoring, variants
+from grainmill.functions.store import settled
+from grainmill.operators import combine, heuristics, keywords, metrics, mitigate, partials, preprocess, scoring, variants
+from grainmill.operators.asof import asof_join
+from grainmill.operators.curves import curve_summary, threshold_curve
 from grainmill.operators.patterns import Matcher
 from grainmill.operators.rule_tables import match_rules
 from grainmill.operators.signals import signal
+from grainmill.operators.spans import coverage
 from grainmill.plans.calibrate import calibrate
 from grainmill.plans.config import ConfigBuilder, Preset
 from grainmill.plans.detector import Detector, spread
@@ -275,6 +279,47 @@ def a_windowed(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "risk_label", "n", "injections", F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
+def a_partials(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly states by kind, folded to days."""
+    hours = partials.states(events(spark, d), {"hour": F.date_trunc("hour", "recorded_at"), "kind": F.col("kind")})
+    f = partials.figures(partials.fold(hours, {"day": F.to_date("hour")}), ("day",))
+    rounded = ("avg_ms", "std_ms", "detection_rate", "avg_positive", "avg_negative", "std_dev")
+    return f.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", *[F.round(c, 6).alias(c) for c in rounded])
+
+
+def policy_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with the policy in force for its user: each error event puts one in force, whose level follows from its id."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    history = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("policy_id"), (F.col("event_id") % 11).alias("level"))
+    return asof_join(e.select("event_id", "user_id", "ts"), history, ("user_id",), "ts", "since", ("policy_id", "level"), ("policy_id",)).select("event_id", "policy_id", "level")
+
+
+def span_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of each prompt, what the dictionary's matches cover, by category and by all together."""
+    spans = pat_scan(spark, d).select("prompt_id", F.explode(F.array("category", F.lit("*"))).alias("category"), "start", "stop")
+    return coverage(spans, ("prompt_id", "category"))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("seq"), (F.col("toxic") == 1).alias("positive"))
+    return events(spark, d).join(labels, "seq")
+
+
+def a_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Events against labels at every threshold, by kind."""
+    c = threshold_curve(labelled(spark, d), ("kind",), "confidence")
+    return c.select("kind", "threshold", "true_positives", "false_positives", "false_negatives", "true_negatives", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
+
+
+def label_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """The analysis of every labelled document against its label, by source: rank statistic and best threshold."""
+    a = analyses(spark, d).where("error is null").select(F.col("prompt_id").alias("doc_id"), "source", num(F.col("score")).alias("score"))
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", (F.col("toxic") == 1).alias("positive"))
+    # the analysis is a large plan: it is run by itself
+    s = curve_summary(threshold_curve(settled(a).join(labels, "doc_id"), ("source",)), ("source",))
+    return s.select("source", "positives", "negatives", *[F.round(x, 6).alias(x) for x in ("auc", "best_threshold", "best_f1")])
+
+
 def span_null(spark: SparkSession, d: str) -> DataFrame:
     """How many signals of the analysis have a place in the prompt, and how many lost it and why."""
     a = analyses(spark, d).where("error is null")
@@ -351,6 +396,11 @@ def queries() -> dict[str, Query]:
         "a_retain": lambda s, d: metrics.retained(events(s, d)).select("seq"),
         "a_snapshot": a_snapshot,
         "a_windowed": a_windowed,
+        "a_partials": a_partials,
+        "a_thresholds": a_thresholds,
+        "label_thresholds": label_thresholds,
+        "policy_asof": policy_asof,
+        "span_coverage": span_coverage,
         "span_null": span_null,
         "a_label_eval": a_label_eval,
         "u_norm": scalar(tx.normalize),
@@ -385,4 +435,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (oracles.sql() | oracle_analysis.sql()).items() if k in queries()}
+    return {k: v for k, v in (oracles.sql() | oracle_analysis.sql() | oracle_ordered.sql()).items() if k in queries()}
