@@ -23,7 +23,8 @@ from grainmill.plans.calibrate import calibrate
 from grainmill.plans.config import ConfigBuilder, Preset
 from grainmill.plans.detector import Detector, spread
 from grainmill.sources.prompts import mixed_prompts
-from grainmill.streaming.analyze import windowed_metrics
+from grainmill.streaming.analyze import session_metrics, windowed_metrics
+from grainmill.streaming.conversations import Escalation, escalate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -279,6 +280,27 @@ def a_windowed(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "risk_label", "n", "injections", F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
+def a_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Hours that begin every quarter of one."""
+    w = windowed_metrics(events(spark, d).withColumn("error", F.lit(None).cast("string")), width="1 hour", slide="15 minutes")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "risk_label", "n", "injections", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+def a_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of each kind's events with less than ten minutes between neighbours."""
+    s = session_metrics(events(spark, d).withColumn("error", F.lit(None).cast("string")), ("kind",), gap="10 minutes", seq=("seq",))
+    return s.select("kind", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("ended"), "n", "injections", "most_confidence")
+
+
+def conv_escalation(spark: SparkSession, d: str) -> DataFrame:
+    """Risk over the turns: a question adds a quarter, and each rule of level 1 that matches another, up to a half."""
+    m = Matcher(SecurityLevel(1))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    risk = F.when(preprocess.is_question(F.col("text")), 0.25).otherwise(0.0) + F.least(F.lit(0.5), F.size(m.codes(F.col("text"))) * 0.25)
+    e = escalate(c.select("conv_id", "turn", F.coalesce(risk, F.lit(0.0)).alias("risk")), Escalation(decay=0.5, most=1.0, alarm=0.4))
+    return e.select("conv_id", "turn", F.round("risk", 6).alias("risk"), F.round("running", 6).alias("running"), "escalated")
+
+
 def a_partials(spark: SparkSession, d: str) -> DataFrame:
     """Hourly states by kind, folded to days."""
     hours = partials.states(events(spark, d), {"hour": F.date_trunc("hour", "recorded_at"), "kind": F.col("kind")})
@@ -396,10 +418,13 @@ def queries() -> dict[str, Query]:
         "a_retain": lambda s, d: metrics.retained(events(s, d)).select("seq"),
         "a_snapshot": a_snapshot,
         "a_windowed": a_windowed,
+        "a_sliding": a_sliding,
+        "a_sessions": a_sessions,
         "a_partials": a_partials,
         "a_thresholds": a_thresholds,
         "label_thresholds": label_thresholds,
         "policy_asof": policy_asof,
+        "conv_escalation": conv_escalation,
         "span_coverage": span_coverage,
         "span_null": span_null,
         "a_label_eval": a_label_eval,

@@ -13,6 +13,26 @@ PARTIALS = f"""WITH {EVENTS} SELECT strftime(recorded_at, '%Y-%m-%d') AS day, co
 FROM events_in GROUP BY 1"""
 
 
+SLIDING = f"""WITH {EVENTS}, placed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, recorded_at) - to_minutes(15 * unnest([0, 1, 2, 3])) AS began FROM events_in)
+SELECT strftime(began, '%Y-%m-%d %H:%M') AS window_start, risk_label, count(*) AS n, count_if(injection_detected) AS injections, round(avg(confidence), 6) AS avg_confidence FROM placed GROUP BY 1, 2"""
+
+SESSIONS = f"""WITH {EVENTS}, marked AS (SELECT *, coalesce(recorded_at - lag(recorded_at) OVER (PARTITION BY kind ORDER BY recorded_at, seq) >= INTERVAL 10 MINUTE, TRUE) AS new FROM events_in),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY kind ORDER BY recorded_at, seq ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT kind, strftime(min(recorded_at), '%Y-%m-%d %H:%M:%S') AS began, strftime(max(recorded_at) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n, count_if(injection_detected) AS injections, max(confidence) AS most_confidence FROM runs GROUP BY kind, run"""
+
+
+def escalation_sql() -> str:
+    """Turn by turn; a text that no rule matches has no row in ``found``."""
+    from grainmill.oracles import QUESTION, matches
+
+    return f"""WITH RECURSIVE {matches(1, table='conversations', keep='conv_id, turn')}, hits AS (SELECT conv_id, turn, count(*) AS n FROM found GROUP BY 1, 2),
+risks AS (SELECT conv_id, turn, max(coalesce(CASE WHEN {QUESTION} THEN 0.25 ELSE 0.0 END, 0.0) + least(0.5, 0.25 * coalesce(n, 0)))::DOUBLE AS risk FROM conversations LEFT JOIN hits USING (conv_id, turn) WHERE turn IS NOT NULL GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM risks),
+told AS (SELECT conv_id, turn, k, risk, least(1.0::DOUBLE, greatest(0.0::DOUBLE, risk)) AS running FROM placed WHERE k = 1
+  UNION ALL SELECT p.conv_id, p.turn, p.k, p.risk, least(1.0::DOUBLE, greatest(0.0::DOUBLE, t.running * 0.5 + p.risk)) FROM told t JOIN placed p ON p.conv_id = t.conv_id AND p.k = t.k + 1)
+SELECT conv_id, turn, round(risk, 6) AS risk, round(running, 6) AS running, running >= 0.4::DOUBLE AS escalated FROM told"""
+
+
 def coverage_sql(hits: str) -> str:
     """Unions as islands, and depths by counting at each start."""
     return f"""WITH hits AS ({hits}), spans AS (SELECT prompt_id, unnest([category, '*']) AS category, start, stop FROM hits),
@@ -53,5 +73,6 @@ def sql() -> dict[str, str]:
     five = ConfigBuilder().with_security_level(5).with_response("sanitize").build()
     analysed = f"WITH {analysis_ctes(five)} SELECT judged.prompt_id, documents.source, round(judged.score::DOUBLE, 4) AS score FROM judged JOIN documents ON judged.prompt_id = documents.doc_id WHERE judged.error IS NULL"
     return {
+        "a_sliding": SLIDING, "a_sessions": SESSIONS, "conv_escalation": escalation_sql(),
         "policy_asof": ASOF, "a_partials": PARTIALS, "span_coverage": coverage_sql(plain()["pat_scan"]), "a_thresholds": thresholds_sql(), "label_thresholds": label_thresholds_sql(analysed),
     }
