@@ -22,11 +22,15 @@ from grainmill.operators.spans import coverage
 from grainmill.plans.calibrate import calibrate
 from grainmill.plans.config import ConfigBuilder, Preset
 from grainmill.plans.detector import Detector, spread
+from grainmill.plans.incremental import of_prompts, update, with_rules
+from grainmill.plans.policy import Policy
 from grainmill.sources.prompts import mixed_prompts
 from grainmill.streaming.analyze import session_metrics, windowed_metrics
 from grainmill.streaming.conversations import Escalation, escalate
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The rules that the query ``policy_update`` adds.
+UPDATED_RULES = ("secret", "weather")
 
 
 def num(c: Column) -> Column:
@@ -322,6 +326,15 @@ def span_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(spans, ("prompt_id", "category"))
 
 
+def policy_update(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses by a policy of level 1, brought up to one with two rules more."""
+    p = spread(mixed_prompts(spark, d))
+    first = Policy("first", config=ConfigBuilder().with_security_level(1).with_response("sanitize").build())
+    then = with_rules(first, custom=UPDATED_RULES)
+    a = of_prompts(p, update(p, settled(update(p, None, None, first)), first, then))
+    return a.select("prompt_id", "error", "risk_label", num(F.col("confidence")).alias("confidence"), "injection_detected", F.size("signals").alias("n_signals"), "mitigated_prompt")
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("seq"), (F.col("toxic") == 1).alias("positive"))
     return events(spark, d).join(labels, "seq")
@@ -424,6 +437,7 @@ def queries() -> dict[str, Query]:
         "a_thresholds": a_thresholds,
         "label_thresholds": label_thresholds,
         "policy_asof": policy_asof,
+        "policy_update": policy_update,
         "conv_escalation": conv_escalation,
         "span_coverage": span_coverage,
         "span_null": span_null,

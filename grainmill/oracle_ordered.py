@@ -66,13 +66,16 @@ FROM (SELECT source, count_if(positive) AS positives, count_if(NOT positive) AS
 
 
 def sql() -> dict[str, str]:
-    from grainmill.oracle_analysis import analysis_ctes
+    from grainmill.oracle_analysis import analysis_ctes, analysis_sql
     from grainmill.oracles import sql as plain
     from grainmill.plans.config import ConfigBuilder
 
     five = ConfigBuilder().with_security_level(5).with_response("sanitize").build()
+    # a run of everything by the later policy
+    updated = analysis_sql(ConfigBuilder().with_security_level(1).with_response("sanitize").with_custom_patterns("secret", "weather").build())
     analysed = f"WITH {analysis_ctes(five)} SELECT judged.prompt_id, documents.source, round(judged.score::DOUBLE, 4) AS score FROM judged JOIN documents ON judged.prompt_id = documents.doc_id WHERE judged.error IS NULL"
     return {
         "a_sliding": SLIDING, "a_sessions": SESSIONS, "conv_escalation": escalation_sql(),
+        "policy_update": f"SELECT * EXCLUDE (kinds) FROM ({updated})",
         "policy_asof": ASOF, "a_partials": PARTIALS, "span_coverage": coverage_sql(plain()["pat_scan"]), "a_thresholds": thresholds_sql(), "label_thresholds": label_thresholds_sql(analysed),
     }
