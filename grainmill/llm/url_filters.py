@@ -132,7 +132,11 @@ def judge(
         all_edges = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
         # pages without an address have keys of their own, so that no key gathers them
         node = F.coalesce(node_of(address), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
-        judged = judged.withColumn("node", node).join(_alias_verdicts(all_edges, rules), "node", "left")
+        judged = judged.withColumn("node", node)
+        # how many pages each alias is, as one address may be a large part of all pages
+        crawled = apart.select(node_of(address).alias("node")).where("node is not null").groupBy("node").agg(F.count("*").alias("n"))
+        aliases = cut(_alias_verdicts(all_edges, rules).join(crawled, "node"))
+        judged = join_salted(judged, aliases, ["node"], "n", "left")
     else:
         judged = judged.withColumn("alias", F.lit(None).cast("boolean"))
     allow = F.coalesce(F.col("best.allow"), F.col("alias"), F.lit(True))

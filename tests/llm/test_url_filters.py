@@ -1,4 +1,4 @@
-from grainmill.llm import queries, url_filters
+from grainmill.llm import common, queries, url_filters
 from grainmill.llm.components import connected_components
 
 
@@ -36,6 +36,15 @@ def test_blocks_reach_aliases_and_allows_win(spark):
     assert judged(spark, rows, redirects=moves)[6][3] == "block"
 
 
+def test_an_address_crawled_very_often(spark, monkeypatch):
+    """The address is dealt over parts, and every page of it keeps its verdict and its columns."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    rows = [(i, "http://hot.org/1", "", str(i)) for i in range(300)] + [(300, "http://hot.org/1", "<link rel='canonical' href='http://x.net/es/1'>", None), (301, "http://cold.org/", "", None), (302, None, "", None)]
+    got = judged(spark, rows)
+    assert len(got) == 303 and all(got[i] == ("hot.org", "/1", None, "block") for i in range(301)) and got[301][3] == got[302][3] == "allow"
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}
 
