@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from .common import bucket_of, cut, given_back, longs, set_apart
 
 KEY_TOP = 1 << 63
+#: A part, which is sorted in one task, is about so many bytes; there are at least so many parts a shard, and so many in all at most.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 128 << 20, 64, 16_384
 
 
 def shard_key(text: Column, doc_id: Column) -> Column:
@@ -96,15 +98,15 @@ def find_splitters(sized: DataFrame, key: str, size: str, n_shards: int, probes:
 
 def shard(
     docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", size: str | None = None,
-    tolerance: float = 0.001, parts_per_shard: int = 64,
+    tolerance: float = 0.001, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``docs`` with ``_shard`` (from 0) and ``_slot`` (gapless from 0 in its shard, in key order).
 
     ``size`` names a column of bytes; without it a document weighs its text's UTF-8 bytes
     plus 1. Null texts weigh 1. Equal texts adjoin in the order, so at most one group is
-    cut at each boundary. A row moves once, to one of ``parts_per_shard`` parts of its
-    shard; the parts' exact row counts give each its first slot, so no task holds a whole
-    shard. Repeated rows get slots of their own. Empty input, no rows. Columns called
+    cut at each boundary. A row moves once, to one of the parts of its shard, of about
+    ``part_bytes`` each (at most ``MOST_PARTS`` in all, longer ones beyond that); the parts'
+    exact row counts give each its first slot, so no task holds a whole shard. Repeated rows get slots of their own. Empty input, no rows. Columns called
     _shard or _slot are replaced; all others pass through, whatever their names.
     """
     apart, names = set_apart(docs)
@@ -114,7 +116,8 @@ def shard(
     small = cut(keyed.select("_key", "_bytes"))
     split = find_splitters(small, "_key", "_bytes", n_shards, tolerance=tolerance)
     # A shard's parts lie between probed keys; a gap that holds much more than a part is probed again.
-    much = 4 * split.total / (n_shards * parts_per_shard)
+    parts = min(max(n_shards * LEAST_PARTS, split.total // part_bytes), max(MOST_PARTS, n_shards))
+    much = 4 * split.total / parts
     known = split.known
     for _ in range(8):
         keys = sorted(known)

@@ -129,3 +129,20 @@ def test_histogram_is_exact(spark):
 
 def test_crc(spark):
     assert spark.createDataFrame([("é",)], "t string").select(F.crc32("t")).first()[0] == zlib.crc32("é".encode())
+
+
+def test_parts_follow_the_bytes(spark, monkeypatch):
+    """More bytes are more parts, not longer ones, up to the bound; and the rows are sharded alike."""
+    df = spark.createDataFrame([(i, f"{i} " * 40) for i in range(3000)], "doc_id long, text string")
+    seen = []
+    real = sharding.bucket_of
+    monkeypatch.setattr(sharding, "LEAST_PARTS", 1)
+    monkeypatch.setattr(sharding, "bucket_of", lambda key, at: seen.append(len(at)) or real(key, at))
+    shards = []
+    for size, most in ((1 << 20, 16_384), (200, 16_384), (200, 16)):
+        monkeypatch.setattr(sharding, "MOST_PARTS", most)
+        shards.append(sorted((r["doc_id"], r["_shard"], r["_slot"]) for r in sharding.shard(df, 2, part_bytes=size).collect()))
+        seen.append(None)
+    assert shards[0] == shards[1] == shards[2]
+    last = [seen[k - 1] for k, n in enumerate(seen) if n is None]  # the cuts by which rows move
+    assert last[1] > 1_000 > last[0] == last[2]  # those of the splitters alone, where they are parts enough
