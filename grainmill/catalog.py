@@ -291,8 +291,8 @@ def a_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of each kind's events with less than ten minutes between neighbours."""
-    s = session_metrics(events(spark, d).withColumn("error", F.lit(None).cast("string")), ("kind",), gap="10 minutes", seq=("seq",))
+    """Runs of each kind's events with less than an hour between neighbours."""
+    s = session_metrics(events(spark, d).withColumn("error", F.lit(None).cast("string")), ("kind",), gap="1 hour", seq=("seq",))
     return s.select("kind", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("ended"), "n", "injections", "most_confidence")
 
 
@@ -310,7 +310,7 @@ def a_partials(spark: SparkSession, d: str) -> DataFrame:
     hours = partials.states(events(spark, d), {"hour": F.date_trunc("hour", "recorded_at"), "kind": F.col("kind")})
     f = partials.figures(partials.fold(hours, {"day": F.to_date("hour")}), ("day",))
     rounded = ("avg_ms", "std_ms", "detection_rate", "avg_positive", "avg_negative", "std_dev")
-    return f.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", *[F.round(c, 6).alias(c) for c in rounded])
+    return f.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total_analyzed", "injections_detected", "total_ms", "min_ms", "max_ms", *[F.round(c, 9).alias(c) for c in rounded])
 
 
 def policy_asof(spark: SparkSession, d: str) -> DataFrame:

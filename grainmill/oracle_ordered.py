@@ -8,17 +8,17 @@ ASOF = """WITH history AS (SELECT user_id, ts AS since, max(event_id) AS policy_
 SELECT e.event_id, h.policy_id, h.policy_id % 11 AS level FROM events e ASOF LEFT JOIN history h ON e.user_id = h.user_id AND e.ts >= h.since"""
 
 PARTIALS = f"""WITH {EVENTS} SELECT strftime(recorded_at, '%Y-%m-%d') AS day, count(*) AS total_analyzed, count_if(injection_detected) AS injections_detected, sum(duration_ms)::BIGINT AS total_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms,
-  round(avg(duration_ms), 6) AS avg_ms, round(stddev_pop(duration_ms), 6) AS std_ms, round(count_if(injection_detected) / count(*)::DOUBLE, 6) AS detection_rate,
-  coalesce(round(avg(confidence) FILTER (WHERE injection_detected), 6), 0.0::DOUBLE) AS avg_positive, coalesce(round(avg(confidence) FILTER (WHERE NOT injection_detected), 6), 0.0::DOUBLE) AS avg_negative, round(stddev_pop(confidence), 6) AS std_dev
+  round(avg(duration_ms), 9) AS avg_ms, round(stddev_pop(duration_ms), 9) AS std_ms, round(count_if(injection_detected) / count(*)::DOUBLE, 9) AS detection_rate,
+  coalesce(round(avg(confidence) FILTER (WHERE injection_detected), 9), 0.0::DOUBLE) AS avg_positive, coalesce(round(avg(confidence) FILTER (WHERE NOT injection_detected), 9), 0.0::DOUBLE) AS avg_negative, round(stddev_pop(confidence), 9) AS std_dev
 FROM events_in GROUP BY 1"""
 
 
 SLIDING = f"""WITH {EVENTS}, placed AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, recorded_at) - to_minutes(15 * unnest([0, 1, 2, 3])) AS began FROM events_in)
 SELECT strftime(began, '%Y-%m-%d %H:%M') AS window_start, risk_label, count(*) AS n, count_if(injection_detected) AS injections, round(avg(confidence), 6) AS avg_confidence FROM placed GROUP BY 1, 2"""
 
-SESSIONS = f"""WITH {EVENTS}, marked AS (SELECT *, coalesce(recorded_at - lag(recorded_at) OVER (PARTITION BY kind ORDER BY recorded_at, seq) >= INTERVAL 10 MINUTE, TRUE) AS new FROM events_in),
+SESSIONS = f"""WITH {EVENTS}, marked AS (SELECT *, coalesce(recorded_at - lag(recorded_at) OVER (PARTITION BY kind ORDER BY recorded_at, seq) >= INTERVAL 1 HOUR, TRUE) AS new FROM events_in),
 runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY kind ORDER BY recorded_at, seq ROWS UNBOUNDED PRECEDING) AS run FROM marked)
-SELECT kind, strftime(min(recorded_at), '%Y-%m-%d %H:%M:%S') AS began, strftime(max(recorded_at) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n, count_if(injection_detected) AS injections, max(confidence) AS most_confidence FROM runs GROUP BY kind, run"""
+SELECT kind, strftime(min(recorded_at), '%Y-%m-%d %H:%M:%S') AS began, strftime(max(recorded_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n, count_if(injection_detected) AS injections, max(confidence) AS most_confidence FROM runs GROUP BY kind, run"""
 
 
 def escalation_sql() -> str:
