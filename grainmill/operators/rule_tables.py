@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import constant, fold, folded, java
+from grainmill.functions.base import constant, fold_needed, held, java, looked_up, rules_by_string
 from grainmill.functions.phrases import needed
 
-#: Characters of an index entry.
-GRAM = 3
-#: The entry of rules for which no necessary string can be named; every text has it.
-ANY = ""
-
-
-def entries(string: str) -> list[str]:
-    """The index entries of a necessary string: its grams, or itself if it is shorter."""
-    return [string[i : i + GRAM] for i in range(len(string) - GRAM + 1)] or [string]
-
-
-def _runs(chars: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
-
-
-def grams(text: Column, wanted: list[str]) -> Column:
-    """The ``wanted`` entries that the text holds, letters folded as widely as patterns fold them."""
-
-    def of(chars: Column) -> Column:
-        parts = [F.array(F.lit(ANY))] if ANY in wanted else []
-        for size in sorted({len(w) for w in wanted if w}):
-            parts.append(F.when(F.size(chars) >= size, _runs(chars, size)).otherwise(F.array().cast("array<string>")))
-        return F.array_intersect(F.concat(*parts), constant(wanted, "array<string>"))
-
-    return F.get(F.transform(F.array(F.split(folded(text), "")), of), 0)
-
 
 def match_rules(prompts: DataFrame, rules: DataFrame, text: str = "text", rule_id: str = "rule_id", pattern: str = "pattern", case_sensitive: bool = False, max_patterns: int = 3000) -> DataFrame:
     """The columns of ``prompts`` with ``rule_id`` and ``content`` (the rule's first match), a row for each rule that matches.
 
-    Of each rule's necessary strings (one of which every match holds) the entry that
-    fewest texts hold goes into an index; texts meet it by an equi-join, and only rules so found are tried. The index is
-    broadcast: there are at most ``max_patterns`` rules, and more are an error. Texts are
-    read twice, to count entries and to match; nothing is exchanged but those counts.
+    The strings of which every match of a rule holds one are looked for in one pass over a text, all at once, and only rules so
+    found are tried. The rules are broadcast: there are at most ``max_patterns``, and more are an error. Texts are
+    read once; nothing is exchanged.
 
     Null texts match nothing; null ids stay; null patterns are no rules. Rules with one id are rules of
     their own. Columns of ``prompts`` named as the two new ones are replaced.
@@ -56,22 +29,15 @@ def match_rules(prompts: DataFrame, rules: DataFrame, text: str = "text", rule_i
             spark._jvm.java.util.regex.Pattern.compile(rx)
         except Exception as e:
             raise ValueError(f"pattern does not compile: {rx}") from e
-    needs = [n and tuple(map(fold, n)) for n in (needed(r[1]) for r in listed)]
+    needs = [fold_needed(needed(r[1], True)) for r in listed]
     kept = [c for c in prompts.columns if c not in ("rule_id", "content")]
     # the caller's columns are set apart, so that none clashes
     p = prompts.select(*[F.col(f"`{c}`").alias(f"user_{i}") for i, c in enumerate(kept)])
     t = F.col(f"user_{kept.index(text)}")
     p = p.where(t.isNotNull())
-    wanted = sorted({e for n in needs for s in n or () for e in entries(s)} | {ANY for n in needs if n is None})
-    held = {r[0]: r[1] for r in p.select(F.explode(grams(t, wanted)).alias("g")).groupBy("g").count().collect()} if wanted else {}
-    index = []
-    for k, n in enumerate(needs):
-        chosen = [ANY] if n is None else sorted({min(entries(s), key=lambda e: (held.get(e, 0), e)) for s in n})
-        # a text that holds several entries of a rule meets it at the first of them
-        index += [(e, k, chosen[:i]) for i, e in enumerate(chosen)]
-    used = sorted({e for e, _, _ in index})
-    table = spark.createDataFrame(index, "_gram string, _k int, _before array<string>")
+    strings, rules_of = rules_by_string(needs)
+    always = constant([k for k, n in enumerate(needs) if n is None], "array<int>")
+    tried = F.concat(always, looked_up(held(t, strings), strings, rules_of)) if strings else always
     rule = spark.createDataFrame([(k, r[0], rx) for k, (r, rx) in enumerate(zip(listed, compiled))], rules.select(F.lit(0).alias("_k"), F.col(rule_id).alias("rule_id"), F.col(pattern).alias("_rx")).schema)
-    met = p.withColumn("_held", grams(t, used) if used else F.array().cast("array<string>")).withColumn("_gram", F.explode("_held"))
-    met = met.join(F.broadcast(table.join(rule, "_k")), "_gram").where(~F.arrays_overlap("_held", "_before") & F.rlike(t, F.col("_rx")))
+    met = p.withColumn("_k", F.explode(tried)).join(F.broadcast(rule), "_k").where(F.rlike(t, F.col("_rx")))
     return met.select(*[F.col(f"user_{i}").alias(c) for i, c in enumerate(kept)], "rule_id", F.regexp_substr(t, F.col("_rx")).alias("content"))
