@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.base import constant, fold_needed, held, java, looked_up, rules_by_string
+from grainmill.functions.base import LOOKED_FOR, constant, fold_needed, held, java, looked_up, rules_by_string
 from grainmill.functions.phrases import needed
 
 
+#: Of a necessary string, so many characters are looked for.
+GRAM = LOOKED_FOR
+
+
 def match_rules(prompts: DataFrame, rules: DataFrame, text: str = "text", rule_id: str = "rule_id", pattern: str = "pattern", case_sensitive: bool = False, max_patterns: int = 3000) -> DataFrame:
     """The columns of ``prompts`` with ``rule_id`` and ``content`` (the rule's first match), a row for each rule that matches.
 
@@ -29,7 +33,7 @@ def match_rules(prompts: DataFrame, rules: DataFrame, text: str = "text", rule_i
             spark._jvm.java.util.regex.Pattern.compile(rx)
         except Exception as e:
             raise ValueError(f"pattern does not compile: {rx}") from e
-    needs = [fold_needed(needed(r[1], True)) for r in listed]
+    needs = [fold_needed(needed(r[1], True), GRAM) for r in listed]
     kept = [c for c in prompts.columns if c not in ("rule_id", "content")]
     # the caller's columns are set apart, so that none clashes
     p = prompts.select(*[F.col(f"`{c}`").alias(f"user_{i}") for i, c in enumerate(kept)])
