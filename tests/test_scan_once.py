@@ -44,6 +44,12 @@ def test_the_kind_of_text_is_decided_once(spark):
     assert plan.count("definition") == 2
 
 
+def test_sanitizing_scans_each_text_once(spark):
+    plan = catalog.queries()["san_pipeline"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # for texts of ASCII and for others; no filter scans besides
+    assert plan.count("regexp_extract_all") == 2
+
+
 def test_gates_of_the_checks(spark):
     rows = ["word aGVsbG8gd29ybGQ= end", "plain words only", "0x" + "deadbeef01" * 3, "a" * 7 + "1", "", "x_-" * 9 + "Ab", "".join(chr(0x4E00 + i) for i in range(100)) * 2]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
