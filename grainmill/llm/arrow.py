@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,12 +10,20 @@ import pyarrow as pa
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """What this process has freed, to the system: Arrow's unused memory and, where the C library can, its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Run) -> Run:
-    """``run``, after which the worker, which Spark keeps for later tasks, gives Arrow's unused memory back."""
+    """``run``, after which the worker, which Spark keeps for later tasks, gives its unused memory back."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return tidied
 
